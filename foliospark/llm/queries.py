@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, media, packing, quality_rules
+from . import bytebpe, media, packing, quality_rules, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_token_files": tokenfile.query,
         "op5_best_fit_packing": packing.query,
         "op6_byte_bpe": bytebpe.query,
         "op9_mpeg_audio": media.query,
