@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, media, packing, quality_rules, tokenfile
+from . import bytebpe, jaccard, media, packing, quality_rules, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
         "op2_token_files": tokenfile.query,
+        "op3_jaccard_join": jaccard.query,
         "op5_best_fit_packing": packing.query,
         "op6_byte_bpe": bytebpe.query,
         "op9_mpeg_audio": media.query,
@@ -20,4 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op3_jaccard_join": jaccard.ORACLE_SQL,
+    }
