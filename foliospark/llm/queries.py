@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, jaccard, media, packing, quality_rules, tokenfile
+from . import bytebpe, jaccard, media, packing, quality_model, quality_rules, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": packing.query,
         "op6_byte_bpe": bytebpe.query,
         "op9_mpeg_audio": media.query,
+        "op10_quality_model": quality_model.query,
     }
 
 
