@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, jaccard, licenses, media, packing, quality_model, quality_rules, tokenfile
+from . import bytebpe, html_text, jaccard, licenses, media, packing, quality_model, quality_rules, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": jaccard.query,
         "op5_best_fit_packing": packing.query,
         "op6_byte_bpe": bytebpe.query,
+        "op7_html_text": html_text.query,
         "op8_license_scan": licenses.query,
         "op9_mpeg_audio": media.query,
         "op10_quality_model": quality_model.query,
