@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, html_text, jaccard, licenses, media, packing, quality_model, quality_rules, tokenfile
+from . import bytebpe, html_text, jaccard, language_model, licenses, media, packing, quality_model, quality_rules, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.query,
         "op2_token_files": tokenfile.query,
         "op3_jaccard_join": jaccard.query,
+        "op4_language_model": language_model.query,
         "op5_best_fit_packing": packing.query,
         "op6_byte_bpe": bytebpe.query,
         "op7_html_text": html_text.query,
