@@ -371,13 +371,13 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     return translate.page_context(
         c.select(
-            F.col("role").alias("title"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"), F.col("text").alias("texto"), F.upper(F.substring("text", 1, 3)).alias("traduccion")
+            F.col("role").alias("title"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"), F.col("text").alias("texto"), F.substring("text", 2, 4).alias("traduccion")
         )
     )
 
 
 @query(f"""
-WITH p AS (SELECT role AS title, conv_id AS page, turn AS pos, text || ' -> ' || upper(text[1:3]) AS p FROM conversations WHERE {sql_strip('text')} <> '' AND {sql_strip('text[1:3]')} <> ''),
+WITH p AS (SELECT role AS title, conv_id AS page, turn AS pos, text || ' -> ' || text[2:5] AS p FROM conversations WHERE {sql_strip('text')} <> '' AND {sql_strip('text[2:5]')} <> ''),
 c AS (SELECT title, page, string_agg(p, '|' ORDER BY pos) AS ctx FROM p GROUP BY ALL)
 SELECT title, page, ctx, coalesce(string_agg(ctx, '#') OVER (PARTITION BY title ORDER BY page ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS previo FROM c
 """)
