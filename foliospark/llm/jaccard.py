@@ -4,7 +4,8 @@ groups that share a prefix token are compared, and their members verified.
 1. One pass over the texts. Every document's set gets a 64-bit class id. Of its tokens in hash order the first ``0.3 n`` are
    enough: two documents that link share at least ``0.1 n`` of them. Those tokens go, packed by range of the hash, to where
    it is seen which of them another class has too. Classes with too few such tokens can't link and are done.
-2. One document of each other class is fetched again for its whole set. Now tokens are ordered rarest first, so that passages which
+2. A second pass over the texts gives the whole sets of the other classes; a Bloom filter of those classes, of bounded size, decides which
+   sets leave their task, so that no text is shuffled. Now tokens are ordered rarest first, so that passages which
    many documents share come last. What is left links through its prefix of ``0.2 n + 1`` tokens.
 3. Groups that share prefix tokens form components; a component, or a tile of two of its blocks where it is large, is
    compared in one task by inverted lists.
@@ -177,19 +178,53 @@ def _joined(table: pa.Table, column: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x is not None), dtype=dtype)
 
 
-def whole_sets(df: DataFrame, size: int) -> DataFrame:
-    """Rows (class, n, tokens) of texts."""
+class Filter:
+    """A Bloom filter of 64-bit ids, of 12 bits an id and never more than ``most`` bits: with very many ids it lets more through."""
+
+    def __init__(self, ids: DataFrame, count: int, most: int = 1 << 27):
+        size = min(most, 1 << max(13, (12 * count).bit_length()))
+        positions = self.positions
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size, dtype=bool)
+            for batch in batches:
+                bits[positions(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+        self.bits = np.zeros(size // 8, dtype=np.uint8)
+        for row in ids.repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():
+            self.bits |= np.frombuffer(row[0], dtype=np.uint8)
+
+    @staticmethod
+    def positions(ids: np.ndarray, size: int) -> np.ndarray:
+        a = mix(ids.view(np.uint64) ^ _C[3])
+        b = mix(a ^ _C[4]) | np.uint64(1)
+        return ((a[:, None] + np.arange(4, dtype=np.uint64) * b[:, None]) % np.uint64(size)).astype(np.int64)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.positions(ids, 8 * len(self.bits))
+        return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def whole_sets(df: DataFrame, size: int, wanted: Filter) -> DataFrame:
+    """Rows (class, n, tokens) of the texts whose class passes the filter, a class once in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             tokens, at = shingle_sets(batch.column(0), size)
-            raw, ends = tokens.tobytes(), (8 * at).tolist()
+            ids, one = np.unique(class_ids(tokens, at), return_index=True)
+            one = one[wanted.has(ids) & (np.diff(at)[one] > 0)]
+            ends = at.tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(class_ids(tokens, at)), pa.array(np.diff(at)), pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())],
+                [
+                    pa.array(class_ids(tokens, at)[one]),
+                    pa.array(np.diff(at)[one]),
+                    pa.array([tokens[ends[i] : ends[i + 1]].tobytes() for i in one.tolist()], pa.binary()),
+                ],
                 names=["class", "n", "tokens"],
             )
 
-    return df.mapInArrow(run, "class long, n long, tokens binary")
+    return narrow(df, text="text").mapInArrow(run, "class long, n long, tokens binary")
 
 
 def rarest_first(sets: DataFrame, threshold: Threshold, buckets: int) -> DataFrame:
@@ -341,9 +376,9 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     need = F.ceil(n * percent / 100)
     classes = materialize(classes, f"{folder}/classes")
     suspects = classes.filter((n > 0) & (F.col("shared") >= F.greatest(F.lit(1), F.ceil(need / 10))))
-    wanted = suspects.select(F.col("least").alias("k"))
-    texts = source.join(wanted.distinct(), F.col("key").eqNullSafe(F.col("k")), "left_semi").select("text")
-    sets = materialize(whole_sets(texts, size).join(suspects.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"{folder}/sets")
+    wanted = Filter(suspects.select("class"), suspects.count())
+    sets = whole_sets(source, size, wanted).join(suspects.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    sets = materialize(sets, f"{folder}/sets")
     posts = sets.agg(F.sum("n")).first()[0] or 0
     ordered = materialize(rarest_first(sets, threshold, max(1, posts // 2_000_000)), f"{folder}/ordered")
     drop_dir(f"{folder}/sets")
