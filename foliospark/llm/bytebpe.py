@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import array, flat, narrow, slices, starts
 
 #: Words that a worker remembers; beyond that it forgets all and starts anew.
-CACHE = 600_000
+CACHE = 400_000
 _NONE = 1 << 60
 
 

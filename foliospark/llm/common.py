@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are turned into words at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 16 << 20
 _OWN: list[str] = []
 
 
