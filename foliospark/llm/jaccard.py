@@ -322,7 +322,8 @@ def _compare(table: pa.Table, threshold: Threshold) -> pa.Table:
     np.fill_diagonal(near, True)
     both = _pairs(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets))
     ok = near[np.ix_(group, group)] & threshold.links(both.astype(np.int64), n[:, None], n)
-    if len(np.unique(block)) > 1:  # a tile of two blocks: pairs within a block are another tile's
+    tile = table.column("tile")[0].as_py()
+    if tile["i"] != tile["j"]:  # a tile of two blocks, one of which may be empty: pairs within a block are another tile's
         ok &= block[:, None] != block
     a, b = np.nonzero(np.triu(ok, 1))
     return pa.table({"a": pa.array(classes[a], pa.int64()), "b": pa.array(classes[b], pa.int64()), "both": pa.array(both[a, b], pa.int64())})
