@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that are turned into words at once.
-SLICE_BYTES = 16 << 20
+#: Bytes of text that are turned into words at once, and of an Arrow batch. Arrays over words take some fifteen times that.
+SLICE_BYTES = BATCH_BYTES = 8 << 20
 _OWN: list[str] = []
 
 
@@ -54,15 +56,34 @@ def drop_dir(uri: str) -> None:
         system.delete_dir(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, so that long texts don't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: other columns can't clash with results.
 
-    Bounds the bytes of an Arrow batch too, so that long texts don't fill a worker.
+    Bounds the bytes of Arrow batches too.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    bound_batches(df.sparkSession)
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and two share an executor's memory with its heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, those that hold more bytes cut into parts of about that size."""
     for batch in batches:
@@ -73,6 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         step = -(-n // parts)
         for at in range(0, n, step):
             yield batch.slice(at, step)
+            release()
 
 
 def array(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, array, flat, materialize, narrow, shared_dir, slices, sums
+from .common import Words, array, bound_batches, flat, materialize, narrow, shared_dir, slices, sums
 
 STATISTICS = (
     "log_words", "word_length", "symbols", "capitals", "digits", "marks", "separators", "shouts", "distinct", "repeats",
@@ -239,6 +239,7 @@ def keep_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     x = materialize(document_statistics(df, key, text), shared_dir(df.sparkSession))
     model = fit(labelled(x, labels, key, label, None))
     at = df.columns.index(text)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Words, array, flat, narrow, slices, sums
+from .common import Words, array, bound_batches, flat, narrow, slices, sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -155,7 +155,7 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Rule
 
 def keep_documents(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df``, all columns unchanged, whose text the rules keep; null and empty texts go."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    bound_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
