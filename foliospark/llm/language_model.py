@@ -347,8 +347,9 @@ class Model:
         return {
             "n_tokens": np.diff(at),
             "n_known": sums((counts > 0).astype(np.int64)[token], at),
-            "base_score": sums(unigram[token], at),
-            "score": sums(score, at),
+            # text by text, as a running sum over a batch would lose digits; every text has a token
+            "base_score": np.add.reduceat(unigram[token], at[:-1]) if len(at) > 1 else np.zeros(0),
+            "score": np.add.reduceat(score, at[:-1]) if len(at) > 1 else np.zeros(0),
         }
 
 
