@@ -70,13 +70,16 @@ def merge_touching(boxes: DataFrame) -> DataFrame:
     """Regions of boxes (page long, pos int below 2^20, x1, y1, x2, y2 inclusive) that overlap or touch, diagonally too.
 
     Rows (page, x, y, w, h, members). No pairs are formed: every box is laid out as runs of pixels by row; in a row, runs that meet
-    form an island, found by a running maximum; a box links with the first box of each of its islands. So a page of very many boxes costs as many rows as its
-    boxes have lines. Boxes with nulls or without area are left out.
+    form an island, found by a running maximum; a box links with the first box of each of its islands. Boxes that touch do so in a line in which one of them
+    starts, so other lines aren't laid out. A page of very many boxes costs no more rows than its boxes have lines. Boxes with nulls or without
+    area are left out.
     """
     b = boxes.filter("x1 <= x2 and y1 <= y2").select(
         "page", (F.shiftleft(F.col("page").cast("long"), 20) + F.col("pos")).alias("id"), "x1", "y1", "x2", "y2"
     )
-    rows = b.select("page", "id", "x1", "x2", F.explode(F.sequence(F.col("y1"), F.col("y2") + 1)).alias("line"))
+    starts = b.groupBy("page").agg(F.collect_set("y1").alias("starts"))
+    own = F.filter("starts", lambda y: (y >= F.col("y1")) & (y <= F.col("y2") + 1))
+    rows = b.join(starts, "page").select("page", "id", "x1", "x2", F.explode(own).alias("line"))
     line = Window.partitionBy("page", "line").orderBy("x1", "id")
     reach = F.max("x2").over(line.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("new", (reach.isNull() | (F.col("x1") > reach + 1)).cast("int"))

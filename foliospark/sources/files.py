@@ -31,19 +31,27 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive_members(archives: DataFrame) -> DataFrame:
     """Rows (path, content) of zip archives as rows (archive, member, length, content); folders aren't members, and a file that isn't
-    a zip archive gives no row. Members are read one at a time."""
+    a zip archive gives no row. Members are handed on in parts of some 16 MB."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "member", "length", "content"]
         for frame in frames:
+            rows, held = [], 0
             for path, content in zip(frame["path"], frame["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for info in z.infolist():
                             if not info.is_dir():
                                 data = z.read(info)
-                                yield pd.DataFrame({"archive": [path], "member": [info.filename], "length": [len(data)], "content": [data]})
+                                rows.append((path, info.filename, len(data), data))
+                                held += len(data)
+                                if held > 16 << 20:
+                                    yield pd.DataFrame(rows, columns=columns)
+                                    rows, held = [], 0
                 except zipfile.BadZipFile:
                     continue
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return archives.select("path", "content").mapInPandas(run, "archive string, member string, length long, content binary")
 
