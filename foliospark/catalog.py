@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -248,7 +247,7 @@ def images_decoded(spark, d):
             yield frame[["vec_id"]].assign(name=[f"{i}.png" for i in ids], content=content)
             yield frame[["vec_id"]].assign(name=[f"{i}-broken.png" for i in ids], content=broken)
 
-    files.write_files(grays.mapInPandas(draw, "vec_id long, name string, content binary"), folder.removeprefix("file://")).count()
+    files.write_files(grays.mapInPandas(draw, "vec_id long, name string, content binary"), folder).count()
     image = files.read_images(spark, folder)
     name = F.regexp_extract("image.origin", r"([0-9]+)\.png$", 1).cast("long")
     return image.select(name.alias("vec_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"))
@@ -659,10 +658,9 @@ def writer_state(spark, d):
 @query(_SQL_WRITER.format(n="count(*) FILTER (event_type = 'purchase')"))
 def writer_stream(spark, d):
     """The same from a stream of the table's files, run to its end."""
-    name = "folio_" + os.path.basename(shared_dir(spark))
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
-    glob = path if os.path.isdir(path.removeprefix("file://")) else f"{d}/event[s].parquet"
-    running = writer.documents_stream(_messages(spark.readStream.schema(schema).parquet(glob)), name)
-    running.awaitTermination()
-    return spark.table(name)
+    # a stream reads folders or patterns; this pattern is the file, or the files of the folder, of that name
+    running = writer.DocumentsWriter(_messages(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")), shared_dir(spark))
+    running.query.awaitTermination()
+    return running.current()

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import io
-import os
 import struct
 import urllib.request
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -105,18 +106,22 @@ def png(pixels: list[list[int]], broken: bool = False) -> bytes:
 
 
 def write_files(df: DataFrame, folder: str) -> DataFrame:
-    """Write rows (name, content) as files of a shared folder; rows (name, path, length). Written aside and renamed, so that a file is whole or absent."""
+    """Write rows (name, content) as files of a shared folder, given as a URI; rows (name, path, length).
+
+    Written aside and moved, so that a file is whole or absent; names can't leave the folder.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for frame in frames:
             done = []
             for name, content in zip(frame["name"], frame["content"]):
-                path = os.path.join(folder, *[p for p in name.split("/") if p not in ("", ".", "..")])
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                aside = f"{path}.{os.getpid()}.tmp"
-                with open(aside, "wb") as f:
+                path = "/".join([base, *[p for p in name.split("/") if p not in ("", ".", "..")]])
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                aside = f"{path}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(aside) as f:
                     f.write(content)
-                os.replace(aside, path)
+                system.move(aside, path)
                 done.append((name, path, len(content)))
             yield pd.DataFrame(done, columns=["name", "path", "length"])
 

@@ -9,16 +9,29 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.documents import merge_messages
 
 
-def documents_stream(messages: DataFrame, table: str, checkpoint: str | None = None, once: bool = True) -> StreamingQuery:
-    """Keep what a stream of messages leaves up to date in an in-memory table; every trigger is a checkpoint.
+class DocumentsWriter:
+    """Keeps what a stream of messages leaves in a shared folder; every trigger is a checkpoint.
 
-    State is one row a document and kind of aggregate, in Spark's state store; the file source's ``maxFilesPerTrigger`` bounds a
-    batch. Distinct balloons need the streamed form below.
+    State is a row for each document in Spark's state store. A batch writes the whole result beside the one before, so that ``current`` always reads
+    a finished one, and a batch that is run again replaces its own. A file source's ``maxFilesPerTrigger`` bounds a batch.
     """
-    writer = streamed(messages).writeStream.outputMode("complete").format("memory").queryName(table)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+
+    def __init__(self, messages: DataFrame, folder: str, checkpoint: str | None = None, once: bool = True):
+        self.spark, self.folder, self.last = messages.sparkSession, folder, None
+        rows = streamed(messages)
+        self.schema = rows.schema
+        writer = rows.writeStream.outputMode("complete").foreachBatch(self._write).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
+        self.query: StreamingQuery = (writer.trigger(availableNow=True) if once else writer).start()
+
+    def _write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{batch % 2}")
+        self.last = batch % 2
+
+    def current(self) -> DataFrame:
+        """The documents as of the last trigger; none before the first."""
+        if self.last is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.last}")
 
 
 def streamed(messages: DataFrame) -> DataFrame:
