@@ -42,6 +42,7 @@ _CHROME = frozenset(
     "related recommended popup modal overlay pagination pager widget login signup toolbar respond replies skip".split()
 )
 _MAIN = frozenset(("article", "post", "entry", "story", "content", "main"))
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+", re.I)
 
 
@@ -64,9 +65,11 @@ def role(tag: str, attributes: str) -> str:
     return "content" if tag in ("div", "section") and any(set(_PART.findall(w)) & _MAIN and not set(_PART.findall(w)) - _MAIN - {"body", "text", "page", "area", "wrap", "inner"} for w in names) else ""
 
 
-def blocks(page: str) -> list[tuple[str, str, float]]:
+def blocks(page: str, unclosed: bool = False) -> list[tuple[str, str, float]]:
     """The visible blocks of a page in order: kind (main, content, other, chrome), text, and share of it in links.
 
+    With ``unclosed`` an article ends menus and notices that were left open before it.
+
     White space in a block becomes one space; a block ends at any tag that isn't inline. Elements left open end with the element around them.
     """
     page = _HEAD.sub("", page, count=1)
@@ -113,7 +116,9 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             if m.group(4).endswith("/") and tag not in ("div", "section"):
                 continue
             here, now = kinds[-1], role(tag, m.group(4).strip())
-            if here == "chrome" or now == "chrome" or (now == "header" and here not in ("main", "content")):
+            if unclosed and tag in ("article", "main") and now == "main":
+                kind = "main"
+            elif here == "chrome" or now == "chrome" or (now == "header" and here not in ("main", "content")):
                 kind = "chrome"
             elif "main" in (here, now):
                 kind = "main"
@@ -217,6 +222,9 @@ def parse_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
             for u, page in zip(array(batch.column(1)).to_pylist(), array(batch.column(2)).to_pylist()):
                 found = blocks(page or "")
                 text = marked_text(found)
+                if text is None and page and _ARTICLE.search(page):
+                    found = blocks(page, unclosed=True)
+                    text = marked_text(found)
                 kept = None if text is not None else [t for k, t, links in found if k == "other" and links < 0.5]
                 rest = [t for k, t, _ in found if k == "chrome" or text is None or k == "other"]
                 stream = np.array([h for t in rest for h in hashes(t)], dtype=np.uint64).tobytes()

@@ -309,6 +309,12 @@ def test_main_text(spark):
     assert html_text.main_text(pages(spark, rows)).count() == len(rows) and html_text.main_text(pages(spark, [])).count() == 0
 
 
+def test_article_after_a_menu_that_is_left_open():
+    page = "<nav><ul><li>Home</li></ul><div class=ad>Buy<article><p>The text.</p><aside>no</aside></article><footer>f</footer>"
+    assert html_text.marked_text(html_text.blocks(page)) is None
+    assert html_text.marked_text(html_text.blocks(page, unclosed=True)) == "The text."
+
+
 def unmarked(n, seed=1):
     random.seed(seed)
     own = lambda: " ".join(f"u{random.randrange(10**6)}" for _ in range(40))
