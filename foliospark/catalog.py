@@ -476,6 +476,19 @@ def kernel_sizes(spark, d):
     return read(spark, d, "part").select("p_partkey", k.alias("k")).select("p_partkey", F.col("k.h").alias("kh"), F.col("k.w").alias("kw"))
 
 
+@query("""
+WITH s AS (SELECT p_partkey, p_partkey % 1900 + 60 AS w, p_size * 31 + 40 AS h FROM part),
+r AS (SELECT *, least(1024 / h, 1024 / w) AS r, w / h AS aspect FROM s)
+SELECT p_partkey, (ceil(round_even(w * r, 0) / 64) * 64)::INT AS fw, (ceil(round_even(h * r, 0) / 64) * 64)::INT AS fh,
+       CASE WHEN aspect > 1 THEN 595 ELSE floor(842 * aspect)::INT END AS pw, CASE WHEN aspect > 1 THEN floor(595 / aspect)::INT ELSE 842 END AS ph FROM r
+""")
+def fitted_sizes(spark, d):
+    w, h = F.col("w"), F.col("h")
+    sides = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1900 + 60).alias("w"), (F.col("p_size") * 31 + 40).alias("h"))
+    made = sides.select("p_partkey", geometry.fit_size(w, h, 1024, 64).alias("f"), geometry.print_size(w, h, 595, 842).alias("p"))
+    return made.select("p_partkey", *[F.col(f"{s}.{n}").alias(f"{s}{n}") for s in "fp" for n in "wh"])
+
+
 # --- pixels ---------------------------------------------------------------------------------------------------------------------
 
 

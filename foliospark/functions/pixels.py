@@ -73,6 +73,18 @@ def fill_boxes(image: np.ndarray, boxes: list[tuple[int, int, int, int]], grow:
     return out
 
 
+def model_input(image: np.ndarray, mask: np.ndarray, least: int = 128, signed: bool = True) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """What an inpainting model gets: channels first, scaled to -1..1 (or 0..1), zero in the hole; the mask as 0 and 1; rows and columns added.
+
+    Smaller sides are filled up to ``least`` by reflection.
+    """
+    add = [(0, max(0, least - n)) for n in image.shape[:2]]
+    image, mask = np.pad(image, [*add, (0, 0)], mode="symmetric"), np.pad(mask, add, mode="symmetric")
+    scaled = image.transpose(2, 0, 1).astype(np.float32) / (127.5 if signed else 255) - (1 if signed else 0)
+    hole = (mask.astype(np.float32) / 255 >= 0.5).astype(np.float32)
+    return scaled * (1 - hole), hole, (add[0][1], add[1][1])
+
+
 def rings(mask: np.ndarray, most: int = 127, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """How far each hole pixel is from what is known, in steps to any of eight neighbours, and from which of four corners it is reached.
 

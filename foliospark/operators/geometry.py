@@ -49,6 +49,22 @@ def shrink(size: Column, factor: float = 0.75) -> Column:
     return F.greatest(F.lit(1), F.floor(size * factor).cast("int"))
 
 
+def fit_size(width: Column, height: Column, most: int, stride: int | None = None, enlarge: bool = True) -> Column:
+    """Sides with the same proportions inside a square of ``most``: rounded half to even, and up to a multiple of ``stride``."""
+    r = F.least(most / height, most / width)
+    r = r if enlarge else F.least(r, F.lit(1.0))
+    side = lambda n: F.bround(n * r).cast("int")
+    up = lambda n: (F.ceil(n / stride) * stride).cast("int") if stride else n
+    return F.struct(up(side(width)).alias("w"), up(side(height)).alias("h"))
+
+
+def print_size(width: Column, height: Column, page_width: int, page_height: int) -> Column:
+    """A picture on a printed page: over its full width if it is wider than high, else over its full height."""
+    aspect = width / height
+    wide = F.struct(F.lit(page_width).alias("w"), F.floor(page_width / aspect).cast("int").alias("h"))
+    return F.when(aspect > 1, wide).otherwise(F.struct(F.floor(page_height * aspect).cast("int").alias("w"), F.lit(page_height).alias("h")))
+
+
 def dilate(box: Column, k: Column, width: Column, height: Column) -> Column:
     """Inclusive bounds after growing by a kernel whose anchor is its middle, rounded down."""
     before = lambda n: n - 1 - F.floor(n / 2)

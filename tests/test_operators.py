@@ -144,6 +144,9 @@ def test_pixels():
     assert distance[4, 4] == 3 * 128 // 128 and distance[0, 0] == 0 and distance[2, 2] == 1
     assert pixels.rings(np.ones((3, 3), np.uint8))[0].sum() == 0 and reached[4, 4].sum() > 0
     assert pixels.otsu(np.zeros(0, np.uint8)) == 0
+    scaled, mask, added = pixels.model_input(page, np.pad(np.full((2, 2), 255, np.uint8), 4))
+    assert scaled.shape == (3, 128, 128) and mask.shape == (128, 128) and added == (118, 118)
+    assert (scaled[:, 4:6, 4:6] == 0).all() and scaled[0, 0, 0] == np.float32(200 / 127.5 - 1) and scaled[0, 10, 10] == scaled[0, 9, 9]
 
 
 def test_files(spark, tmp_path):
