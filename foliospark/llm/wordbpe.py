@@ -13,7 +13,7 @@ from .bytebpe import gather
 from .common import Words, array
 
 #: Words that a worker remembers; beyond that it forgets all and starts anew.
-CACHE = 400_000
+CACHE = 600_000
 #: Letters for which every Unicode version and library agrees on case, class and composition.
 _PLAIN = set(map(chr, [*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 #: White space to Python, or to Unicode, that isn't ASCII, and the four separators on which libraries differ.
