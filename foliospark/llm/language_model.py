@@ -1,9 +1,10 @@
-"""A bigram language model of the whole corpus in Elias-Fano tries that are memory-mapped for scoring.
+"""An n-gram language model of the whole corpus in Elias-Fano tries that are memory-mapped for scoring.
 
 The vocabulary, every distinct token and its count, and the tries are files of the shared folder, one of each for a range of word hashes. A
 trie has the range's words as contexts, monotone pointers to each one's successors, the successors as one monotone sequence
 (context * width + word), and for every successor its smoothed log probability in 16 bits. A lookup is a successor search: the high bits
-give the few entries of one bucket by select, the low bits of those are searched. Smoothing interpolates absolute
+give the few entries of one bucket by select, the low bits of those are searched. Tries of each further order have the entries of the
+order below as contexts, cut into equal ranges of their numbers, so that a frequent word's successors are in many files. Smoothing interpolates absolute
 discounting with the add-one unigram model, so probabilities of all words and an unknown one sum to one before rounding,
 and rounding only lowers them.
 """
@@ -25,6 +26,8 @@ from .common import Words, file_system, materialize, narrow, shared_dir, slices,
 
 #: Stand-ins for hashes of words: the context of a text's first word, and the token after its last.
 BEGIN, END = np.uint64(1), np.uint64(2)
+#: Words of the longest n-gram that the query counts.
+ORDER = 3
 #: Log probabilities are kept as multiples of this, rounded down.
 STEP = 1 / 4096
 
@@ -200,14 +203,23 @@ class Trie:
         quantised = lambda x: np.minimum(65535, np.ceil(-np.log10(x) / STEP)).astype(np.uint16)
         return [np.array([width], dtype=np.int64), *pointers.parts(), *entries.parts(), quantised(p), quantised(rest)]
 
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The entry of each word after its context, -1 if there is none; unknown words are -1."""
+        out, known = np.full(len(words), -1, dtype=np.int64), np.flatnonzero(words >= 0)
+        out[known] = self.entries.find(contexts[known].astype(np.uint64) * np.uint64(self.width) + words[known].astype(np.uint64))
+        return out
+
+    def scores(self, entries: np.ndarray, contexts: np.ndarray, lower: np.ndarray, partial: bool) -> np.ndarray:
+        """Log probabilities from found entries and those of the order below; partial: entries don't include these."""
+        out = -STEP * self.rest[contexts].astype(np.float64) + lower
+        hit = np.flatnonzero(entries >= 0)
+        own = -STEP * self.codes[entries[hit]].astype(np.float64)
+        out[hit] = np.log10(10**own + 10 ** out[hit]) if partial else own
+        return out
+
     def log10(self, contexts: np.ndarray, words: np.ndarray, unigram: np.ndarray) -> np.ndarray:
         """Of each word after its context; unknown words are -1. unigram: the words' log probabilities in the unigram model."""
-        out = -STEP * self.rest[contexts].astype(np.float64) + unigram
-        known = np.flatnonzero(words >= 0)
-        i = self.entries.find(contexts[known].astype(np.uint64) * np.uint64(self.width) + words[known].astype(np.uint64))
-        hit = i >= 0
-        out[known[hit]] = -STEP * self.codes[i[hit]].astype(np.float64)
-        return out
+        return self.scores(self.find(contexts, words), contexts, unigram, False)
 
     def successors(self, context: int) -> np.ndarray:
         """The words seen after a context, in order, by its pointers."""
@@ -220,6 +232,70 @@ def trie(path: str) -> Trie:
     return Trie(mapped(path))
 
 
+class Level:
+    """Where the tries of one order are. Entries are numbered over all of them, and are the contexts of the next order.
+
+    at: where each trie's contexts start; None for the ranges of the vocabulary.
+    """
+
+    def __init__(self, paths: tuple[str, ...], entries: list[int], at: np.ndarray | None = None):
+        self.paths, self.first, self.at = paths, starts(np.array(entries, dtype=np.int64)), at
+
+    def look(self, contexts: np.ndarray, words: np.ndarray, at: np.ndarray, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Entries (-1: none) of pairs in the order of their contexts, and log probabilities if those of the order below are given."""
+        out, value = np.full(len(contexts), -1, dtype=np.int64), None if lower is None else lower.copy()
+        cuts = np.searchsorted(contexts, at)
+        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                own, c = trie(self.paths[r]), contexts[a:b] - at[r]
+                i = own.find(c, words[a:b])
+                if value is not None:
+                    value[a:b] = own.scores(i, c, lower[a:b], self.at is not None)
+                out[a:b] = np.where(i >= 0, i + self.first[r], -1)
+        return out, value
+
+
+class Grams:
+    """The n-grams of a batch of texts, order by order: distinct pairs of a context and a word.
+
+    word: each token's id, -1 for unknown ones; at: where each text's tokens start, and the end.
+    """
+
+    def __init__(self, word: np.ndarray, at: np.ndarray, begin: int):
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[at[:-1]] = begin
+        self.word, self.inner = word, np.ones(len(word), dtype=bool)
+        self.inner[at[:-1]] = False
+        self._distinct(np.arange(len(word)), (context + 1).astype(np.uint64))
+        self.contexts -= 1
+
+    def _distinct(self, where: np.ndarray, context: np.ndarray) -> None:
+        key = context << np.uint64(32) | (self.word[where] + 1).astype(np.uint64)
+        pairs, self.one, self.number, self.counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        self.where, self.one = where, where[self.one]
+        self.contexts, self.words = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+
+    def longer(self, entries: np.ndarray) -> None:
+        """Go on to the next order: tokens after an n-gram that the model has. A text's first token has no longer context than its begin."""
+        number = np.full(len(self.word) + 1, -1, dtype=np.int64)
+        number[self.where + 1] = np.where(entries[self.number] >= 0, self.number, -1)
+        where = np.flatnonzero((number[:-1] >= 0) & self.inner)
+        # distinct pairs are in the order of their entries, so those of the next order are too
+        self._distinct(where, number[where].astype(np.uint64))
+        self.contexts = entries[self.contexts]
+
+
+def _tokens(words: Words, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all words, with the end after each text's; where each text's tokens start, and the end."""
+    at = words.at + np.arange(len(words.at))
+    token = np.full(int(at[-1]), end)
+    inside = np.ones(len(token), dtype=bool)
+    inside[at[1:] - 1] = False
+    token[inside] = codes
+    return token, at
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Columns of 32-bit numbers, the first as differences, compressed."""
     first = np.diff(arrays[0], prepend=arrays[0].dtype.type(0))
@@ -264,9 +340,10 @@ def _vocabulary_files(train: DataFrame, ranges: int, folder: str) -> DataFrame:
     return materialize(rows.groupBy("range").applyInArrow(merge, "range int, path string, n_words long, n_tokens long"), f"{folder}/vocabulary")
 
 
-def _trie_files(train: DataFrame, paths: tuple[str, ...], total: int, distinct: int, folder: str) -> DataFrame:
-    """Count all bigrams and write each range's trie; rows (range, path, n_bigrams)."""
+def _trie_files(train: DataFrame, paths: tuple[str, ...], total: int, distinct: int, folder: str, levels: tuple[Level, ...] = ()) -> Level:
+    """Count all n-grams of the order after the given ones and write each range's trie."""
     ranges = len(paths)
+    bounds = np.arange(ranges + 1, dtype=np.int64) * int(levels[-1].first[-1]) // ranges if levels else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(paths)
@@ -274,22 +351,17 @@ def _trie_files(train: DataFrame, paths: tuple[str, ...], total: int, distinct:
         for batch in slices(batches):
             words = Words(batch.column(0), lower=True)
             ids = known.ids(np.concatenate([word_hashes(words.vocab), [END]]))
-            at = words.at + np.arange(len(words.at))
-            token = np.full(int(at[-1]), ids[-1])
-            inside = np.ones(len(token), dtype=bool)
-            inside[at[1:] - 1] = False
-            token[inside] = ids[words.codes]
-            context = np.empty_like(token)
-            context[1:] = token[:-1]
-            context[at[:-1]] = begin
-            keys, n = np.unique(context.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64), return_counts=True)
-            context, token = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-            cuts = np.searchsorted(context, known.at).tolist()
+            grams = Grams(*_tokens(words, ids[words.codes], ids[-1]), begin)
+            for level in levels:
+                grams.longer(level.look(grams.contexts, grams.words, known.at if level.at is None else level.at)[0])
+            at = known.at if bounds is None else bounds
+            cuts = np.searchsorted(grams.contexts, at).tolist()
             rows = []
             for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
-                    rows.append((r, _pack(context[a:b].astype(np.uint32) - np.uint32(known.at[r]), token[a:b], n[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "data"])
+                    rows.append((r, _pack((grams.contexts[a:b] - at[r]).astype(np.uint32), grams.words[a:b], grams.counts[a:b])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "data"])
 
     def build(table: pa.Table) -> pa.Table:
         r, known = table.column("range")[0].as_py(), vocabulary(paths)
@@ -302,22 +374,25 @@ def _trie_files(train: DataFrame, paths: tuple[str, ...], total: int, distinct:
         counts = np.add.reduceat(n, first) if len(first) else n
         key = key[first]
         words = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        unigram = (known.counts_of(words) + 1) / (total + distinct + 1)
-        size = int(known.at[r + 1] - known.at[r])
-        path = f"{folder}/trie-{r:06d}-{uuid.uuid4().hex}.bin"
+        # of orders over two only the discounted part is kept: the order below of a word may be in any file, and is added when scoring
+        unigram = np.zeros(len(words)) if levels else (known.counts_of(words) + 1) / (total + distinct + 1)
+        at = known.at if bounds is None else bounds
+        size = int(at[r + 1] - at[r])
+        path = f"{folder}/trie-{len(levels) + 2}-{r:06d}-{uuid.uuid4().hex}.bin"
         save(path, Trie.build((key >> np.uint64(32)).astype(np.int64), words, counts, size, int(known.at[-1]), unigram))
-        return pa.table({"range": pa.array([r], pa.int32()), "path": [path], "n_bigrams": [len(key)]})
+        return pa.table({"range": pa.array([r], pa.int32()), "path": [path], "n_entries": [len(key)]})
 
     none = train.sparkSession.createDataFrame([(r, b"") for r in range(ranges)], "range int, data binary")
     rows = train.mapInArrow(count, "range int, data binary").unionByName(none)
-    return materialize(rows.groupBy("range").applyInArrow(build, "range int, path string, n_bigrams long"), f"{folder}/tries")
+    written = materialize(rows.groupBy("range").applyInArrow(build, "range int, path string, n_entries long"), f"{folder}/tries-{len(levels) + 2}").orderBy("range").collect()
+    return Level(tuple(r["path"] for r in written), [r["n_entries"] for r in written], bounds)
 
 
 class Model:
-    """Where the files of a trained model are, and its totals. Small: two paths for each range."""
+    """Where the files of a trained model are, and its totals. Small: a path for each range and order."""
 
-    def __init__(self, words: tuple[str, ...], tries: tuple[str, ...], total: int, distinct: int):
-        self.words, self.tries, self.total, self.distinct = words, tries, total, distinct
+    def __init__(self, words: tuple[str, ...], levels: tuple[Level, ...], total: int, distinct: int):
+        self.words, self.levels, self.total, self.distinct = words, levels, total, distinct
 
     def measure(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Tokens, known tokens, base score and score of each text."""
@@ -326,24 +401,14 @@ class Model:
         ids = known.ids(np.concatenate([word_hashes(words.vocab), [END, BEGIN]]))
         counts = known.counts_of(ids)
         unigram = np.log10((counts + 1) / (self.total + 1 * (self.distinct + 1)))
-        at = words.at + np.arange(len(words.at))
-        token = np.full(int(at[-1]), len(ids) - 2)
-        inside = np.ones(len(token), dtype=bool)
-        inside[at[1:] - 1] = False
-        token[inside] = words.codes
-        context = np.empty_like(token)
-        context[1:] = token[:-1]
-        context[at[:-1]] = len(ids) - 1
+        token, at = _tokens(words, words.codes, len(ids) - 2)
         # distinct pairs in the order of their contexts' ids, so that lookups go through each trie once and forwards
-        key = (ids[context] + 1).astype(np.uint64) << np.uint64(32) | (ids[token] + 1).astype(np.uint64)
-        pairs, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        c, w, u = (pairs >> np.uint64(32)).astype(np.int64) - 1, ids[token[where]], unigram[token[where]]
-        value = u.copy()
-        cuts = np.searchsorted(c, known.at)
-        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                value[a:b] = trie(self.tries[r]).log10(c[a:b] - known.at[r], w[a:b], u[a:b])
-        score = value[inverse]
+        grams, score = Grams(ids[token], at, int(ids[-1])), unigram[token]
+        for k, level in enumerate(self.levels):
+            entries, value = level.look(grams.contexts, grams.words, known.at if level.at is None else level.at, score[grams.one])
+            score[grams.where] = value[grams.number]
+            if k + 1 < len(self.levels):
+                grams.longer(entries)
         return {
             "n_tokens": np.diff(at),
             "n_known": sums((counts > 0).astype(np.int64)[token], at),
@@ -353,8 +418,8 @@ class Model:
         }
 
 
-def train(df: DataFrame, text: str = "text") -> Model:
-    """Learn from every row's text; a null one counts as empty. Two passes: the vocabulary, then the bigrams.
+def train(df: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Learn n-grams of up to ``order`` words, two at least, from every row's text; a null one counts as empty. A pass for each order: the vocabulary, the bigrams, ...
 
     Counts are merged per batch before the shuffles, which are by range of word hashes: a frequent word's successors are one entry a batch and distinct
     successor. Files have new names in each attempt, and count only by the written tables that list them.
@@ -366,8 +431,10 @@ def train(df: DataFrame, text: str = "text") -> Model:
     words = _vocabulary_files(source, ranges, folder).orderBy("range").collect()
     total, distinct = sum(r["n_tokens"] for r in words), sum(r["n_words"] for r in words)
     paths = tuple(r["path"] for r in words)
-    tries = _trie_files(source, paths, total, distinct, folder).orderBy("range").collect()
-    return Model(paths, tuple(r["path"] for r in tries), total, distinct)
+    levels: tuple[Level, ...] = ()
+    for _ in range(2, max(2, order) + 1):
+        levels = (*levels, _trie_files(source, paths, total, distinct, folder, levels))
+    return Model(paths, levels, total, distinct)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -390,7 +457,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 def query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    model = train(documents.filter(F.coalesce(~held, F.lit(True))))
+    model = train(documents.filter(F.coalesce(~held, F.lit(True))), order=ORDER)
     return score(documents, model).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

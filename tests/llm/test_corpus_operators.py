@@ -289,6 +289,44 @@ def test_language_model_of_nothing(spark):
     assert (row.n_tokens, row.n_known, row.base_score) == (3, 0, 0.0) and row.score == pytest.approx(0, abs=0.01)
 
 
+def test_language_model_of_longer_contexts(spark):
+    random.seed(9)
+    vocab = [f"v{i}" for i in range(12)]
+    rows = [(i, " ".join(random.choice(vocab[: 3 + i % 9]) for _ in range(random.randrange(0, 60)))) for i in range(40)]
+    asked = [*rows, (900, "v1 v2 unknown v3 v1 v2"), (901, "never seen Words"), (902, None)]
+    tokens = lambda t: ["<s>", *words(t), None]
+    for order in (3, 4):
+        model = language_model.train(table(spark, rows), order=order)
+        got = {(r.doc_id, r.n_tokens): r.score for r in language_model.score(table(spark, asked), model).collect()}
+        counts, after = Counter(), {}
+        for _, t in rows:
+            ts = tokens(t)
+            for n in range(2, order + 1):
+                for i in range(n - 1, len(ts)):
+                    counts[tuple(ts[i - n + 1 : i + 1])] += 1
+        for gram, n in counts.items():
+            after.setdefault(gram[:-1], []).append(n)
+        c = Counter(w for _, t in rows for w in tokens(t)[1:])
+
+        def p(context, w, d):
+            out = (c[w] + 1) / (model.total + model.distinct + 1)
+            for n in range(1, min(len(context), order - 1) + 1):
+                if ns := after.get(h := tuple(context[-n:])):
+                    out = max(counts[(*h, w)] - d, 0) / sum(ns) + d * len(ns) / sum(ns) * out
+            return math.log10(out)
+
+        for k, t in asked:
+            ts = tokens(t)
+            # each file has its own discount: the score is between those of the least and the most at every order
+            each = [[p(ts[:i], ts[i], d) for d in np.linspace(0.1, 0.95, 18)] for i in range(1, len(ts))]
+            assert sum(map(min, each)) - 0.15 * len(each) <= got[k, len(each)] <= sum(map(max, each)) + 0.1 * len(each)
+    # a word that only the two before it tell: a bigram model can't
+    texts = [(i, "a x b" if i % 2 else "c x d") for i in range(200)]
+    two, three = ({r.doc_id: r.score for r in language_model.score(table(spark, texts), language_model.train(table(spark, texts), order=o)).collect()} for o in (2, 3))
+    assert three[1] > two[1] + 0.2 and language_model.ORDER >= 3
+    assert language_model.score(table(spark, [(1, "a")]), language_model.train(table(spark, []), order=3)).first().n_known == 0
+
+
 PAGE = """<!doctype html><html><head><title>T &amp; t</title><style>p{}</style><script>x="</p><p>no"</script></head><body><header>Site</header>
 <nav><ul><li><a href=x>Home</a></li></ul></nav><!-- hidden --><div class="cookie-notice">We use cookies</div><main><div class="post"><header><h1>Head
 line</h1></header><p>One &lt;b&gt; <b>two</b>&nbsp;three<p>four<br>five</p><ul><li>six<li>seven</ul><table><tr><td>a</td><td>b</td></tr></table>
