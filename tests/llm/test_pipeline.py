@@ -48,6 +48,17 @@ def test_one_document_of_each_group_stays(spark, tmp_path):
     assert got == sorted({c for *_, c in similar(rows)})
 
 
+def test_near_copies_under_one_key_are_one_group(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    # 7 holds two near copies; 9 a near copy of what 3 holds, besides a text that is alone; 5 holds all of another group
+    rows = [(7, a), (7, near(a)), (3, b), (9, near(b)), (9, c), (5, "some words of their own, in a line"), (5, "some words of their own, in a line"), (9, near(a))]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], COLUMNS)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_similar(spark, docs, str(tmp_path)).collect())
+    assert [k for k, _ in got] == [3, 5, 7, 9]
+    assert got[0] == (3, b) and got[2][1] in (a, near(a)) and got[3] == (9, c)
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, corpus(spark, tmp_path, [], [])).count() == 0
 
