@@ -176,7 +176,7 @@ class Scanner:
         best = None
         names: set[str] = set()
         for share, wording in self.rank(block):
-            if wording.license not in names and len(names) >= self.candidates:
+            if wording.license not in names and len(names) >= self.candidates and best is not None:
                 continue
             names.add(wording.license)
             got = self.confirm(words, wording)
@@ -197,12 +197,13 @@ class Scanner:
         """Findings (license, start, end, saved share, differing words) by place; offsets count code points."""
         out = []
         for a, b in self.blocks(text):
-            found = self.identify(text[a:b])
-            if not found:  # the run hides a notice among other sentences: each that holds a trigger on its own
-                for m in _UNIT.finditer(text, a, b):
+            found = [(name, x + a, y + a, share, n) for name, x, y, share, n in self.identify(text[a:b])]
+            # what is left may hide a notice among other sentences: each that holds a trigger on its own
+            for x, y in zip([a, *(f[2] for f in found)], [*(f[1] for f in found), b]):
+                for m in _UNIT.finditer(text, x, y):
                     if self.trigger.search(m.group()):
-                        out += [(name, x + m.start(), y + m.start(), share, n) for name, x, y, share, n in self.identify(m.group())]
-            out += [(name, x + a, y + a, share, n) for name, x, y, share, n in found]
+                        out += [(name, s + m.start(), e + m.start(), share, n) for name, s, e, share, n in self.identify(m.group())]
+            out += found
         for m in SPDX.finditer(text):
             out.append((m.group(1).rstrip("."), m.start(), m.end(), 1.0, 0))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
@@ -219,7 +220,7 @@ FINDINGS = (("license", T.StringType(), pa.string()), ("start", T.LongType(), pa
 def find_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, candidates: int = 4, differences: int = 20) -> DataFrame:
     """A row for each notice found: key, license, start and end in code points, saved, differences.
 
-    ``candidates`` licenses with the largest savings are confirmed; at most ``differences`` percent of a wording's words may
+    ``candidates`` licenses with the largest savings are confirmed, and if none of them can be, the others in their order until one is; at most ``differences`` percent of a wording's words may
     differ, and none of the words that tell licenses apart. A text without a notice, null or empty, gives no row. Repeated rows give equal
     findings. Whole texts are scanned, and nothing is shuffled.
     """

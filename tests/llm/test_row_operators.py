@@ -180,3 +180,15 @@ def test_license_winner_is_the_one_of_all_wordings():
             own = licenses.tokens(block)
             confirmed = [(c[0] / len(x.words), -len(x.words), x.license) for x in s.wordings if (c := s.confirm(own, x))]
             assert [f[0] for f in found][:1] == [min(confirmed)[2]] if confirmed else found == ()
+
+
+def test_license_after_a_notice_and_sentences_like_licenses():
+    s = licenses.scanner()
+    mit = next(w.text for w in s.wordings if w.license == "MIT" and len(w.words) > 40)
+    between = "The software is provided to any person subject to the terms of this license and the conditions that follow. You may use and copy the software. "
+    for tail in ("Licensed under CC0 1.0.",):
+        alone = [f[0] for f in s.scan(tail)]
+        assert alone == ["CC0-1.0"]
+        for text in (f"{mit} {between * 3}{tail}", f"{between * 3}{tail} {between * 3}{mit}", f"{between * 3}{tail}"):
+            found = [(f[0], text[f[1] : f[2]]) for f in s.scan(text)]
+            assert ("CC0-1.0", tail) in found and len(found) == 1 + (mit in text), found
