@@ -142,7 +142,8 @@ class Parsed:
 def parse(media: bytes) -> Parsed:
     """Walk the frames. Lost sync is regained at the next header that another header, or the end, follows.
 
-    Frames cut off by the end of the file don't count. Empty bytes give no frames.
+    Frames cut off by the end of the file don't count. TAG 128 bytes before the end begins a tag only if no frame that ends with the file holds it.
+    Empty bytes give no frames.
     """
     out, n, pos = Parsed(), len(media), 0
     if media[:3] == b"ID3" and n >= 10:
@@ -155,9 +156,7 @@ def parse(media: bytes) -> Parsed:
             out.tags[":".join([name, *[p.decode("latin-1") for p in parts[:-1] if p]])] = parts[-1].decode("latin-1")
             at += 10 + length
         pos = end
-    if n >= 128 and media[n - 128 : n - 125] == b"TAG":
-        n -= 128
-        out.tags["TAG"] = media[n + 3 : n + 33].rstrip(b"\0 ").decode("latin-1")
+    tail = n - 128 if n >= 128 and media[n - 128 : n - 125] == b"TAG" else n  # a tag, or bytes of a frame that ends with the file
     seen: dict[bytes, Header | None] = {}
     checked: dict[bytes, int] = {}
 
@@ -171,8 +170,12 @@ def parse(media: bytes) -> Parsed:
 
     synced = False
     while pos + 4 <= n:
+        if pos == tail:
+            out.tags["TAG"] = media[pos + 3 : pos + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         h = at_(pos)
-        if h is not None and pos + h.length <= n and (synced or pos + h.length == n or at_(pos + h.length) is not None):
+        end = pos + h.length if h is not None else 0
+        if h is not None and end <= n and not pos < tail < end < n and (synced or end in (tail, n) or at_(end) is not None):
             synced = True
             if out.first is None:
                 out.first = h
@@ -198,8 +201,9 @@ def parse(media: bytes) -> Parsed:
             pos += h.length
         else:
             synced = False
-            nxt = media.find(b"\xff", pos + 1, n)
-            nxt = n if nxt < 0 else nxt
+            stop = tail if pos < tail else n
+            nxt = media.find(b"\xff", pos + 1, stop)
+            nxt = stop if nxt < 0 else nxt
             out.skipped += nxt - pos
             pos = nxt
     return out

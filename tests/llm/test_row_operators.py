@@ -138,6 +138,21 @@ def test_media_parser_survives_damage(spark):
     assert [(r.kind, r.n_frames) for r in media.media_features(rows).collect()] == [(None, 0)] * 3
 
 
+def test_media_with_tag_in_the_last_frame():
+    for units in (1, 2, 5):
+        for at in range(576 * units - 128, 576 * units - 3):
+            payload = bytearray(b"a" * 576 * units)
+            payload[at : at + 3] = b"TAG"
+            made = media.encode(bytes(payload), len(payload))
+            found = media.parse(made)
+            assert media.decode(made, found) == payload and found.skipped == 0 and "TAG" not in found.tags
+            tagged = made + b"TAG" + b"Title".ljust(125, b"\0")
+            found = media.parse(tagged)
+            assert media.decode(tagged, found) == payload and found.skipped == 0 and found.tags["TAG"] == "Title"
+    found = media.parse(made[:-100] + b"TAG" + b"Title".ljust(125, b"\0"))
+    assert len(found.offsets) == units - 1 and found.tags["TAG"] == "Title"
+
+
 def test_headers_of_other_layers():
     assert media.header(0xFFFB9044).length == 417 and media.header(0xFFFB9044).channels == 2
     assert media.header(0xFFF38044).samples == 576
