@@ -42,10 +42,18 @@ _CHROME = frozenset(
     "related recommended popup modal overlay pagination pager widget login signup toolbar respond replies skip".split()
 )
 _MAIN = frozenset(("article", "post", "entry", "story", "content", "main"))
+_PLACES = frozenset("site page main post entry article content global primary secondary top bottom left right header js".split())
 _ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+", re.I)
 
 
+def _named_chrome(parts: list[str]) -> bool:
+    """Whether a name begins with a word of chrome, or goes on with one after words for a part of a page: has-sidebar doesn't."""
+    while parts and parts[0] in _PLACES and parts[0] not in _CHROME:
+        parts = parts[1:]
+    return bool(parts) and parts[0] in _CHROME
+
+
 @lru_cache(maxsize=10_000)
 def role(tag: str, attributes: str) -> str:
     """chrome, main or nothing, from a tag and its class, id, role and visibility."""
@@ -55,11 +63,11 @@ def role(tag: str, attributes: str) -> str:
     if tag in _CHROME_TAGS or found.get("role", "").lower() in _CHROME_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return "chrome"
     names = [w.lower() for w in (found.get("class", "") + " " + found.get("id", "")).split()]
-    parts = {p for w in names for p in _PART.findall(w)} if names else set()
-    if tag not in ("body", "html", "main") and parts & _CHROME:
-        return "chrome"
     if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article"):
-        return "main"
+        # names of an article often are its subjects, such as category-cookies: only whole names tell
+        return "chrome" if (tag == "article" or found.get("role", "").lower() == "article") and tag != "main" and _CHROME.intersection(names) else "main"
+    if tag not in ("body", "html") and any(_named_chrome(_PART.findall(w)) for w in names):
+        return "chrome"
     if tag == "header":
         return "header"
     return "content" if tag in ("div", "section") and any(set(_PART.findall(w)) & _MAIN and not set(_PART.findall(w)) - _MAIN - {"body", "text", "page", "area", "wrap", "inner"} for w in names) else ""

@@ -353,6 +353,18 @@ def test_article_after_a_menu_that_is_left_open():
     assert html_text.marked_text(html_text.blocks(page, unclosed=True)) == "The text."
 
 
+@pytest.mark.parametrize("names", ["post category-related", "post tag-cookies", "hentry category-advertising", "post-7 tag-sidebar has-banner"])
+def test_article_whose_names_tell_its_subject(names):
+    page = f"<nav>Home</nav><article class='{names}'><p>The text.</p><div class='site-footer'>f</div><div class=cookie-notice>c</div></article><div>out</div>"
+    assert html_text.marked_text(html_text.blocks(page)) == "The text."
+
+
+def test_whole_and_leading_names_are_chrome():
+    assert html_text.marked_text(html_text.blocks("<div class='content has-sidebar'><p>The text.</p></div><div class='sidebar-left'>no</div>")) == "The text."
+    page = "<article><p>The text.</p></article><article class='comment'>no</article><article class=ad>no</article><div class='comments-area'>no</div>"
+    assert html_text.marked_text(html_text.blocks(page)) == "The text."
+
+
 def unmarked(n, seed=1):
     random.seed(seed)
     own = lambda: " ".join(f"u{random.randrange(10**6)}" for _ in range(40))
