@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into words at once, and of an Arrow batch. Arrays over words take some fifteen times that.
 SLICE_BYTES = BATCH_BYTES = 8 << 20
@@ -174,4 +175,9 @@ def word_hashes(vocab: pa.Array) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in vocab.to_pylist()), dtype=np.uint64, count=len(vocab))
+    return np.fromiter(map(digest, vocab.to_pylist()), dtype=np.uint64, count=len(vocab))
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of all texts: what numbers of ranges, buckets and shards follow from, whatever the session's settings are."""
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -1,17 +1,20 @@
 """An n-gram language model of the whole corpus in Elias-Fano tries that are memory-mapped for scoring.
 
-The vocabulary, every distinct token and its count, and the tries are files of the shared folder, one of each for a range of word hashes. A
-trie has the range's words as contexts, monotone pointers to each one's successors, the successors as one monotone sequence
-(context * width + word), and for every successor its smoothed log probability in 16 bits. A lookup is a successor search: the high bits
-give the few entries of one bucket by select, the low bits of those are searched. Tries of each further order have the entries of the
-order below as contexts, cut into equal ranges of their numbers, so that a frequent word's successors are in many files. Smoothing interpolates absolute
-discounting with the add-one unigram model, so probabilities of all words and an unknown one sum to one before rounding,
-and rounding only lowers them.
+The vocabulary, every distinct token and its count, and the tries are files of the shared folder. A trie file holds the n-grams of all orders that
+begin with a range of words; a word with very many tokens has files of its own, its successors split over them. Every level
+of a trie has, as an Elias-Fano sequence, monotone pointers from each context, which is an entry of the level above, to its successors; the
+successors in order in as many bits as a word needs; and for each a smoothed log probability in 16 bits. A lookup takes the two pointers of
+the context and searches for the word among that context's successors only.
+
+Smoothing interpolates absolute discounting, with three discounts for each order that come from the counts of counts of the whole corpus, with the add-one
+unigram model. So probabilities of all words and an unknown one sum to one before rounding, and rounding only lowers them. How the
+files are cut changes no probability.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, file_system, materialize, narrow, shared_dir, slices, starts, sums, word_hashes
+from .common import Words, drop_dir, file_system, materialize, narrow, shared_dir, slices, starts, sums, text_bytes, word_hashes
 
 #: Stand-ins for hashes of words: the context of a text's first word, and the token after its last.
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -30,6 +33,8 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 ORDER = 3
 #: Log probabilities are kept as multiples of this, rounded down.
 STEP = 1 / 4096
+#: Tokens whose n-grams one file is about for; a word with more is split. Bytes of tries that a worker keeps where it can't map files.
+FILE_TOKENS, KEPT_BYTES = 6_000_000, 256 << 20
 
 
 def bits_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -37,7 +42,7 @@ def bits_of(values: np.ndarray, width: int) -> np.ndarray:
     words = np.zeros(len(values) * width // 64 + 2, dtype=np.uint64)
     if width and len(values):
         at = np.arange(len(values), dtype=np.uint64) * np.uint64(width)
-        low = values & np.uint64((1 << width) - 1)
+        low = values.astype(np.uint64) & np.uint64((1 << width) - 1)
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         np.bitwise_or.at(words, word, low << shift)
         over = shift + np.uint64(width) > 64
@@ -45,13 +50,25 @@ def bits_of(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+def bits_at(packed: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
+    """The packed numbers at the places ``i``."""
+    if not width:
+        return np.zeros(len(i), dtype=np.uint64)
+    at = i.astype(np.uint64) * np.uint64(width)
+    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    both = packed[word] >> shift
+    # two shifts, as one by 64 bits gives nothing defined
+    both |= (packed[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+    return both & np.uint64((1 << width) - 1)
+
+
 class EliasFano:
     """A non-decreasing sequence of n numbers below a limit in about 2 + log2(limit / n) bits each."""
 
     BLOCK = 8  # words of high bits between two entries of the directory
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.width, self.low, self.high, self.zeros = n, width, low, high, zeros
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
 
     @classmethod
     def build(cls, values: np.ndarray, limit: int) -> EliasFano:
@@ -63,61 +80,29 @@ class EliasFano:
         flags = np.zeros(-(-length // (64 * cls.BLOCK)) * 64 * cls.BLOCK, dtype=np.uint8)
         flags[ones] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        per = 64 * cls.BLOCK - np.bitwise_count(high).reshape(-1, cls.BLOCK).sum(axis=1).astype(np.int64)
-        return cls(n, width, bits_of(values, width), high, np.concatenate([[0], np.cumsum(per)]))
+        return cls(n, width, bits_of(values, width), high, starts(np.bitwise_count(high).reshape(-1, cls.BLOCK).sum(axis=1).astype(np.int64)))
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.width], dtype=np.int64), self.low, self.high, self.zeros.astype(np.int64)]
+        return [np.array([self.n, self.width], dtype=np.int64), self.low, self.high, self.ones]
 
-    def lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.width:
-            return np.zeros(len(i), dtype=np.uint64)
-        at = i.astype(np.uint64) * np.uint64(self.width)
-        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        both = self.low[word] >> shift
-        both |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return both & np.uint64((1 << self.width) - 1)
-
-    def select0(self, k: np.ndarray) -> np.ndarray:
-        """The position of the k-th zero among the high bits, from 0."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        left, word = k - self.zeros[block], block * self.BLOCK
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The position of the k-th one among the high bits, from 0."""
+        block = np.searchsorted(self.ones, k, side="right") - 1
+        left, word = k - self.ones[block], block * self.BLOCK
         for _ in range(self.BLOCK - 1):
-            here = 64 - np.bitwise_count(self.high[word]).astype(np.int64)
+            here = np.bitwise_count(self.high[word]).astype(np.int64)
             on = left >= here
             left, word = left - here * on, word + on
-        bits, at = ~self.high[word], np.zeros(len(k), dtype=np.uint64)
+        bits, at = self.high[word], np.zeros(len(k), dtype=np.uint64)
         for half in (32, 16, 8, 4, 2, 1):
             here = np.bitwise_count((bits >> at) & np.uint64((1 << half) - 1)).astype(np.int64)
             on = left >= here
             left, at = left - here * on, at + np.uint64(half) * on.astype(np.uint64)
         return word * 64 + at.astype(np.int64)
 
-    def bucket(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From where to where entries have the high bits of each value."""
-        h = (value >> np.uint64(self.width)).astype(np.int64)
-        end = self.select0(h) - h
-        begin = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) - (h - 1), 0)
-        return begin, end
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The index of each value, or -1: the first entry that isn't less, if it is equal."""
-        value = value.astype(np.uint64)
-        low, high = self.bucket(value)
-        end, want = high.copy(), value & np.uint64((1 << self.width) - 1)
-        while (going := np.flatnonzero(low < high)).size:
-            middle = (low[going] + high[going]) >> 1
-            less = self.lows(middle) < want[going]
-            low[going[less]], high[going[~less]] = middle[less] + 1, middle[~less]
-        out = np.where(low < end, low, -1)
-        some = np.flatnonzero(out >= 0)
-        out[some[self.lows(out[some]) != want[some]]] = -1
-        return out
-
-    def values(self) -> np.ndarray:
-        """All numbers."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)) | self.lows(np.arange(self.n))
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The i-th number, for each i."""
+        return ((self.select(i) - i) << self.width) | bits_at(self.low, self.width, i).astype(np.int64)
 
 
 def save(uri: str, arrays: list[np.ndarray]) -> None:
@@ -131,16 +116,17 @@ def save(uri: str, arrays: list[np.ndarray]) -> None:
             out.write(a.tobytes() + bytes(-a.nbytes % 8))
 
 
-def mapped(uri: str) -> list[np.ndarray]:
-    """The arrays of a file: memory-mapped, or read where the file system can't map."""
+def mapped(uri: str) -> tuple[list[np.ndarray], int]:
+    """The arrays of a file, and how many bytes of memory they take: none if mapped, all where the file system can't map."""
     system, path = file_system(uri)
-    raw = np.memmap(path, dtype=np.uint8, mode="r") if system.type_name == "local" else np.frombuffer(system.open_input_file(path).read(), dtype=np.uint8)
+    local = system.type_name == "local"
+    raw = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray) if local else np.frombuffer(system.open_input_file(path).read(), dtype=np.uint8)
     count = int(raw[:8].view("<i8")[0])
     table, at, out = raw[8 : 8 + 24 * count].view("<i8").reshape(count, 3), 8 + 24 * count, []
     for kind, size, n in table.tolist():
         out.append(raw[at : at + n * size].view(np.dtype(f"<{chr(kind)}{size}")))
         at += -(-n * size // 8) * 8
-    return out
+    return out, 0 if local else len(raw)
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -151,62 +137,81 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
 class Vocabulary:
     """Word hashes in order, over all ranges, and their counts. A word's id is its place."""
 
-    def __init__(self, paths: list[str]):
-        files = [mapped(p) for p in paths]
-        self.hashes, self.counts = [f[0] for f in files], [f[1] for f in files]
-        self.at = starts(np.array([len(h) for h in self.hashes], dtype=np.int64))
+    def __init__(self, paths: tuple[str, ...], at: np.ndarray):
+        self.paths, self.at = paths, at
+
+    def _parts(self, cuts: np.ndarray) -> Iterator[tuple[int, slice, list[np.ndarray]]]:
+        for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+            if a < b and self.at[r] < self.at[r + 1]:
+                yield r, slice(a, b), opened(self.paths[r])
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of hashes, -1 for unknown ones."""
         order = np.argsort(hashes)
-        sorted_, out = hashes[order], np.full(len(hashes), -1, dtype=np.int64)
-        cuts = np.searchsorted(range_of(sorted_, len(self.hashes)), np.arange(len(self.hashes) + 1))
-        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b and len(self.hashes[r]):
-                i = np.minimum(np.searchsorted(self.hashes[r], sorted_[a:b]), len(self.hashes[r]) - 1)
-                out[order[a:b]] = np.where(self.hashes[r][i] == sorted_[a:b], i + self.at[r], -1)
+        sorted_, found = hashes[order], np.full(len(hashes), -1, dtype=np.int64)
+        for r, own, (known, _) in self._parts(np.searchsorted(range_of(sorted_, len(self.paths)), np.arange(len(self.paths) + 1))):
+            i = np.minimum(np.searchsorted(known, sorted_[own]), len(known) - 1)
+            found[own] = np.where(known[i] == sorted_[own], i + self.at[r], -1)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        out, r = np.zeros(len(ids), dtype=np.int64), np.searchsorted(self.at, ids, side="right") - 1
-        for k in np.unique(r[ids >= 0]).tolist():
-            own = (r == k) & (ids >= 0)
-            out[own] = self.counts[k][ids[own] - self.at[k]]
+        """How often each word is in the training texts; 0 for unknown ones."""
+        order = np.argsort(ids)
+        sorted_, found = ids[order], np.zeros(len(ids), dtype=np.int64)
+        for r, own, (_, counts) in self._parts(np.searchsorted(sorted_, self.at)):
+            found[own] = counts[sorted_[own] - self.at[r]]
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
-@lru_cache(maxsize=1)
-def vocabulary(paths: tuple[str, ...]) -> Vocabulary:
-    return Vocabulary(list(paths))
+_OPENED: OrderedDict[str, tuple[object, int]] = OrderedDict()
+
 
+def opened(path: str, make=list):
+    """What ``make`` gives for a file's arrays, kept in the worker: mapped files always, of others the last used ones up to KEPT_BYTES."""
+    if path not in _OPENED:
+        arrays, size = mapped(path)
+        while _OPENED and sum(n for _, n in _OPENED.values()) + size > KEPT_BYTES or len(_OPENED) > 8192:
+            _OPENED.popitem(last=False)
+        _OPENED[path] = (make(arrays), size)
+    _OPENED.move_to_end(path)
+    return _OPENED[path][0]
 
-class Trie:
-    """One range's contexts, their successors and probabilities."""
+
+class Level:
+    """The n-grams of one order in a trie file: pointers of the contexts, their successors, codes, and what each context leaves to the order below."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        self.width = int(arrays[0][0])
-        self.pointers = EliasFano(int(arrays[1][0]), int(arrays[1][1]), *arrays[2:5])
-        self.entries = EliasFano(int(arrays[5][0]), int(arrays[5][1]), *arrays[6:9])
-        self.codes, self.rest = arrays[9], arrays[10]
+        (n, width), low, high, ones, self.words, (self.width,), self.codes, self.rest = arrays
+        self.pointers = EliasFano(int(n), int(width), low, high, ones)
+        self.width = int(self.width)
 
     @staticmethod
-    def build(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, size: int, width: int, unigram: np.ndarray) -> list[np.ndarray]:
-        """From distinct (context, word) in order, and the unigram probability of each word."""
-        n = np.bincount(contexts, minlength=size)
-        total = np.bincount(contexts, weights=counts, minlength=size)
-        one, two = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
-        rest = np.where(total > 0, discount * n / np.maximum(total, 1), 1.0)
-        p = (counts - discount) / total[contexts] + rest[contexts] * unigram
-        pointers = EliasFano.build(starts(n).astype(np.uint64), len(words) + 1)
-        entries = EliasFano.build(contexts.astype(np.uint64) * np.uint64(width) + words.astype(np.uint64), size * width + 1)
-        quantised = lambda x: np.minimum(65535, np.ceil(-np.log10(x) / STEP)).astype(np.uint16)
-        return [np.array([width], dtype=np.int64), *pointers.parts(), *entries.parts(), quantised(p), quantised(rest)]
+    def build(contexts: np.ndarray, words: np.ndarray, size: int, width: int, p: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+        """From distinct (context, word) in order, their probabilities and each context's rest."""
+        pointers = EliasFano.build(starts(np.bincount(contexts, minlength=size)), len(words) + 1)
+        return [*pointers.parts(), bits_of(words, width), np.array([width], dtype=np.int64), quantised(p), quantised(rest)]
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The entry of each word after its context, -1 if there is none; unknown words are -1."""
-        out, known = np.full(len(words), -1, dtype=np.int64), np.flatnonzero(words >= 0)
-        out[known] = self.entries.find(contexts[known].astype(np.uint64) * np.uint64(self.width) + words[known].astype(np.uint64))
+        """The entry of each word among the successors of its context, -1 if there is none; contexts are in order, unknown words -1."""
+        if not len(contexts):
+            return np.zeros(0, dtype=np.int64)
+        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+        own, times = contexts[first], np.diff(np.append(first, len(contexts)))
+        begin, end = np.repeat(self.pointers.get(own), times), np.repeat(self.pointers.get(own + 1), times)
+        out, going = np.full(len(words), -1, dtype=np.int64), np.flatnonzero((begin < end) & (words >= 0))
+        low, high, want = begin[going], end[going] - 1, words[going].astype(np.uint64)
+        while len(going):
+            middle = (low + high) >> 1
+            here = bits_at(self.words, self.width, middle)
+            hit, less = here == want, here < want
+            out[going[hit]] = middle[hit]
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle - 1)
+            on = np.flatnonzero(~hit & (low <= high))
+            going, low, high, want = going[on], low[on], high[on], want[on]
         return out
 
     def scores(self, entries: np.ndarray, contexts: np.ndarray, lower: np.ndarray, partial: bool) -> np.ndarray:
@@ -217,73 +222,102 @@ class Trie:
         out[hit] = np.log10(10**own + 10 ** out[hit]) if partial else own
         return out
 
-    def log10(self, contexts: np.ndarray, words: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """Of each word after its context; unknown words are -1. unigram: the words' log probabilities in the unigram model."""
-        return self.scores(self.find(contexts, words), contexts, unigram, False)
 
-    def successors(self, context: int) -> np.ndarray:
-        """The words seen after a context, in order, by its pointers."""
-        at = self.pointers.values()
-        return self.entries.values()[int(at[context]) : int(at[context + 1])] - np.uint64(context * self.width)
+def quantised(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.minimum(65535, np.ceil(-np.log10(p) / STEP)).astype(np.uint16)
 
 
-@lru_cache(maxsize=4096)
-def trie(path: str) -> Trie:
-    return Trie(mapped(path))
+class Trie(list):
+    """The levels of a file, from order 2 on."""
 
+    def __init__(self, arrays: list[np.ndarray]):
+        super().__init__(Level(arrays[i : i + 8]) for i in range(0, len(arrays), 8))
 
-class Level:
-    """Where the tries of one order are. Entries are numbered over all of them, and are the contexts of the next order.
 
-    at: where each trie's contexts start; None for the ranges of the vocabulary.
-    """
+class Layout:
+    """Which file has which n-grams: by the range of the first word, and for hot first words by the second one too.
 
-    def __init__(self, paths: tuple[str, ...], entries: list[int], at: np.ndarray | None = None):
-        self.paths, self.first, self.at = paths, starts(np.array(entries, dtype=np.int64)), at
+    at: where each range's word ids start, and the end; hot: hot ids in order; parts: how many files each has.
+    """
 
-    def look(self, contexts: np.ndarray, words: np.ndarray, at: np.ndarray, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Entries (-1: none) of pairs in the order of their contexts, and log probabilities if those of the order below are given."""
-        out, value = np.full(len(contexts), -1, dtype=np.int64), None if lower is None else lower.copy()
-        cuts = np.searchsorted(contexts, at)
-        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                own, c = trie(self.paths[r]), contexts[a:b] - at[r]
-                i = own.find(c, words[a:b])
-                if value is not None:
-                    value[a:b] = own.scores(i, c, lower[a:b], self.at is not None)
-                out[a:b] = np.where(i >= 0, i + self.first[r], -1)
-        return out, value
+    def __init__(self, at: np.ndarray, hot: np.ndarray, parts: np.ndarray):
+        self.at, self.hot, self.parts = at, hot, parts
+        self.first = len(at) - 1 + starts(parts)
+        self.base = np.concatenate([at[:-1], np.repeat(hot, parts)])  # the first context of each file
+        self.width = max(1, int(at[-1]).bit_length())
+
+    @property
+    def files(self) -> int:
+        return int(self.first[-1])
+
+    def size(self, file: int) -> int:
+        """How many first words a file is about."""
+        return int(self.at[file + 1] - self.at[file]) if file < len(self.at) - 1 else 1
+
+    def runs(self, contexts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(file, from, to) of pairs in order; pairs of unknown contexts (-1) are in none."""
+        file = np.searchsorted(self.at, contexts, side="right") - 1
+        if len(self.hot):
+            i = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
+            own = self.hot[i] == contexts
+            file[own] = self.first[i[own]] + np.maximum(words[own], 0) * self.parts[i[own]] // max(1, int(self.at[-1]))
+        cuts = np.flatnonzero(np.concatenate([[True], file[1:] != file[:-1], [True]])) if len(file) else np.zeros(1, np.int64)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            if file[a] >= 0:
+                yield int(file[a]), a, b
+
+
+def distinct(key: np.ndarray, inverse: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Distinct values in order, how often each occurs, a place of each, and the number of the value at each place."""
+    if not inverse:
+        key, order = np.sort(key), None
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    new = np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(key)))
+    if order is None:
+        return key[first], counts, None, None
+    number = np.empty(len(key), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return key[first], counts, order[first], number
+
+
+def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Grams:
-    """The n-grams of a batch of texts, order by order: distinct pairs of a context and a word.
+    """The n-grams of a batch of texts, order by order: distinct pairs of a context and a word, in order.
 
-    word: each token's id, -1 for unknown ones; at: where each text's tokens start, and the end.
+    word: each token's id, -1 for unknown ones; at: where each text's tokens start, and the end. last: no longer n-grams will be asked for, and
+    no token's pair.
     """
 
-    def __init__(self, word: np.ndarray, at: np.ndarray, begin: int):
+    def __init__(self, word: np.ndarray, at: np.ndarray, begin: int, last: bool = False):
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[at[:-1]] = begin
         self.word, self.inner = word, np.ones(len(word), dtype=bool)
         self.inner[at[:-1]] = False
-        self._distinct(np.arange(len(word)), (context + 1).astype(np.uint64))
+        self._take(np.arange(len(word)), context + 1, last)
         self.contexts -= 1
 
-    def _distinct(self, where: np.ndarray, context: np.ndarray) -> None:
-        key = context << np.uint64(32) | (self.word[where] + 1).astype(np.uint64)
-        pairs, self.one, self.number, self.counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        self.where, self.one = where, where[self.one]
-        self.contexts, self.words = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+    def _take(self, where: np.ndarray, context: np.ndarray, last: bool) -> None:
+        pairs, self.counts, one, self.number = distinct(context.astype(np.uint64) << np.uint64(32) | (self.word[where] + 1).astype(np.uint64), not last)
+        self.where, self.one = where, None if one is None else where[one]
+        self.contexts, self.words = _split(pairs)
+        self.words -= 1
 
-    def longer(self, entries: np.ndarray) -> None:
-        """Go on to the next order: tokens after an n-gram that the model has. A text's first token has no longer context than its begin."""
+    def longer(self, known: np.ndarray | None = None, last: bool = False) -> None:
+        """Go on to the next order, whose contexts are the numbers of this one's pairs; known: only of these pairs. A text's first token has no
+        longer context than its begin."""
         number = np.full(len(self.word) + 1, -1, dtype=np.int64)
-        number[self.where + 1] = np.where(entries[self.number] >= 0, self.number, -1)
+        number[self.where + 1] = self.number if known is None else np.where(known[self.number], self.number, -1)
         where = np.flatnonzero((number[:-1] >= 0) & self.inner)
-        # distinct pairs are in the order of their entries, so those of the next order are too
-        self._distinct(where, number[where].astype(np.uint64))
-        self.contexts = entries[self.contexts]
+        self._take(where, number[where], last)
 
 
 def _tokens(words: Words, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,21 +330,25 @@ def _tokens(words: Words, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.n
     return token, at
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Columns of 32-bit numbers, the first as differences, compressed."""
-    first = np.diff(arrays[0], prepend=arrays[0].dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a.astype("<u4").reshape(-1, 1).view(np.uint8).T).tobytes() for a in (first, *arrays[1:])))
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of unsigned numbers as planes of bytes, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], dtype="<i8").tobytes()
+    planes = (np.ascontiguousarray(a.reshape(-1, 1).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
-def _unpack(raw: bytes, columns: int) -> list[np.ndarray]:
+def _unpack(raw: bytes) -> list[np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
-    n = len(data) // (4 * columns)
-    out = [np.ascontiguousarray(data[4 * n * i : 4 * n * (i + 1)].reshape(4, n).T).view("<u4").ravel() for i in range(columns)]
-    return [np.cumsum(out[0], dtype=np.uint32), *out[1:]]
+    count = int(data[:8].view("<i8")[0])
+    at, out = 8 + 16 * count, []
+    for size, n in data[8:at].view("<i8").reshape(-1, 2).tolist():
+        out.append(np.ascontiguousarray(data[at : at + size * n].reshape(size, n).T).view(f"<u{size}").ravel())
+        at += size * n
+    return out
 
 
-def _vocabulary_files(train: DataFrame, ranges: int, folder: str) -> DataFrame:
-    """Write each range's hashes and counts; rows (range, path, n_words, n_tokens)."""
+def _vocabulary_files(train: DataFrame, ranges: int, hot: int, folder: str) -> DataFrame:
+    """Write each range's hashes and counts; rows (range, path, n_known, n_words, n_tokens, places and counts of hot words)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -329,86 +367,148 @@ def _vocabulary_files(train: DataFrame, ranges: int, folder: str) -> DataFrame:
         n = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u4").astype(np.int64)
         if r == 0:
             h, n = np.append(h, BEGIN), np.append(n, 0)
-        distinct, inverse = np.unique(h, return_inverse=True)
-        total = np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.int64)
+        known, _, _, number = distinct(h)
+        total = np.bincount(number, weights=n, minlength=len(known)).astype(np.int64)
         path = f"{folder}/vocabulary-{r:06d}-{uuid.uuid4().hex}.bin"
-        save(path, [distinct, total])
-        return pa.table({"range": pa.array([r], pa.int32()), "path": [path], "n_words": [int((total > 0).sum())], "n_tokens": [int(total.sum())]})
+        save(path, [known, total])
+        many = np.flatnonzero(total > hot)
+        longs = lambda x: pa.array(x, pa.int64())
+        return pa.table(
+            {
+                "range": pa.array([r], pa.int32()), "path": [path], "n_known": longs([len(known)]), "n_words": longs([int((total > 0).sum())]),
+                "n_tokens": longs([int(total.sum())]), "hot": pa.array([many.tolist()], pa.list_(pa.int64())), "hot_counts": pa.array([total[many].tolist()], pa.list_(pa.int64())),
+            }
+        )
 
     none = train.sparkSession.createDataFrame([(r, b"", b"") for r in range(ranges)], "range int, hashes binary, counts binary")
     rows = train.mapInArrow(count, "range int, hashes binary, counts binary").unionByName(none)
-    return materialize(rows.groupBy("range").applyInArrow(merge, "range int, path string, n_words long, n_tokens long"), f"{folder}/vocabulary")
+    schema = "range int, path string, n_known long, n_words long, n_tokens long, hot array<long>, hot_counts array<long>"
+    return materialize(rows.groupBy("range").applyInArrow(merge, schema), f"{folder}/vocabulary")
 
 
-def _trie_files(train: DataFrame, paths: tuple[str, ...], total: int, distinct: int, folder: str, levels: tuple[Level, ...] = ()) -> Level:
-    """Count all n-grams of the order after the given ones and write each range's trie."""
-    ranges = len(paths)
-    bounds = np.arange(ranges + 1, dtype=np.int64) * int(levels[-1].first[-1]) // ranges if levels else None
+def _counted(train: DataFrame, known: Vocabulary, layout: Layout, order: int, folder: str) -> DataFrame:
+    """Rows (file, data, stats): each file's distinct n-grams of all orders from two on with their counts, level by level.
+
+    A task sends each distinct n-gram of a batch once, as a trie: every n-gram with the number of its successors, then those. stats: of each order
+    how many n-grams occur once, twice, three and four times; then, of the file's first word, its followers: all, and kinds seen once, twice, more often.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(paths)
         begin = int(known.ids(np.array([BEGIN]))[0])
         for batch in slices(batches):
             words = Words(batch.column(0), lower=True)
             ids = known.ids(np.concatenate([word_hashes(words.vocab), [END]]))
-            grams = Grams(*_tokens(words, ids[words.codes], ids[-1]), begin)
-            for level in levels:
-                grams.longer(level.look(grams.contexts, grams.words, known.at if level.at is None else level.at)[0])
-            at = known.at if bounds is None else bounds
-            cuts = np.searchsorted(grams.contexts, at).tolist()
+            grams = Grams(*_tokens(words, ids[words.codes], ids[-1]), begin, last=order == 2)
+            contexts, levels = grams.contexts, [(grams.words, grams.counts)]
+            runs, offspring = list(layout.runs(contexts, grams.words)), []
+            for k in range(3, order + 1):
+                grams.longer(last=k == order)
+                offspring.append(np.bincount(grams.contexts, minlength=len(levels[-1][0])))
+                levels.append((grams.words, grams.counts))
+            below = [starts(x) for x in offspring]
             rows = []
-            for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    rows.append((r, _pack((grams.contexts[a:b] - at[r]).astype(np.uint32), grams.words[a:b], grams.counts[a:b])))
+            for file, a, b in runs:
+                packed = [np.diff(contexts[a:b] - layout.base[file], prepend=0).astype("<u4")]
+                for k, (w, n) in enumerate(levels):
+                    packed += [w[a:b].astype("<u4"), n[a:b].astype("<u4")]
+                    if k < len(offspring):
+                        packed.append(offspring[k][a:b].astype("<u4"))
+                        a, b = int(below[k][a]), int(below[k][b])
+                rows.append((file, _pack(packed)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "data"])
-
-    def build(table: pa.Table) -> pa.Table:
-        r, known = table.column("range")[0].as_py(), vocabulary(paths)
-        parts = [_unpack(x, 3) for x in table.column("data").to_pylist() if x]
-        key = np.concatenate([p[0].astype(np.uint64) << np.uint64(32) | p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-        n = np.concatenate([p[2] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        counts = np.add.reduceat(n, first) if len(first) else n
-        key = key[first]
-        words = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # of orders over two only the discounted part is kept: the order below of a word may be in any file, and is added when scoring
-        unigram = np.zeros(len(words)) if levels else (known.counts_of(words) + 1) / (total + distinct + 1)
-        at = known.at if bounds is None else bounds
-        size = int(at[r + 1] - at[r])
-        path = f"{folder}/trie-{len(levels) + 2}-{r:06d}-{uuid.uuid4().hex}.bin"
-        save(path, Trie.build((key >> np.uint64(32)).astype(np.int64), words, counts, size, int(known.at[-1]), unigram))
-        return pa.table({"range": pa.array([r], pa.int32()), "path": [path], "n_entries": [len(key)]})
-
-    none = train.sparkSession.createDataFrame([(r, b"") for r in range(ranges)], "range int, data binary")
-    rows = train.mapInArrow(count, "range int, data binary").unionByName(none)
-    written = materialize(rows.groupBy("range").applyInArrow(build, "range int, path string, n_entries long"), f"{folder}/tries-{len(levels) + 2}").orderBy("range").collect()
-    return Level(tuple(r["path"] for r in written), [r["n_entries"] for r in written], bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["file", "data"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        file = table.column("file")[0].as_py()
+        parts = [_unpack(x) for x in table.column("data").to_pylist() if x]
+        column = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u4")
+        context = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
+        packed, stats = [], []
+        for k in range(order - 1):
+            at = 1 + 3 * k
+            pairs, _, _, number = distinct(context << np.uint64(32) | column(at))
+            n = np.bincount(number, weights=column(at + 1), minlength=len(pairs)).astype("<u8")
+            contexts, words = _split(pairs)
+            packed += [np.diff(contexts, prepend=0).astype("<u4"), words.astype("<u4"), n]
+            stats += [int((n == c).sum()) for c in (1, 2, 3, 4)]
+            if k == 0:
+                followers = [int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]
+            if k < order - 2:
+                context = np.repeat(number, column(at + 2)).astype(np.uint64)
+        return pa.table({"file": pa.array([file], pa.int32()), "data": pa.array([_pack(packed)], pa.binary()), "stats": pa.array([stats + followers], pa.list_(pa.int64()))})
+
+    none = train.sparkSession.createDataFrame([(r, b"") for r in range(layout.files)], "file int, data binary")
+    rows = train.mapInArrow(count, "file int, data binary").unionByName(none)
+    return materialize(rows.groupBy("file").applyInArrow(merge, "file int, data binary, stats array<long>"), f"{folder}/counts")
+
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
+    """What is taken off counts of one, two, and three or more, from how many n-grams occur once to four times (Chen and Goodman's estimate).
+
+    Each is a tenth at least and leaves a twentieth; half where such counts are missing.
+    """
+    y = ones / (ones + 2 * twos) if ones else 0.0
+    ratios = ((1, twos, ones), (2, threes, twos), (3, fours, threes))
+    return np.array([min(max(0.1, i - (i + 1) * y * more / fewer), i - 0.05) if fewer and y else 0.5 for i, more, fewer in ratios])
+
+
+def _tries(counted: DataFrame, known: Vocabulary, layout: Layout, taken: list[np.ndarray], hot: dict[int, list[int]], total: int, kinds: int, folder: str) -> list[str]:
+    """Write each file's trie; their paths. hot: of each file about one hot word, what follows that word in all its files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                columns, size, arrays = _unpack(data), layout.size(file), []
+                for k, off in enumerate(taken):
+                    contexts, words, n = np.cumsum(columns[3 * k], dtype=np.int64), columns[3 * k + 1].astype(np.int64), columns[3 * k + 2].astype(np.float64)
+                    own = off[np.minimum(n, 3).astype(np.int64) - 1]
+                    all_, left = np.bincount(contexts, weights=n, minlength=size), np.bincount(contexts, weights=own, minlength=size)
+                    if k == 0 and file in hot:
+                        all_[:], left[:] = hot[file][0], np.dot(hot[file][1:], off)
+                    rest = np.where(all_ > 0, left / np.maximum(all_, 1), 1.0)
+                    p = (n - own) / all_[contexts]
+                    if k == 0:  # of orders over two only the discounted part is kept: the order below may be in any file, and is added when scoring
+                        p += rest[contexts] * (known.counts_of(words) + 1) / (total + kinds + 1)
+                    arrays += Level.build(contexts, words, size, layout.width, p, rest)
+                    size = len(words)
+                path = f"{folder}/trie-{file:06d}-{uuid.uuid4().hex}.bin"
+                save(path, arrays)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([path])], names=["file", "path"])
+
+    written = materialize(counted.select("file", "data").mapInArrow(write, "file int, path string"), f"{folder}/tries")
+    return [r["path"] for r in written.orderBy("file").collect()]
 
 
 class Model:
-    """Where the files of a trained model are, and its totals. Small: a path for each range and order."""
+    """Where the files of a trained model are, and its totals. Small: a path for each file."""
 
-    def __init__(self, words: tuple[str, ...], levels: tuple[Level, ...], total: int, distinct: int):
-        self.words, self.levels, self.total, self.distinct = words, levels, total, distinct
+    def __init__(self, known: Vocabulary, layout: Layout, paths: list[str], order: int, total: int, distinct: int):
+        self.known, self.layout, self.paths, self.order, self.total, self.distinct = known, layout, paths, order, total, distinct
 
     def measure(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Tokens, known tokens, base score and score of each text."""
-        known = vocabulary(self.words)
         words = Words(texts, lower=True)
-        ids = known.ids(np.concatenate([word_hashes(words.vocab), [END, BEGIN]]))
-        counts = known.counts_of(ids)
+        ids = self.known.ids(np.concatenate([word_hashes(words.vocab), [END, BEGIN]]))
+        counts = self.known.counts_of(ids)
         unigram = np.log10((counts + 1) / (self.total + 1 * (self.distinct + 1)))
         token, at = _tokens(words, words.codes, len(ids) - 2)
-        # distinct pairs in the order of their contexts' ids, so that lookups go through each trie once and forwards
         grams, score = Grams(ids[token], at, int(ids[-1])), unigram[token]
-        for k, level in enumerate(self.levels):
-            entries, value = level.look(grams.contexts, grams.words, known.at if level.at is None else level.at, score[grams.one])
+        # distinct pairs are in the order of files and of entries within them, and so are those of each next order
+        runs = [(opened(self.paths[f], Trie), a, b, int(self.layout.base[f])) for f, a, b in self.layout.runs(grams.contexts, grams.words)]
+        local = grams.contexts.copy()
+        for _, a, b, base in runs:
+            local[a:b] -= base
+        for k in range(self.order - 1):
+            entries, value = np.full(len(grams.words), -1, dtype=np.int64), score[grams.one]
+            for trie, a, b, _ in runs:
+                entries[a:b] = trie[k].find(local[a:b], grams.words[a:b])
+                value[a:b] = trie[k].scores(entries[a:b], local[a:b], value[a:b], k > 0)
             score[grams.where] = value[grams.number]
-            if k + 1 < len(self.levels):
-                grams.longer(entries)
+            if k + 2 < self.order:
+                grams.longer(entries >= 0)
+                local = entries[grams.contexts]
+                cuts = np.searchsorted(grams.contexts, [x for _, a, b, _ in runs for x in (a, b)]).tolist()
+                runs = [(trie, a, b, 0) for (trie, _, _, _), a, b in zip(runs, cuts[::2], cuts[1::2])]
         return {
             "n_tokens": np.diff(at),
             "n_known": sums((counts > 0).astype(np.int64)[token], at),
@@ -418,23 +518,36 @@ class Model:
         }
 
 
-def train(df: DataFrame, text: str = "text", order: int = 2) -> Model:
-    """Learn n-grams of up to ``order`` words, two at least, from every row's text; a null one counts as empty. A pass for each order: the vocabulary, the bigrams, ...
+def train(df: DataFrame, text: str = "text", order: int = ORDER, file_tokens: int = FILE_TOKENS) -> Model:
+    """Learn n-grams of up to ``order`` words, two at least, from every row's text; a null one counts as empty. Two passes over the texts.
 
-    Counts are merged per batch before the shuffles, which are by range of word hashes: a frequent word's successors are one entry a batch and distinct
-    successor. Files have new names in each attempt, and count only by the written tables that list them.
+    Counts are merged per batch before the shuffles. How many files there are follows from the bytes of the texts, and a word that begins over ``file_tokens``
+    n-grams has several, so none grows with the corpus. Files have new names in each attempt, and count only by the written tables that
+    list them. More than 2^32 - 2 distinct words raise an error.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    source = narrow(df, text=text)
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = _vocabulary_files(source, ranges, folder).orderBy("range").collect()
-    total, distinct = sum(r["n_tokens"] for r in words), sum(r["n_words"] for r in words)
-    paths = tuple(r["path"] for r in words)
-    levels: tuple[Level, ...] = ()
-    for _ in range(2, max(2, order) + 1):
-        levels = (*levels, _trie_files(source, paths, total, distinct, folder, levels))
-    return Model(paths, levels, total, distinct)
+    spark, order = df.sparkSession, max(2, order)
+    folder, source = shared_dir(spark), narrow(df, text=text)
+    ranges = max(1, -(-text_bytes(source, "text") // (6 * file_tokens)))
+    words = _vocabulary_files(source, ranges, file_tokens, folder).orderBy("range").collect()
+    total, kinds = sum(r["n_tokens"] for r in words), sum(r["n_words"] for r in words)
+    at = starts(np.array([r["n_known"] for r in words], dtype=np.int64))
+    if at[-1] > (1 << 32) - 2:
+        raise ValueError(f"{at[-1]} distinct words are more than 32-bit ids can tell apart")
+    hot = [(int(at[r["range"]]) + i, n) for r in words for i, n in zip(r["hot"], r["hot_counts"])]
+    layout = Layout(at, np.array([i for i, _ in hot], dtype=np.int64), np.array([-(-n // file_tokens) for _, n in hot], dtype=np.int64))
+    known = Vocabulary(tuple(r["path"] for r in words), at)
+    counted = _counted(source, known, layout, order, folder)
+    stats = counted.select("file", "stats").collect()
+    taken = [discounts(*(sum(r["stats"][4 * k + i] for r in stats) for i in range(4))) for k in range(order - 1)]
+    follow: dict[int, np.ndarray] = {}
+    for r in stats:
+        if r["file"] >= len(at) - 1:
+            follow[int(layout.base[r["file"]])] = follow.get(int(layout.base[r["file"]]), 0) + np.array(r["stats"][-4:])
+    shared = {r["file"]: follow[int(layout.base[r["file"]])].tolist() for r in stats if r["file"] >= len(at) - 1}
+    paths = _tries(counted, known, layout, taken, shared, total, kinds, folder)
+    for done in ("vocabulary", "counts", "tries"):
+        drop_dir(f"{folder}/{done}")
+    return Model(known, layout, paths, order, total, kinds)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -456,8 +569,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 def query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    model = train(documents.filter(F.coalesce(~held, F.lit(True))), order=ORDER)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))  # rows without a key are learned from
+    model = train(documents.filter(~held))
     return score(documents, model).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

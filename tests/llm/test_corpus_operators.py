@@ -208,79 +208,94 @@ def test_packing(spark, monkeypatch, steps):
     assert packing.pack(table(spark, []), VOCAB).count() == 0
 
 
-def test_language_model(spark):
-    random.seed(8)
+def lm_tokens(t):
+    return ["<s>", *words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
+
+
+def plain_model(rows, order):
+    """The score of a text in an unquantised model of the rows, counted token by token."""
+    counts, after = Counter(), {}
+    for _, t in rows:
+        ts = lm_tokens(t)
+        for n in range(2, order + 1):
+            for i in range(n - 1, len(ts)):
+                counts[tuple(ts[i - n + 1 : i + 1])] += 1
+    for gram, n in counts.items():
+        after.setdefault(gram[:-1], []).append(n)
+    off = {k: language_model.discounts(*(sum(len(g) == k and n == i for g, n in counts.items()) for i in (1, 2, 3, 4))) for k in range(2, order + 1)}
+    c = Counter(w for _, t in rows for w in lm_tokens(t)[1:])
+    total, kinds = sum(c.values()), len(c)
+
+    def p(context, w):
+        out = (c[w] + 1) / (total + kinds + 1)
+        for n in range(1, min(len(context), order - 1) + 1):
+            if ns := after.get(h := tuple(context[-n:])):
+                d = [off[n + 1][min(x, 3) - 1] for x in ns]
+                x = counts[(*h, w)]
+                out = (x - off[n + 1][min(x, 3) - 1] if x else 0) / sum(ns) + sum(d) / sum(ns) * out
+        return math.log10(out)
+
+    def score(t):
+        ts = lm_tokens(t)
+        base = sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in ts[1:])
+        return len(ts) - 1, sum(c[w] > 0 for w in ts[1:]), base, sum(p(ts[:i], ts[i]) for i in range(1, len(ts)))
+
+    return total, kinds, score
+
+
+def lm_rows(seed=8):
+    random.seed(seed)
     vocab = [f"v{i}" for i in range(60)]
-    rows = [(i, " ".join(random.choice(vocab[: 5 + i]) for _ in range(random.randrange(0, 80)))) for i in range(40)] + ROWS
-    model = language_model.train(table(spark, rows))
-    tests = [*rows, (900, "v1 v2 unknown v3 unknown"), (901, "never seen Words")]
+    return [(i, " ".join(random.choice(vocab[: 5 + i]) for _ in range(random.randrange(0, 80)))) for i in range(40)] + ROWS
+
+
+@pytest.mark.parametrize(("order", "file_tokens"), [(2, 6_000_000), (3, 6_000_000), (3, 40), (4, 300)])
+def test_language_model_is_the_plain_one(spark, order, file_tokens):
+    rows = lm_rows()
+    model = language_model.train(table(spark, rows), order=order, file_tokens=file_tokens)
+    tests = [*rows, (900, "v1 v2 unknown v3 unknown v1 v2"), (901, "never seen Words"), (902, None)]
     got = sorted(language_model.score(table(spark, tests), model).collect(), key=repr)
-    tokens = lambda t: [*words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
-    seen = [tokens(t) for _, t in rows]
-    c = Counter(w for t in seen for w in t)
-    total, distinct = sum(c.values()), len(c)
-    assert (model.total, model.distinct) == (total, distinct)
-    pairs = Counter(p for t in seen for p in zip(["<s>", *t], t))
-    begins, kinds = Counter(), Counter()
-    for (a, _), n in pairs.items():
-        begins[a] += n
-        kinds[a] += 1
-    want = []
-    for k, t in tests:
-        ts = tokens(t)
-        base = sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in ts)
-        want.append((k, len(ts), sum(c[w] > 0 for w in ts), base))
-    assert [(r.doc_id, r.n_tokens, r.n_known) for r in got] == [w[:3] for w in sorted(want, key=repr)]
-    for r, w in zip(got, sorted(want, key=repr)):
-        assert r.base_score == pytest.approx(w[3], rel=1e-12)
-    # each range of contexts has its own discount: the score is that of one between the least and the most, rounded down
-    low, high = ([], [])
-    for k, t in tests:
-        ts = tokens(t)
-        s = {}
-        for d in np.linspace(0.1, 0.95, 18):
-            s[d] = sum(_smoothed(pairs, begins, kinds, c, total, distinct, a, w, d)[0] for a, w in zip(["<s>", *ts], ts))
-        low.append((k, len(ts), sum(min(_smoothed(pairs, begins, kinds, c, total, distinct, a, w, d)[0] for d in np.linspace(0.1, 0.95, 18)) for a, w in zip(["<s>", *ts], ts))))
-        high.append(sum(max(_smoothed(pairs, begins, kinds, c, total, distinct, a, w, d)[0] for d in np.linspace(0.1, 0.95, 18)) for a, w in zip(["<s>", *ts], ts)))
-    scores = {(r.doc_id, r.n_tokens): r.score for r in got}
-    for (k, n, a), b in zip(low, high):
-        assert a - 0.002 * n - 0.02 * n <= scores[k, n] <= b + 1e-6, k
-
-
-def _smoothed(pairs, begins, kinds, c, total, distinct, a, w, d):
-    p = (c[w] + 1) / (total + distinct + 1)
-    if begins[a]:
-        p = max(pairs[a, w] - d, 0) / begins[a] + d * kinds[a] / begins[a] * p
-    return math.log10(p), p
+    total, kinds, score = plain_model(rows, order)
+    assert (model.total, model.distinct) == (total, kinds) and (len(model.layout.hot) > 0) == (file_tokens < 1000)
+    want = sorted(((k, *score(t)) for k, t in tests), key=lambda w: repr((w[0], w[1])))
+    got = sorted(got, key=lambda r: repr((r.doc_id, r.n_tokens)))
+    assert sorted((repr(r.doc_id), r.n_tokens, r.n_known) for r in got) == sorted((repr(w[0]), *w[1:3]) for w in want)
+    for column, at, slack in (("base_score", 3, 1e-9), ("score", 4, 2 * order * language_model.STEP)):
+        for r, w in zip(sorted(got, key=lambda r: (repr(r.doc_id), r.n_tokens, r.base_score)), sorted(want, key=lambda w: (repr(w[0]), w[1], w[3]))):
+            assert w[at] - slack * w[1] - 1e-9 <= r[column] <= w[at] + 1e-7, (column, w[0])
+
+
+def test_language_model_is_the_same_however_it_is_cut(spark):
+    rows, before, found = lm_rows(3), spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions, file_tokens in (("8", 6_000_000), ("64", 6_000_000), ("8", 100), ("3", 30)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        model = language_model.train(table(spark, rows), file_tokens=file_tokens)
+        found.append(sorted((repr(r.doc_id), r.n_tokens, r.score) for r in language_model.score(table(spark, rows), model).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(f == found[0] for f in found)
 
 
 def test_probabilities_sum_to_one_at_most():
     rng = np.random.default_rng(3)
-    contexts = np.sort(rng.integers(0, 20, 300))
-    words_ = rng.integers(0, 50, 300)
-    key = np.unique(contexts * 50 + words_)
-    contexts, words_ = key // 50, key % 50
-    counts = rng.integers(1, 9, len(key))
-    unigram = rng.dirichlet(np.ones(51))
-    trie = language_model.Trie(language_model.Trie.build(contexts, words_, counts, 21, 50, unigram[words_]))
-    logs = np.log10(unigram)
+    key = np.unique(rng.integers(0, 20, 300) * 50 + rng.integers(0, 50, 300))
+    contexts, words_, counts, unigram = key // 50, key % 50, rng.integers(1, 9, len(key)), rng.dirichlet(np.ones(51))
+    total, n = np.bincount(contexts, counts, 21), np.bincount(contexts, minlength=21)
+    rest = np.where(total > 0, 0.6 * n / np.maximum(total, 1), 1)
+    level = language_model.Level(language_model.Level.build(contexts, words_, 21, 6, (counts - 0.6) / total[contexts] + rest[contexts] * unigram[words_], rest))
     for c in range(21):
-        p = 10 ** trie.log10(np.full(51, c), np.append(np.arange(50), -1), logs)
-        assert 0.995 < p.sum() <= 1 + 1e-9
-        assert trie.successors(c).tolist() == words_[contexts == c].tolist()
+        found = level.find(np.full(51, c), np.append(np.arange(50), -1))
+        assert np.flatnonzero(found >= 0).tolist() == words_[contexts == c].tolist()
+        assert 0.995 < (10 ** level.scores(found, np.full(51, c), np.log10(unigram), False)).sum() <= 1 + 1e-9
 
 
 @pytest.mark.parametrize(("n", "limit"), [(0, 1), (1, 1), (5, 100), (3000, 1 << 40), (2000, 2001)])
 def test_elias_fano(n, limit):
-    rng = np.random.default_rng(n)
-    values = np.sort(rng.integers(0, limit, n)).astype(np.uint64)
+    values = np.sort(np.random.default_rng(n).integers(0, limit, n))
     e = language_model.EliasFano.build(values, limit)
-    assert e.values().tolist() == values.tolist()
-    distinct = np.unique(values)
-    e = language_model.EliasFano.build(distinct, limit)
-    ask = np.unique(np.concatenate([distinct, rng.integers(0, limit, 200).astype(np.uint64)]))
-    want = [int(np.searchsorted(distinct, x)) if x in set(distinct.tolist()) else -1 for x in ask]
-    assert e.find(ask).tolist() == want
+    assert e.get(np.arange(n)).tolist() == values.tolist()
+    for width in (0, 1, 13, 41, 63):
+        low = values & ((1 << width) - 1)
+        assert language_model.bits_at(language_model.bits_of(low, width), width, np.arange(n)).tolist() == low.tolist()
 
 
 def test_language_model_of_nothing(spark):
@@ -289,42 +304,21 @@ def test_language_model_of_nothing(spark):
     assert (row.n_tokens, row.n_known, row.base_score) == (3, 0, 0.0) and row.score == pytest.approx(0, abs=0.01)
 
 
-def test_language_model_of_longer_contexts(spark):
-    random.seed(9)
-    vocab = [f"v{i}" for i in range(12)]
-    rows = [(i, " ".join(random.choice(vocab[: 3 + i % 9]) for _ in range(random.randrange(0, 60)))) for i in range(40)]
-    asked = [*rows, (900, "v1 v2 unknown v3 v1 v2"), (901, "never seen Words"), (902, None)]
-    tokens = lambda t: ["<s>", *words(t), None]
-    for order in (3, 4):
-        model = language_model.train(table(spark, rows), order=order)
-        got = {(r.doc_id, r.n_tokens): r.score for r in language_model.score(table(spark, asked), model).collect()}
-        counts, after = Counter(), {}
-        for _, t in rows:
-            ts = tokens(t)
-            for n in range(2, order + 1):
-                for i in range(n - 1, len(ts)):
-                    counts[tuple(ts[i - n + 1 : i + 1])] += 1
-        for gram, n in counts.items():
-            after.setdefault(gram[:-1], []).append(n)
-        c = Counter(w for _, t in rows for w in tokens(t)[1:])
-
-        def p(context, w, d):
-            out = (c[w] + 1) / (model.total + model.distinct + 1)
-            for n in range(1, min(len(context), order - 1) + 1):
-                if ns := after.get(h := tuple(context[-n:])):
-                    out = max(counts[(*h, w)] - d, 0) / sum(ns) + d * len(ns) / sum(ns) * out
-            return math.log10(out)
-
-        for k, t in asked:
-            ts = tokens(t)
-            # each file has its own discount: the score is between those of the least and the most at every order
-            each = [[p(ts[:i], ts[i], d) for d in np.linspace(0.1, 0.95, 18)] for i in range(1, len(ts))]
-            assert sum(map(min, each)) - 0.15 * len(each) <= got[k, len(each)] <= sum(map(max, each)) + 0.1 * len(each)
+def test_longer_contexts_tell_more(spark):
     # a word that only the two before it tell: a bigram model can't
     texts = [(i, "a x b" if i % 2 else "c x d") for i in range(200)]
     two, three = ({r.doc_id: r.score for r in language_model.score(table(spark, texts), language_model.train(table(spark, texts), order=o)).collect()} for o in (2, 3))
     assert three[1] > two[1] + 0.2 and language_model.ORDER >= 3
-    assert language_model.score(table(spark, [(1, "a")]), language_model.train(table(spark, []), order=3)).first().n_known == 0
+
+
+def test_tries_that_cannot_be_mapped_are_bounded(monkeypatch, tmp_path):
+    monkeypatch.setattr(language_model, "mapped", lambda path: ([np.zeros(1)], 100))
+    monkeypatch.setattr(language_model, "KEPT_BYTES", 250)
+    language_model._OPENED.clear()
+    for i in range(10):
+        language_model.opened(f"x{i}")
+    assert list(language_model._OPENED) == ["x8", "x9"]
+    language_model._OPENED.clear()
 
 
 PAGE = """<!doctype html><html><head><title>T &amp; t</title><style>p{}</style><script>x="</p><p>no"</script></head><body><header>Site</header>
