@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, drop_dir, file_system, materialize, narrow, shared_dir, slices, starts, sums, text_bytes, word_hashes
+from .common import Words, drop_dir, file_system, materialize, narrow, release, shared_dir, slices, starts, sums, text_bytes, word_hashes
 
 #: Stand-ins for hashes of words: the context of a text's first word, and the token after its last.
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -34,7 +34,7 @@ ORDER = 3
 #: Log probabilities are kept as multiples of this, rounded down.
 STEP = 1 / 4096
 #: Tokens whose n-grams one file is about for; a word with more is split. Bytes of tries that a worker keeps where it can't map files.
-FILE_TOKENS, KEPT_BYTES = 6_000_000, 256 << 20
+FILE_TOKENS, KEPT_BYTES = 2_500_000, 256 << 20
 
 
 def bits_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -420,8 +420,15 @@ def _counted(train: DataFrame, known: Vocabulary, layout: Layout, order: int, fo
 
     def merge(table: pa.Table) -> pa.Table:
         file = table.column("file")[0].as_py()
-        parts = [_unpack(x) for x in table.column("data").to_pylist() if x]
-        column = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u4")
+        parts = [_unpack(x.as_py()) for x in table.column("data") if len(x.as_py())]
+
+        def column(i: int) -> np.ndarray:
+            """A column of all parts, which let go of theirs."""
+            out = np.concatenate([*(p[i] for p in parts), np.zeros(0, "<u4")])
+            for p in parts:
+                p[i] = None
+            return out
+
         context = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
         packed, stats = [], []
         for k in range(order - 1):
@@ -435,6 +442,8 @@ def _counted(train: DataFrame, known: Vocabulary, layout: Layout, order: int, fo
                 followers = [int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum())]
             if k < order - 2:
                 context = np.repeat(number, column(at + 2)).astype(np.uint64)
+        del parts, context, number
+        release()
         return pa.table({"file": pa.array([file], pa.int32()), "data": pa.array([_pack(packed)], pa.binary()), "stats": pa.array([stats + followers], pa.list_(pa.int64()))})
 
     none = train.sparkSession.createDataFrame([(r, b"") for r in range(layout.files)], "file int, data binary")
