@@ -181,3 +181,45 @@ def word_hashes(vocab: pa.Array) -> np.ndarray:
 def text_bytes(df: DataFrame, text: str) -> int:
     """The bytes of all texts: what numbers of ranges, buckets and shards follow from, whatever the session's settings are."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+_SEEDS = np.array([0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+
+
+class Filter:
+    """A Bloom filter of 64-bit ids, of 12 bits an id and never more than ``most`` bits: with very many ids it lets more through, which costs
+    shuffling but changes no result. Each of its slices is made by one task."""
+
+    SLICE = 1 << 20  # bits
+
+    def __init__(self, ids: DataFrame, count: int, most: int = 1 << 27):
+        size = min(most, 1 << max(13, (12 * count).bit_length()))
+        positions, width = self.positions, min(self.SLICE, size)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(positions(batch.column(0).to_numpy(zero_copy_only=False), size))
+                cuts = np.searchsorted(at, np.arange(0, size + width, width)).tolist()
+                rows = [(i, (at[a:b] - i * width).astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["slice", "at"])
+
+        def mark(table: pa.Table) -> pa.Table:
+            bits = np.zeros(width, dtype=bool)
+            for at in table.column("at"):
+                bits[np.frombuffer(at.as_py(), dtype="<u4")] = True
+            return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+        self.bits = np.zeros(size // 8, dtype=np.uint8)
+        for row in ids.mapInArrow(cut, "slice int, at binary").groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect():
+            self.bits[row["slice"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+
+    @staticmethod
+    def positions(ids: np.ndarray, size: int) -> np.ndarray:
+        a = mix(ids.view(np.uint64) ^ _SEEDS[0])
+        b = mix(a ^ _SEEDS[1]) | np.uint64(1)
+        return ((a[:, None] + np.arange(4, dtype=np.uint64) * b[:, None]) % np.uint64(size)).astype(np.int64)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.positions(ids, 8 * len(self.bits))
+        return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import drop_dir, materialize, shared_dir
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, path: str | None = None, rounds: int = 60) -> DataFrame:
     """A row (node, root) for every node of an edge (a, b) of longs; root is the least node that it is linked with.
 
     Each round links every node's larger neighbours, then its smaller ones, to its least neighbour, which halves paths: the rounds
     needed grow as the logarithm of the diameter. Rounds are cut by written tables, so a lost executor costs one round. Minima
-    are pre-aggregated before the shuffle, so that a node with many edges is no bottleneck. No edges, no rows; loops are ignored.
+    are pre-aggregated before the shuffle, so that a node with many edges is no bottleneck. The rows are written to ``path``, a new folder if there is none. No edges, no rows; loops are ignored.
     """
     spark, folder = edges.sparkSession, shared_dir(edges.sparkSession)
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
@@ -33,4 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError(f"the components took more than {rounds} rounds")
-    return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    found = materialize(now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), path or f"{shared_dir(spark)}/roots")
+    drop_dir(folder)
+    return found

@@ -1,30 +1,34 @@
 """Exact Jaccard self-join of shingle sets: identical sets are classes, classes with equal prefix and size are groups,
-groups that share a prefix token are compared, and their members verified.
+pairs of groups are filtered by shared prefix tokens and sizes, and only members of the pairs left are verified.
 
 1. One pass over the texts. Every document's set gets a 64-bit class id. Of its tokens in hash order the first ``0.3 n`` are
    enough: two documents that link share at least ``0.1 n`` of them. Those tokens go, packed by range of the hash, to where
    it is seen which of them another class has too. Classes with too few such tokens can't link and are done.
 2. A second pass over the texts gives the whole sets of the other classes; a Bloom filter of those classes, of bounded size, decides which
-   sets leave their task, so that no text is shuffled. Now tokens are ordered rarest first, so that passages which
-   many documents share come last. What is left links through its prefix of ``0.2 n + 1`` tokens.
-3. Groups that share prefix tokens form components; a component, or a tile of two of its blocks where it is large, is
-   compared in one task by inverted lists.
+   sets leave their task, so that no text is shuffled. The sets are written in packs, and a pack asks once for each of its tokens how many
+   sets have it. Now tokens are ordered rarest first, so that passages which many documents share come last. What is left links through its
+   prefix of ``0.2 n + 1`` tokens.
+3. Groups that share prefix tokens form components. Small components are compared whole, many in a task. A large one is cut into blocks by size
+   and hash, and a set goes only to blocks of about its size where another set shares one of its prefix tokens. In each task groups are paired by
+   inverted lists, and the members of those pairs are verified.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_dir, materialize, mix, narrow, shared_dir, slices, starts, word_hashes
+from .common import BATCH_BYTES, Filter, Words, drop_dir, materialize, mix, narrow, shared_dir, slices, starts, text_bytes, word_hashes
 from .components import components
 
-#: Members of a block; two blocks are compared in a task.
-BLOCK = 768
+#: Members of a block; two blocks are compared in a task. Bytes of text, and tokens of sets, for each bucket of postings.
+BLOCK, BUCKET_BYTES, BUCKET_TOKENS = 768, 48 << 20, 2_000_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -151,10 +155,9 @@ def documents_and_shared(df: DataFrame, size: int, threshold: Threshold, buckets
         order = np.lexsort((o, t))
         t, o = t[order], o[order]
         first, n = _runs(t)
-        # a token is shared if two classes, or the mark and anything, are there for it
-        many = (o[first] != o[first + n - 1]) | (n > 1) & (o[first] == _SHARED) | (o[first] == _SHARED)
-        marked = np.zeros(len(t), dtype=bool)
-        marked[first] = many
+        # a token is shared if two classes, or the mark, are there for it; no class id sorts between the mark and itself
+        many = o[first] != o[first + n - 1]
+        many |= np.maximum.reduceat(o == _SHARED, first) if len(first) else False
         marked = np.repeat(many, n) & (o != _SHARED)
         same = np.ones(len(t), dtype=bool)
         same[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
@@ -178,34 +181,6 @@ def _joined(table: pa.Table, column: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x is not None), dtype=dtype)
 
 
-class Filter:
-    """A Bloom filter of 64-bit ids, of 12 bits an id and never more than ``most`` bits: with very many ids it lets more through."""
-
-    def __init__(self, ids: DataFrame, count: int, most: int = 1 << 27):
-        size = min(most, 1 << max(13, (12 * count).bit_length()))
-        positions = self.positions
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(size, dtype=bool)
-            for batch in batches:
-                bits[positions(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-        self.bits = np.zeros(size // 8, dtype=np.uint8)
-        for row in ids.repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():
-            self.bits |= np.frombuffer(row[0], dtype=np.uint8)
-
-    @staticmethod
-    def positions(ids: np.ndarray, size: int) -> np.ndarray:
-        a = mix(ids.view(np.uint64) ^ _C[3])
-        b = mix(a ^ _C[4]) | np.uint64(1)
-        return ((a[:, None] + np.arange(4, dtype=np.uint64) * b[:, None]) % np.uint64(size)).astype(np.int64)
-
-    def has(self, ids: np.ndarray) -> np.ndarray:
-        at = self.positions(ids, 8 * len(self.bits))
-        return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-
-
 def whole_sets(df: DataFrame, size: int, wanted: Filter) -> DataFrame:
     """Rows (class, n, tokens) of the texts whose class passes the filter, a class once in a batch."""
 
@@ -227,59 +202,114 @@ def whole_sets(df: DataFrame, size: int, wanted: Filter) -> DataFrame:
     return narrow(df, text="text").mapInArrow(run, "class long, n long, tokens binary")
 
 
-def rarest_first(sets: DataFrame, threshold: Threshold, buckets: int) -> DataFrame:
-    """Of the sets (class, n, tokens) those that may link: class, n, their shared tokens rarest first, and how many are prefix.
+def packs(sets: DataFrame) -> DataFrame:
+    """The sets, several in a row: (pack, classes, ns, tokens), of about BATCH_BYTES each. A pack's number is good once its row is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(slices(batches, BATCH_BYTES)):
+            row = (first + i, batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().tobytes(), b"".join(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), *[pa.binary()] * 3))], names=["pack", "classes", "ns", "tokens"])
+
+    return sets.mapInArrow(run, "pack long, classes binary, ns binary, tokens binary")
+
+
+def rarest_first(packed: DataFrame, threshold: Threshold, buckets: int) -> DataFrame:
+    """Of the packed sets those that may link: class, n, their shared tokens rarest first, how many are prefix, and group.
 
-    A token's frequency is the number of sets that have it. Tokens of one set only are dropped: they count in n, but match nothing.
+    A token's frequency is the number of sets that have it; a pack sends each of its tokens once, with the number of its sets that have it, so
+    what arrives for the most frequent token grows with the packs, not the sets. Tokens of one set only are dropped: they count in n, but match nothing.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16 << 20):
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
-            rows = [(b, x.tobytes(), y.tobytes()) for b, x, y in _postings(tokens, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n), buckets)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "owners"])
+        for batch in batches:
+            for pack, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = np.sort(np.frombuffer(tokens, dtype=np.uint64))
+                first, n = _runs(t)
+                rows = [(b, pack, x.tobytes(), y.astype("<u4").tobytes()) for b, x, y in _postings(t[first], n, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "pack", "tokens", "counts"])
 
     def frequency(table: pa.Table) -> pa.Table:
-        t, o = _joined(table, "tokens", np.uint64), _joined(table, "owners", np.int64)
-        order = np.argsort(t, kind="stable")
-        t, o = t[order], o[order]
-        _, n = _runs(t)
-        n = np.repeat(n, n)
-        t, o, n = t[n > 1], o[n > 1], n[n > 1]
-        order = np.argsort(o, kind="stable")
-        t, o, n = t[order], o[order], n[order]
-        first, count = _runs(o)
-        ends, t, n = [*first.tolist(), len(o)], t.tobytes(), n.astype(np.uint32).tobytes()
-        pairs = list(zip(ends, ends[1:]))
-        return pa.table(
-            {
-                "class": pa.array(o[first], pa.int64()),
-                "tokens": pa.array([t[8 * a : 8 * b] for a, b in pairs], pa.binary()),
-                "counts": pa.array([n[4 * a : 4 * b] for a, b in pairs], pa.binary()),
-            }
-        )
+        parts = [np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()]
+        t, n = np.concatenate(parts), _joined(table, "counts", np.dtype("<u4")).astype(np.int64)
+        order = np.argsort(t)
+        t, n = t[order], n[order]
+        first, _ = _runs(t)
+        t, total = t[first], np.add.reduceat(n, first)
+        t, total = t[total > 1], np.minimum(total[total > 1], 0xFFFFFFFF).astype("<u4")
+        rows = []
+        for pack, own in zip(table.column("pack").to_pylist(), parts):
+            i = np.searchsorted(t, own)
+            i = i[(i < len(t)) & (t[np.minimum(i, len(t) - 1)] == own)] if len(t) else i[:0]
+            rows.append((pack, t[i].tobytes(), total[i].tobytes()))
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("pack", "tokens", "counts"), zip(*rows), (pa.int64(), pa.binary(), pa.binary()))})
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for c, n, parts in zip(*[x.to_pylist() for x in batch.columns]):
-                t = np.frombuffer(b"".join(p["tokens"] for p in parts), dtype=np.uint64)
-                need = int(threshold.need(np.int64(n)))
-                if len(t) < need:
-                    continue
-                f = np.frombuffer(b"".join(p["counts"] for p in parts), dtype=np.uint32)
-                t = t[np.lexsort((t, f))]
-                rows.append((c, n, t.tobytes(), max(0, n - need + 1 - (n - len(t)))))
+            for classes, ns, tokens, parts in zip(*[x.to_pylist() for x in batch.columns]):
+                n, t = np.frombuffer(ns, dtype=np.int64), np.frombuffer(tokens, dtype=np.uint64)
+                known, f = np.frombuffer(b"".join(p["tokens"] for p in parts), dtype=np.uint64), np.frombuffer(b"".join(p["counts"] for p in parts), dtype="<u4")
+                by = np.argsort(known)
+                known, f, owner = known[by], f[by], np.repeat(np.arange(len(n)), n)
+                i = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
+                shared = known[i] == t if len(known) else np.zeros(len(t), dtype=bool)
+                t, i, owner = t[shared], i[shared], owner[shared]
+                by = np.lexsort((t, f[i], owner))
+                t, have = t[by], np.bincount(owner, minlength=len(n))
+                need, ends = threshold.need(n), starts(have).tolist()
+                prefix = np.maximum(0, n - need + 1 - (n - have))
+                for k in np.flatnonzero(have >= need).tolist():
+                    own = t[ends[k] : ends[k + 1]]
+                    group = class_ids(own[: prefix[k]] ^ np.uint64(n[k]), np.array([0, prefix[k]]))[0]
+                    rows.append((int(np.frombuffer(classes, dtype=np.int64)[k]), int(n[k]), own.tobytes(), int(prefix[k]), int(group)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["class", "n", "tokens", "prefix"]
+                    [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["class", "n", "tokens", "prefix", "group"]
                 )
 
-    shared = sets.mapInArrow(send, "bucket int, tokens binary, owners binary").groupBy("bucket").applyInArrow(frequency, "class long, tokens binary, counts binary")
-    parts = shared.groupBy("class").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
-    return sets.select("class", "n").join(parts, "class").select("class", "n", "parts").mapInArrow(order, "class long, n long, tokens binary, prefix long")
+    asked = packed.select("pack", "tokens").mapInArrow(send, "bucket int, pack long, tokens binary, counts binary")
+    parts = asked.groupBy("bucket").applyInArrow(frequency, "pack long, tokens binary, counts binary").groupBy("pack").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
+    return packed.join(parts, "pack").select("classes", "ns", "tokens", "parts").mapInArrow(order, "class long, n long, tokens binary, prefix long, group long")
+
+
+def _heads(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix tokens of the rows (tokens, prefix, ...), one row after the other, and how many each has."""
+    p = batch.column(1).to_numpy(zero_copy_only=False)
+    return np.concatenate([np.frombuffer(x, dtype=np.uint64, count=int(k)) for x, k in zip(batch.column(0).to_pylist(), p)]), p
+
+
+def group_edges(sets: DataFrame, buckets: int) -> DataFrame:
+    """Edges (a, b) that connect all groups which share a prefix token.
+
+    A batch connects its groups of a token to the least of them, and only that one is sent for the token.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            t, p = _heads(batch)
+            g = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), p)
+            order = np.lexsort((g, t))
+            t, g = t[order], g[order]
+            first, n = _runs(t)
+            least = np.repeat(g[first], n)
+            near = np.unique(np.stack([g, least])[:, g != least], axis=1) if len(g) else np.zeros((2, 0), np.int64)
+            rows = [(b, x.tobytes(), y.tobytes(), b"") for b, x, y in _postings(t[first], g[first], buckets)]
+            rows.append((int(rows[0][0]) if rows else 0, b"", b"", near.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "tokens", "groups", "edges"])
+
+    def join(table: pa.Table) -> pa.Table:
+        t, g = _joined(table, "tokens", np.uint64), _joined(table, "groups", np.int64)
+        order = np.lexsort((g, t))
+        t, g = t[order], g[order]
+        first, n = _runs(t)
+        parts = [np.stack([g, np.repeat(g[first], n)]), *[np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in table.column("edges").to_pylist()]]
+        a, b = np.concatenate(parts, axis=1)
+        a, b = np.unique(np.stack([a, b])[:, a != b], axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    sent = sets.select("tokens", "prefix", "group").mapInArrow(send, "bucket int, tokens binary, groups binary, edges binary")
+    return sent.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 def _pairs(tokens: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:
@@ -308,55 +338,79 @@ def _pairs(tokens: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:
 
 
 def _compare(table: pa.Table, threshold: Threshold) -> pa.Table:
-    """The links of a tile: groups of equal prefix and size, pairs of groups that share a prefix token, verified members."""
+    """The links of a tile: pairs of groups that share a prefix token and are of about one size, and of those the members that link."""
     classes, n = table.column("class").to_numpy(), table.column("n").to_numpy()
-    prefix, block = table.column("prefix").to_numpy(), table.column("block").to_numpy()
+    prefix, second = table.column("prefix").to_numpy(), table.column("second").to_numpy(zero_copy_only=False)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()]
     heads: dict[tuple[int, bytes], int] = {}
     group = np.fromiter((heads.setdefault((int(k), s[:p].tobytes()), len(heads)) for k, p, s in zip(n, prefix, sets)), dtype=np.int64, count=len(sets))
-    starts_ = {g: key for key, g in heads.items()}
-    sizes = np.array([starts_[g][0] for g in range(len(heads))], dtype=np.int64)
-    tokens = [np.frombuffer(starts_[g][1], dtype=np.uint64) for g in range(len(heads))]
+    sizes = np.array([k for k, _ in heads], dtype=np.int64)
+    tokens = [np.frombuffer(t, dtype=np.uint64) for _, t in heads]
     near = _pairs(np.concatenate(tokens), np.repeat(np.arange(len(heads)), [len(x) for x in tokens]), len(heads)) > 0
     near &= threshold.need(np.maximum(sizes[:, None], sizes)) <= np.minimum(sizes[:, None], sizes)
     np.fill_diagonal(near, True)
-    both = _pairs(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets))
-    ok = near[np.ix_(group, group)] & threshold.links(both.astype(np.int64), n[:, None], n)
-    tile = table.column("tile")[0].as_py()
-    if tile["i"] != tile["j"]:  # a tile of two blocks, one of which may be empty: pairs within a block are another tile's
-        ok &= block[:, None] != block
-    a, b = np.nonzero(np.triu(ok, 1))
-    return pa.table({"a": pa.array(classes[a], pa.int64()), "b": pa.array(classes[b], pa.int64()), "both": pa.array(both[a, b], pa.int64())})
-
-
-def class_links(sets: DataFrame, threshold: Threshold, folder: str) -> DataFrame:
-    """All links (a, b, both) between sets (class, n, tokens rarest first, prefix)."""
+    # expand the pairs of groups left, and count what each two of their members have in common
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    at = starts(np.array([len(x) for x in sets]))
+    has = np.zeros(len(local) and int(local.max()) + 1, dtype=bool)
+    crossing = table.column("tile")[0].as_py()["crossing"]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero(near[group[i], group[i + 1 :]])
+        if crossing:  # pairs within a block are another tile's
+            others = others[second[others] != second[i]]
+        if not len(others):
+            continue
+        has[local[at[i] : at[i + 1]]] = True
+        size = at[others + 1] - at[others]
+        ends = starts(size)
+        both = np.add.reduceat(has[local[np.repeat(at[others] - ends[:-1], size) + np.arange(ends[-1])]].astype(np.int64), ends[:-1])
+        has[local[at[i] : at[i + 1]]] = False
+        ok = threshold.links(both, n[i], n[others])
+        found.append((np.full(int(ok.sum()), classes[i]), classes[others[ok]], both[ok]))
+    a, b, both = (np.concatenate(x) for x in zip(*found)) if found else np.zeros((3, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64())})
+
+
+def class_links(sets: DataFrame, threshold: Threshold, folder: str, tokens: int) -> DataFrame:
+    """All links (a, b, both) between sets (class, n, tokens rarest first, prefix, group)."""
+    root = components(group_edges(sets, max(1, tokens // BUCKET_TOKENS)), f"{folder}/roots")
+    members = sets.groupBy("group").agg(F.count("*").alias("members"))
+    single = members.filter("members > 1").select(F.col("group").alias("node"), F.col("group").alias("root"))
+    # a group alone in its component matters only if it has several members
+    root = root.union(single.join(root, "node", "left_anti"))
+    sized = root.join(members, root["node"] == members["group"]).groupBy("root").agg(F.sum("members").alias("size"))
+    sized = materialize(root.join(sized, "root").select(F.col("node").alias("group"), "root", "size"), f"{folder}/components")
+    small = max(1, (sized.filter(F.col("size") <= BLOCK // 2).agg(F.count("*")).first()[0]) * 2 // BLOCK)
+    placed = sets.join(sized, "group")
+    none = F.lit(0).cast("int")
+
+    def tile(of, i, j):
+        return F.struct(of.alias("of"), *[c.alias(f"{x}{k}") for x, p in (("i", i), ("j", j)) for k, c in enumerate(p)], (F.lit(False) if i is j else (i[0] != j[0]) | (i[1] != j[1])).alias("crossing"))
+
+    keep = ["class", "n", "prefix", "tokens"]
+    whole = placed.filter(F.col("size") <= BLOCK // 2).select(tile(F.pmod(F.xxhash64("root"), F.lit(small)), (none, none), (none, none)).alias("tile"), *keep, F.lit(False).alias("second"))
+    # large components: blocks by band of sizes, as sets two bands apart can't link, and by hash within a band
+    large = placed.filter(F.col("size") > BLOCK // 2).withColumn("band", F.floor(F.log(F.col("n")) / max(1e-6, math.log(100 / threshold.percent))).cast("int"))
+    bands = large.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = materialize(large.join(bands, ["root", "band"]).withColumn("salt", F.pmod(F.xxhash64("class"), "blocks").cast("int")), f"{folder}/large")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).to_numpy(zero_copy_only=False)
-            t = [np.frombuffer(x, dtype=np.int64, count=int(k)) for x, k in zip(batch.column(1).to_pylist(), p)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.repeat(batch.column(0).to_numpy(), p))], names=["token", "class"])
-
-    posts = sets.select("class", "tokens", "prefix").mapInArrow(explode, "token long, class long")
-    least = posts.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    edges = posts.join(least, "token").select(F.col("class").alias("a"), "b").distinct()
-    root = materialize(components(edges), f"{folder}/roots")
-    size = root.groupBy("root").agg(F.count("*").alias("size"))
-    placed = sets.join(root, sets["class"] == root["node"]).join(size, "root").drop("node")
-    small = max(1, root.count() * 2 // BLOCK)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    big = F.col("size") > BLOCK // 2
-    own = F.when(big, F.pmod(F.xxhash64("class"), blocks)).otherwise(0).cast("int")
-    place = placed.withColumn("block", own).withColumn("other", F.explode(F.when(big, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
-    tile = F.struct(
-        F.when(big, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(small))).alias("of"),
-        big.alias("big"),
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-    )
-    tiles = place.select(tile.alias("tile"), "class", "n", "prefix", "tokens", "block")
-    return tiles.groupBy("tile").applyInArrow(lambda t: _compare(t, threshold), "a long, b long, both long")
+        for batch in slices(batches):
+            t, p = _heads(batch)
+            rest = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), p)) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), *rest], names=["token", "class", "band", "salt"])
+
+    posts = large.select("tokens", "prefix", "class", "band", "salt").mapInArrow(explode, "token long, class long, band int, salt int")
+    there = posts.select("token", F.col("band").alias("band2"), F.col("salt").alias("salt2")).distinct()
+    mates = posts.join(there, "token").filter("abs(band - band2) <= 1").select("class", "band2", "salt2").distinct()
+    own, other = (F.col("band"), F.col("salt")), (F.col("band2"), F.col("salt2"))
+    first = (own[0] < other[0]) | (own[0] == other[0]) & (own[1] <= other[1])
+    i, j = [tuple(F.when(first, x).otherwise(y) for x, y in zip(p, q)) for p, q in ((own, other), (other, own))]
+    cut = large.join(mates, "class").select(tile(F.col("root"), i, j).alias("tile"), *keep, (~first).alias("second"))
+    compare = lambda t: _compare(t, threshold)
+    schema = "a long, b long, both long"
+    return whole.groupBy("tile").applyInArrow(compare, schema).union(cut.groupBy("tile").applyInArrow(compare, schema))
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -369,7 +423,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     spark, folder, threshold = df.sparkSession, shared_dir(df.sparkSession), Threshold(percent)
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, text_bytes(source, "text") // BUCKET_BYTES)
     first = materialize(documents_and_shared(source, size, threshold, buckets), f"{folder}/first")
     docs = first.filter("n is not null").select("key", "n", "class")
     classes = first.groupBy("class").agg(F.min("key").alias("least"), F.max("n").alias("n"), F.count("n").alias("members"), F.sum("shared").alias("shared"))
@@ -379,14 +433,14 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     suspects = classes.filter((n > 0) & (F.col("shared") >= F.greatest(F.lit(1), F.ceil(need / 10))))
     wanted = Filter(suspects.select("class"), suspects.count())
     sets = whole_sets(source, size, wanted).join(suspects.select("class"), "class", "left_semi").dropDuplicates(["class"])
-    sets = materialize(sets, f"{folder}/sets")
-    posts = sets.agg(F.sum("n")).first()[0] or 0
-    ordered = materialize(rarest_first(sets, threshold, max(1, posts // 2_000_000)), f"{folder}/ordered")
-    drop_dir(f"{folder}/sets")
-    links = materialize(class_links(ordered, threshold, folder), f"{folder}/links")
+    packed = materialize(packs(sets), f"{folder}/packs")
+    tokens = packed.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    ordered = materialize(rarest_first(packed, threshold, max(1, tokens // 8 // BUCKET_TOKENS)), f"{folder}/ordered")
+    drop_dir(f"{folder}/packs")
+    links = materialize(class_links(ordered, threshold, folder, tokens // 8), f"{folder}/links")
     both = links.select("a", "b").union(links.select("b", "a"))
     linked = both.join(classes.select(F.col("class").alias("b"), "members"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("members").alias("others"))
-    root = components(links.select("a", "b"))
+    root = components(links.select("a", "b"), f"{folder}/linked")
     lowest = root.join(classes, root["node"] == classes["class"]).groupBy("root").agg(F.min("least").alias("component"))
     named = root.join(lowest, "root").select(F.col("node").alias("class"), "component")
     per_class = (
@@ -394,13 +448,17 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
         .select("class", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "least").alias("component_id"))
     )
     empty = F.col("n") == 0
-    return docs.join(per_class, "class", "left").select(
+    result = docs.join(per_class, "class", "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(empty, F.lit(0)).otherwise(F.col("n_similar")).cast("long").alias("n_similar"),
         F.when(empty, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("class").alias("class_id"),
     )
+    result = materialize(result, f"{folder}/result")
+    for done in ("first", "classes", "ordered", "roots", "components", "large", "links", "linked"):
+        drop_dir(f"{folder}/{done}")
+    return result
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from foliospark.llm import common
 from foliospark.llm import components as graph
 from foliospark.llm import html_text, jaccard, language_model, packing, quality_model, tokenfile
 from tests.llm.test_row_operators import ROWS, table, words
@@ -101,9 +102,9 @@ def test_first_pass_keeps_every_linked_pair():
 
 def test_filter_has_no_false_negatives(spark):
     ids = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 500)
-    f = jaccard.Filter(spark.createDataFrame([(int(i),) for i in ids], "i long"), 500)
+    f = common.Filter(spark.createDataFrame([(int(i),) for i in ids], "i long"), 500)
     assert f.has(ids).all() and f.has(ids + 1).mean() < 0.1
-    assert jaccard.Filter(spark.createDataFrame([(int(i),) for i in ids], "i long"), 500, most=64).has(ids).all()
+    assert common.Filter(spark.createDataFrame([(int(i),) for i in ids], "i long"), 500, most=64).has(ids).all()
 
 
 def test_components(spark):
