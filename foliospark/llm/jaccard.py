@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Filter, Words, drop_dir, materialize, mix, narrow, shared_dir, slices, starts, text_bytes, word_hashes
+from .common import BATCH_BYTES, Filter, Words, drop_dir, materialize, mix, narrow, release, shared_dir, slices, starts, text_bytes, word_hashes
 from .components import components
 
 #: Members of a block; two blocks are compared in a task. Bytes of text, and tokens of sets, for each bucket of postings.
-BLOCK, BUCKET_BYTES, BUCKET_TOKENS = 768, 48 << 20, 2_000_000
+BLOCK, BUCKET_BYTES, BUCKET_TOKENS = 768, 16 << 20, 1_000_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -164,6 +164,8 @@ def documents_and_shared(df: DataFrame, size: int, threshold: Threshold, buckets
         owners, hits = np.unique(o[marked & same], return_counts=True)
         keys, ns, classes, shared = ([x for part in table.column(c).to_pylist() if part is not None for x in part] for c in ("keys", "ns", "classes", "shared"))
         k = len(keys)
+        del t, o, first, n, many, marked, same
+        release()
         longs = lambda x: pa.array(x, pa.int64())
         return pa.table(
             {
@@ -242,6 +244,7 @@ def rarest_first(packed: DataFrame, threshold: Threshold, buckets: int) -> DataF
             i = np.searchsorted(t, own)
             i = i[(i < len(t)) & (t[np.minimum(i, len(t) - 1)] == own)] if len(t) else i[:0]
             rows.append((pack, t[i].tobytes(), total[i].tobytes()))
+        release()
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("pack", "tokens", "counts"), zip(*rows), (pa.int64(), pa.binary(), pa.binary()))})
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +266,7 @@ def rarest_first(packed: DataFrame, threshold: Threshold, buckets: int) -> DataF
                     own = t[ends[k] : ends[k + 1]]
                     group = class_ids(own[: prefix[k]] ^ np.uint64(n[k]), np.array([0, prefix[k]]))[0]
                     rows.append((int(np.frombuffer(classes, dtype=np.int64)[k]), int(n[k]), own.tobytes(), int(prefix[k]), int(group)))
+            release()
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["class", "n", "tokens", "prefix", "group"]
@@ -306,6 +310,7 @@ def group_edges(sets: DataFrame, buckets: int) -> DataFrame:
         parts = [np.stack([g, np.repeat(g[first], n)]), *[np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in table.column("edges").to_pylist()]]
         a, b = np.concatenate(parts, axis=1)
         a, b = np.unique(np.stack([a, b])[:, a != b], axis=1)
+        release()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     sent = sets.select("tokens", "prefix", "group").mapInArrow(send, "bucket int, tokens binary, groups binary, edges binary")
@@ -369,6 +374,8 @@ def _compare(table: pa.Table, threshold: Threshold) -> pa.Table:
         ok = threshold.links(both, n[i], n[others])
         found.append((np.full(int(ok.sum()), classes[i]), classes[others[ok]], both[ok]))
     a, b, both = (np.concatenate(x) for x in zip(*found)) if found else np.zeros((3, 0), np.int64)
+    del sets, local, near, tokens
+    release()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64())})
 
 
