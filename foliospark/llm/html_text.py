@@ -1,14 +1,16 @@
-"""Main text of web pages: the page's own structure first, then what repeats across a host's pages.
+"""Main text of web pages: structure proposes blocks, and what repeats across a host's pages is taken out of them.
 
-Where a page marks its article, the text is the article without what is in it of menus, notices and the like. What other pages
-leave unmarked is judged by their host: the token streams of its pages are concatenated, a suffix array finds long
-substrings that distinct pages share, and blocks that those cover are dropped as boilerplate.
+Where a page marks its article, its blocks are proposed without what is in them of menus, notices and the like; of other pages, all blocks that
+aren't marked as such. The token streams of what all pages of a host have outside of marked articles are concatenated, and a suffix array finds
+the long substrings that distinct pages share: the host's boilerplate. Words of proposed blocks that those cover, in articles too, are removed;
+unique runs stay.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,17 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, materialize, mix, narrow, shared_dir, slices, starts
+from .common import Filter, array, drop_dir, materialize, mix, narrow, shared_dir, slices, starts
 
 #: Tokens of the shortest substring that counts as long; distinct pages that must share it; pages in one suffix array.
 LONG, PAGES, GROUP = 8, 3, 2000
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S | re.I,
-)
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
+_STOP = re.compile(r"[>\"']")
+_HIDDEN = frozenset("script style template noscript textarea svg iframe title".split())
+_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _HIDDEN}
+_HEAD_END = re.compile(r"</head\s*+>|(?=<body\b)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark meter output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 _SPACED = frozenset(("td", "th"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,17 +50,19 @@ _PART = re.compile(r"[a-z]+|[0-9]+", re.I)
 
 def _named_chrome(parts: list[str]) -> bool:
     """Whether a name begins with a word of chrome, or goes on with one after words for a part of a page: has-sidebar doesn't."""
-    while parts and parts[0] in _PLACES and parts[0] not in _CHROME:
-        parts = parts[1:]
-    return bool(parts) and parts[0] in _CHROME
+    first = next((p for p in parts if p in _CHROME or p not in _PLACES), "")
+    return first in _CHROME
 
 
-@lru_cache(maxsize=10_000)
 def role(tag: str, attributes: str) -> str:
     """chrome, main or nothing, from a tag and its class, id, role and visibility."""
+    return _short_role(tag, attributes) if len(attributes) < 500 else _role(tag, attributes)
+
+
+def _role(tag: str, attributes: str) -> str:
     found = {}
-    for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        found[(hidden or name).lower()] = a or b or c
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)
     if tag in _CHROME_TAGS or found.get("role", "").lower() in _CHROME_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return "chrome"
     names = [w.lower() for w in (found.get("class", "") + " " + found.get("id", "")).split()]
@@ -73,6 +76,83 @@ def role(tag: str, attributes: str) -> str:
     return "content" if tag in ("div", "section") and any(set(_PART.findall(w)) & _MAIN and not set(_PART.findall(w)) - _MAIN - {"body", "text", "page", "area", "wrap", "inner"} for w in names) else ""
 
 
+_short_role = lru_cache(maxsize=10_000)(_role)
+
+
+def pieces(page: str) -> Iterator[tuple[str | None, str, bool]]:
+    """The page in order: (None, text, False), or (tag, attributes, whether it closes). Comments, scripts and the like are left out.
+
+    Time grows with the length, whatever is broken: every character is passed once, and what turns out to have no end is not looked for again. A quote
+    without its partner counts as a letter; a tag without its end as text.
+    """
+    at, size = 0, len(page)
+    quotes = {'"': True, "'": True}
+    closes = head = True
+    ends = dict.fromkeys(_HIDDEN, True)
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0 or not closes:
+            yield None, page[at:], False
+            return
+        if lt > at:
+            yield None, page[at:lt], False
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", lt) and (end := page.find("]]>", lt)) >= 0:
+            yield None, entities.escape(page[lt + 9 : end]), False
+            at = end + 3
+            continue
+        slash = page.startswith("/", lt + 1)
+        name = _NAME.match(page, lt + 1 + slash)
+        if name is None:
+            if page.startswith(("<!", "<?", "</"), lt):
+                end = page.find(">", lt)
+                if end < 0:
+                    closes = False
+                    at = lt
+                    continue
+                at = end + 1
+            else:
+                yield None, "<", False
+                at = lt + 1
+            continue
+        end, here = -1, name.end()
+        while m := _STOP.search(page, here):
+            q = m.group()
+            if q == ">":
+                end = m.start()
+                break
+            here = m.end()
+            if quotes[q]:
+                other = page.find(q, here)
+                if other < 0:
+                    quotes[q] = False
+                else:
+                    here = other + 1
+        if end < 0:  # no end outside of quotes: from here on quotes don't count
+            quotes = dict.fromkeys(quotes, False)
+            end = page.find(">", name.end())
+            if end < 0:
+                closes = False
+                at = lt
+                continue
+        tag, attributes, at = name.group().lower(), page[name.end() : end].strip(), end + 1
+        if tag == "head" and not slash and head:
+            m = _HEAD_END.search(page, at)
+            head = m is not None
+            at = m.end() if m else at
+            continue
+        if tag in _HIDDEN:
+            if not slash and not attributes.endswith("/"):
+                m = _ENDS[tag].search(page, at) if ends[tag] else None
+                ends[tag] = m is not None
+                at = m.end() if m else size
+            continue
+        yield tag, attributes, slash
+
+
 def blocks(page: str, unclosed: bool = False) -> list[tuple[str, str, float]]:
     """The visible blocks of a page in order: kind (main, content, other, chrome), text, and share of it in links.
 
@@ -80,12 +160,12 @@ def blocks(page: str, unclosed: bool = False) -> list[tuple[str, str, float]]:
 
     White space in a block becomes one space; a block ends at any tag that isn't inline. Elements left open end with the element around them.
     """
-    page = _HEAD.sub("", page, count=1)
     out: list[tuple[str, str, float]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []
     kinds = ["other"]
+    opened: Counter[str] = Counter()
     link = False
 
     def flush() -> None:
@@ -97,22 +177,15 @@ def blocks(page: str, unclosed: bool = False) -> list[tuple[str, str, float]]:
             text.clear()
         linked = 0
 
-    for m in _PIECE.finditer(page):
-        tag = m.group(3)
+    for tag, attributes, closing in pieces(page):
         if tag is None:
-            raw = m.group()
-            if m.group(1) is not None or raw.startswith(("<!", "<?")):
-                if raw.startswith("<![CDATA["):
-                    text.append(raw[9:-3])
-                continue
-            text.append(raw)
+            text.append(attributes)
             if link:
-                linked += len(raw)
+                linked += len(attributes)
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                link = not m.group(2)
+                link = not closing
             elif tag in _SPACED:
                 text.append(" ")
             continue
@@ -120,10 +193,10 @@ def blocks(page: str, unclosed: bool = False) -> list[tuple[str, str, float]]:
         link = False
         if tag not in _OPEN or tag in _VOID:
             continue
-        if not m.group(2):
-            if m.group(4).endswith("/") and tag not in ("div", "section"):
+        if not closing:
+            if attributes.endswith("/") and tag not in ("div", "section"):
                 continue
-            here, now = kinds[-1], role(tag, m.group(4).strip())
+            here, now = kinds[-1], role(tag, attributes)
             if unclosed and tag in ("article", "main") and now == "main":
                 kind = "main"
             elif here == "chrome" or now == "chrome" or (now == "header" and here not in ("main", "content")):
@@ -132,30 +205,32 @@ def blocks(page: str, unclosed: bool = False) -> list[tuple[str, str, float]]:
                 kind = "main"
             else:
                 kind = "content" if "content" in (here, now) else "other"
-            stack.append((tag, kind))
+            stack.append(tag)
+            opened[tag] += 1
             kinds.append(kind)
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    del kinds[i + 1 :]
+        elif opened[tag]:
+            while True:
+                last = stack.pop()
+                opened[last] -= 1
+                kinds.pop()
+                if last == tag:
                     break
     flush()
     return out
 
 
-def marked_text(found: list[tuple[str, str, float]]) -> str | None:
-    """The text of the blocks in the article, or in what is named as content; None if the page marks neither."""
+def marked(found: list[tuple[str, str, float]]) -> list[str] | None:
+    """The blocks in the article, or in what is named as content; None if the page marks neither."""
     for kind in ("main", "content"):
         own = [t for k, t, _ in found if k == kind]
         if own:
-            return "\n".join(own)
+            return own
     return None
 
 
 def hashes(text: str) -> list[int]:
     """A number for the block's begin and for each of its words; never negative."""
-    return [1, *(xxhash.xxh3_64_intdigest(w) >> 1 for w in text.lower().split())]
+    return [1, *(xxhash.xxh3_64_intdigest(w.lower()) >> 1 for w in text.split())]
 
 
 def suffix_array(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +250,11 @@ def suffix_array(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]
     return order, rank
 
 
-def shared_grams(streams: list[np.ndarray], long: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_grams(streams: list[np.ndarray], long: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every distinct run of ``long`` tokens and how many of the pages have it: runs of equal suffixes in the array.
 
+    times: how many pages each stream stands for, one by default.
+
     A substring of at least ``long`` tokens is shared by pages if, and only if, all its runs of that length are.
     """
     at = starts(np.array([len(s) + long for s in streams]))
@@ -197,7 +274,8 @@ def shared_grams(streams: list[np.ndarray], long: int) -> tuple[np.ndarray, np.n
     first = np.concatenate([[True], r[1:] != r[:-1]])
     other = first | np.concatenate([[True], p[1:] != p[:-1]])
     heads = np.flatnonzero(first)
-    counts = np.add.reduceat(other.astype(np.int64), heads)
+    weight = np.ones(len(streams), dtype=np.int64) if times is None else times.astype(np.int64)
+    counts = np.add.reduceat(other * weight[p], heads)
     return gram_hashes(tokens, order[heads], long), counts
 
 
@@ -208,56 +286,51 @@ def gram_hashes(tokens: np.ndarray, at: np.ndarray, long: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-PARSED = T.StructType(
-    [
-        T.StructField("host", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("blocks", T.ArrayType(T.StringType())),
-        T.StructField("stream", T.BinaryType()),
-        T.StructField("sign", T.LongType()),
-    ]
-)
+def _of_host(seed, grams: np.ndarray) -> np.ndarray:
+    """A number for each run of a host."""
+    return mix(grams ^ seed).view(np.int64)
 
 
 def parse_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Every row's key, url and PARSED: its text if the page marks it, else its blocks; the stream of tokens outside the marked text."""
+    """Every row's key and url; host; id, a hash of host and page; the proposed blocks; stream, the tokens of what else it has, and sign, their hash."""
     source = narrow(df, key=key, url=url, html=html)
-    schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("url", source.schema["url"].dataType), *PARSED.fields])
+    fields = (("host", T.StringType(), pa.string()), ("id", T.BinaryType(), pa.binary()), ("blocks", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("stream", T.BinaryType(), pa.binary()), ("sign", T.LongType(), pa.int64()))
+    schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("url", source.schema["url"].dataType), *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16 << 20):
+        for batch in slices(batches):
             rows = []
             for u, page in zip(array(batch.column(1)).to_pylist(), array(batch.column(2)).to_pylist()):
-                found = blocks(page or "")
-                text = marked_text(found)
-                if text is None and page and _ARTICLE.search(page):
+                page = page or ""
+                found = blocks(page)
+                own = marked(found)
+                if own is None and _ARTICLE.search(page):
                     found = blocks(page, unclosed=True)
-                    text = marked_text(found)
-                kept = None if text is not None else [t for k, t, links in found if k == "other" and links < 0.5]
-                rest = [t for k, t, _ in found if k == "chrome" or text is None or k == "other"]
-                stream = np.array([h for t in rest for h in hashes(t)], dtype=np.uint64).tobytes()
+                    own = marked(found)
+                kept = own if own is not None else [t for k, t, links in found if k == "other" and links < 0.5]
+                stream = np.array([h for k, t, links in found if links < 0.5 and (k == "chrome" or own is None or k == "other") for h in hashes(t)], dtype=np.uint64).tobytes()
                 host = re.sub(r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*).*", r"\1", (u or "").lower(), flags=re.S)
-                rows.append((host, text, kept, stream, xxhash.xxh3_64_intdigest(stream) - (1 << 63)))
-            types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=schema.names)
+                rows.append((host, xxhash.xxh3_128_digest(f"{host}\0{page}".encode("utf-8", "surrogatepass")), kept, stream, xxhash.xxh3_64_intdigest(stream) - (1 << 63)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, (_, _, t) in zip(zip(*rows), fields)]], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def boilerplate(parsed: DataFrame, long: int, pages: int) -> DataFrame:
-    """(host, gram): runs of ``long`` tokens that at least ``pages`` pages of a host share; pages with one and the same stream count as one.
+    """(host, gram): runs of ``long`` tokens, outside of marked articles and of lists of links (which may name articles), that at least ``pages`` pages of a host share; pages with one and the same
+    stream count as one page each.
 
-    A host's pages are spread over groups of about GROUP, each with a suffix array of its own; the groups' counts of each
+    A host's streams are spread over groups of about GROUP, each with a suffix array of its own; the groups' counts of each
     run are then added up, so that a large host is no single task and gives the same runs as one array would.
     """
-    streams = parsed.filter("length(stream) > 0").groupBy("host", "sign").agg(F.first("stream").alias("stream"))
-    sizes = streams.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= pages)
+    streams = parsed.filter("length(stream) > 0").groupBy("host", "sign").agg(F.first("stream").alias("stream"), F.count_distinct("id").alias("times"))
+    sizes = streams.groupBy("host").agg(F.count("*").alias("n"), F.sum("times").alias("pages")).filter(F.col("pages") >= pages)
     group = F.pmod(F.xxhash64("sign"), F.ceil(F.col("n") / GROUP)).alias("salt")
-    salted = streams.join(sizes, "host").select("host", group, "stream")
+    salted = streams.join(sizes, "host").select("host", group, "stream", "times")
 
     def run(table: pa.Table) -> pa.Table:
         streams = [np.frombuffer(s, dtype=np.uint64) for s in table.column("stream").to_pylist()]
-        grams, counts = shared_grams(streams, long)
+        grams, counts = shared_grams(streams, long, table.column("times").to_numpy())
         hosts = pa.array([table.column("host")[0].as_py()] * len(grams), pa.string())
         return pa.table({"host": hosts, "gram": pa.array(grams), "pages": pa.array(counts)})
 
@@ -265,46 +338,78 @@ def boilerplate(parsed: DataFrame, long: int, pages: int) -> DataFrame:
     return counted.groupBy("host", "gram").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= pages).select("host", "gram")
 
 
+def without(found: list[str], covered: np.ndarray) -> str:
+    """The blocks without the covered words; covered has a place for each block's begin and each word."""
+    out, at = [], 0
+    for t in found:
+        # words as hashes() cuts them, of the block itself
+        words = t.split()
+        own = covered[at + 1 : at + 1 + len(words)]
+        at += 1 + len(words)
+        if not own.any():
+            out.append(t)
+        elif not own.all():
+            out.append(" ".join(w for w, gone in zip(words, own) if not gone))
+    return "\n".join(out)
+
+
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", long: int = LONG, pages: int = PAGES) -> DataFrame:
     """A row for each row of ``df``: key, url, text and n_chars.
 
-    Null or empty html gives an empty text. A null url counts as a host of its own. Keys may repeat or be null: rows are told apart by key, url and
-    content, and equal rows get equal texts. Pages are parsed once; only pages that mark no article wait for their host.
+    Null or empty html gives an empty text. Pages with a null url, or one without a host, count as one host. Keys may repeat or be null, and equal rows
+    get equal texts. Pages are parsed once. Proposed blocks whose runs a Bloom filter of the hosts' boilerplate, of bounded size, doesn't know are
+    ready; those of the others are joined with it, and only those pages are shuffled.
     """
     spark = df.sparkSession
-    parsed = materialize(parse_pages(df, key, url, html), shared_dir(spark))
-    ready = parsed.filter("text is not null").select("key", "url", "text")
-    open_ = parsed.filter("text is null").select("key", "url", "host", "blocks")
+    folder = shared_dir(spark)
+    parsed = materialize(parse_pages(df, key, url, html), f"{folder}/parsed")
+    known = materialize(boilerplate(parsed, long, pages), f"{folder}/grams")
+    seed = F.xxhash64("host").alias("seed")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = np.array([h for t in found or [] for h in hashes(t)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_of_host(*[c.to_numpy(zero_copy_only=False) for c in batch.columns]))], names=["id"])
+
+    seeds = known.select(seed).distinct()
+    hosts, maybe = Filter(seeds, seeds.count()), Filter(known.select(seed, "gram").mapInArrow(number, "id long"), known.count())
+    keyed = parsed.select("key", "url", "host", "id", "blocks", seed)
+    names = ["key", "url", "host", "id", "blocks", "text", "at", "gram"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.list_(pa.string()), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        for batch in slices(batches):
+            rows, own = [], batch.column(5).to_numpy(zero_copy_only=False)
+            for found, go, host in zip(batch.column(4).to_pylist(), hosts.has(own).tolist(), own):
+                tokens = np.array([h for t in found for h in hashes(t)] if go else [], dtype=np.uint64)
                 at = np.arange(max(0, len(tokens) - long + 1))
-                rows.append((host, found, gram_hashes(tokens, at, long).tolist() if len(at) else []))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["host", "blocks", "grams"])
+                grams = gram_hashes(tokens, at, long)
+                at = np.flatnonzero(maybe.has(_of_host(host, grams))) if len(at) else at
+                rows.append((found, None, at.tolist(), grams[at].tolist()) if len(at) else (None, "\n".join(found), [], []))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=names)
+
+    plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:5])
+    sifted = keyed.mapInArrow(look, f"{plain}, text string, at array<long>, gram array<long>")
+    sifted = materialize(sifted, f"{folder}/sifted")
+    open_ = sifted.filter("text is null")
+    hits = open_.select("host", "id", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("host", "id", "x.at", "x.gram").distinct()
+    hits = hits.join(known, ["host", "gram"], "left_semi").groupBy("id").agg(F.collect_list("at").alias("hits"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
-            for host, found, hits in zip(*[c.to_pylist() for c in batch.columns]):
-                lengths = [len(hashes(t)) for t in found or []]
-                ends = starts(np.array(lengths, dtype=np.int64))
-                covered = np.zeros(int(ends[-1]), dtype=bool)
-                for at in hits or []:
-                    covered[at : at + long] = True
-                texts.append("\n".join(t for t, a, b in zip(found or [], ends, ends[1:]) if 3 * covered[a:b].sum() < 2 * (b - a)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["host", "blocks", "text"])
-
-    kinds = open_.select("host", "blocks").distinct()
-    places = kinds.mapInArrow(grams, "host string, blocks array<string>, grams array<long>").select("host", "blocks", F.posexplode_outer("grams").alias("at", "gram"))
-    hits = places.join(boilerplate(parsed, long, pages), ["host", "gram"], "left_semi").groupBy("host", "blocks").agg(F.collect_list("at").alias("hits"))
-    same = lambda a, b: a["host"].eqNullSafe(b["host"]) & a["blocks"].eqNullSafe(b["blocks"])
-    judged = kinds.join(hits, same(kinds, hits), "left").select(kinds["host"], kinds["blocks"], "hits").mapInArrow(decide, "host string, blocks array<string>, text string")
-    waited = open_.join(judged, same(open_, judged)).select("key", "url", "text")
-    return ready.unionByName(waited).select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+            for found, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                covered = np.zeros(sum(1 + len(t.split()) for t in found), dtype=bool)
+                for i in at or []:
+                    covered[i : i + long] = True
+                texts.append(without(found, covered))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
+
+    short = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:2])
+    judged = open_.join(hits, "id", "left").select("key", "url", "blocks", "hits").mapInArrow(decide, f"{short}, text string")
+    text = materialize(sifted.filter("text is not null").select("key", "url", "text").unionByName(judged), f"{folder}/text")
+    for done in ("parsed", "grams", "sifted"):
+        drop_dir(f"{folder}/{done}")
+    return text.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -344,20 +345,20 @@ def test_main_text(spark):
 
 def test_article_after_a_menu_that_is_left_open():
     page = "<nav><ul><li>Home</li></ul><div class=ad>Buy<article><p>The text.</p><aside>no</aside></article><footer>f</footer>"
-    assert html_text.marked_text(html_text.blocks(page)) is None
-    assert html_text.marked_text(html_text.blocks(page, unclosed=True)) == "The text."
+    assert html_text.marked(html_text.blocks(page)) is None
+    assert html_text.marked(html_text.blocks(page, unclosed=True)) == ["The text."]
 
 
 @pytest.mark.parametrize("names", ["post category-related", "post tag-cookies", "hentry category-advertising", "post-7 tag-sidebar has-banner"])
 def test_article_whose_names_tell_its_subject(names):
     page = f"<nav>Home</nav><article class='{names}'><p>The text.</p><div class='site-footer'>f</div><div class=cookie-notice>c</div></article><div>out</div>"
-    assert html_text.marked_text(html_text.blocks(page)) == "The text."
+    assert html_text.marked(html_text.blocks(page)) == ["The text."]
 
 
 def test_whole_and_leading_names_are_chrome():
-    assert html_text.marked_text(html_text.blocks("<div class='content has-sidebar'><p>The text.</p></div><div class='sidebar-left'>no</div>")) == "The text."
+    assert html_text.marked(html_text.blocks("<div class='content has-sidebar'><p>The text.</p></div><div class='sidebar-left'>no</div>")) == ["The text."]
     page = "<article><p>The text.</p></article><article class='comment'>no</article><article class=ad>no</article><div class='comments-area'>no</div>"
-    assert html_text.marked_text(html_text.blocks(page)) == "The text."
+    assert html_text.marked(html_text.blocks(page)) == ["The text."]
 
 
 def unmarked(n, seed=1):
@@ -372,14 +373,65 @@ def unmarked(n, seed=1):
     return rows, want
 
 
+def plain_main_text(rows, long=8, pages=3):
+    """Every host's runs counted page by page, and covered words of proposed blocks removed."""
+    seen, places = {}, []
+    for k, u, h in rows:
+        found = html_text.blocks(h or "")
+        own = html_text.marked(found)
+        proposed = own if own is not None else [t for kind, t, links in found if kind == "other" and links < 0.5]
+        host = (u or "").split("/")[2] if "//" in (u or "") else (u or "")
+        rest = [w for kind, t, links in found if links < 0.5 and (kind == "chrome" or own is None or kind == "other") for w in ["", *t.lower().split()]]
+        for i in range(len(rest) - long + 1):
+            seen.setdefault((host, tuple(rest[i : i + long])), set()).add(h)
+        places.append((k, host, proposed))
+    out = []
+    for k, host, proposed in places:
+        words_ = [(b, w) for b, t in enumerate(proposed) for w in ["", *t.split()]]
+        gone = set()
+        for i in range(len(words_) - long + 1):
+            if len(seen.get((host, tuple(w.lower() for _, w in words_[i : i + long])), ())) >= pages:
+                gone.update(range(i, i + long))
+        kept = {}
+        for i, (b, w) in enumerate(words_):
+            if w and i not in gone:
+                kept.setdefault(b, []).append(w)
+        out.append((k, "\n".join(" ".join(x) for _, x in sorted(kept.items()))))
+    return sorted(out, key=repr)
+
+
 @pytest.mark.parametrize("group", [2000, 3])
 def test_boilerplate_of_a_host(spark, monkeypatch, group):
     monkeypatch.setattr(html_text, "GROUP", group)
     rows, want = unmarked(9)
     alone = (50, "https://other.example/x", rows[0][2])
-    got = {r.page_id: r.text for r in html_text.main_text(pages(spark, [*rows, alone])).collect()}
-    assert {i: got[i].split("\n")[-2:] for i in want} == {i: w.split("\n") for i, w in want.items()}
-    assert "footer" in got[50] and not any("footer" in got[i] for i in want)
+    notice = "Please support our work with a small gift of any size today"
+    marked = [(60 + i, f"https://host.example/m{i}", f"<nav>{notice}</nav><article><p>own{i} words {'and ' * i}</p><p>Before {notice} after {i}</p><p>{notice}</p></article>") for i in range(4)]
+    # a passage that only articles share stays, and so does a title that other pages link to
+    title = "A title of eight words that others link"
+    shared = [(70 + i, f"https://host.example/s{i}", f"<aside><a href=x>{title}</a></aside><article><h1>{title}</h1><p>{'the same passage in every article of the host ' * 2}</p>{i}</article>") for i in range(5)]
+    all_rows = [*rows, alone, *marked, *shared, rows[0], (None, None, rows[1][2])]
+    got = html_text.main_text(pages(spark, all_rows)).collect()
+    assert sorted(((r.page_id, r.text) for r in got), key=repr) == plain_main_text(all_rows)
+    texts = {r.page_id: r.text for r in got}
+    assert {i: texts[i].split("\n")[-2:] for i in want} == {i: w.split("\n") for i, w in want.items()}
+    assert "footer" in texts[50] and not any("footer" in texts[i] for i in want)
+    assert texts[61] == "own1 words and\nBefore after 1" and texts[71].startswith(title + "\nthe same passage")
+
+
+@pytest.mark.parametrize("broken", ["<a", "<div ", "<a \">", "<a '\">\"", "<div>", "</section>", "<!--", "<![CDATA[", "<head>", "<script", "<script>", "<p class=\"", "&am", "<a href='x' b=\"y", "<main-", "< ", "<!"])
+def test_broken_pages_take_time_in_proportion(broken):
+    page = "<article>begin " + broken * (1_000_000 // len(broken)) + " end"
+    began = time.time()
+    html_text.blocks(page)
+    html_text.blocks("<div>" * 50_000 + "</section>" * 50_000 + f"<div class='{'main-' * 100_000}'><p {'a' * 500_000}>")
+    assert time.time() - began < 20
+
+
+def test_pieces_of_odd_tags():
+    text = lambda page: [b[1] for b in html_text.blocks(page)]
+    assert text("<p title='a > b'>x</p>1 < 2 <3 <p>y<br/>z</p><p a='>open") == ["x", "1 < 2 <3", "y", "z", "open"]
+    assert text("a<![CDATA[1 < 2 &amp;]]>b<!-- c --><?php d ?>e<script>var f='</p>'</script>g<textarea>h") == ["a1 < 2 &amp;bed ?>eg".replace("ed ?>e", "e")]
 
 
 def test_suffix_array_counts_pages():
