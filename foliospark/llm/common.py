@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write the rows to Parquet and read them back: their lineage ends here and no lost executor matters."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -187,13 +187,14 @@ _SEEDS = np.array([0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
 class Filter:
-    """A Bloom filter of 64-bit ids, of 12 bits an id and never more than ``most`` bits: with very many ids it lets more through, which costs
+    """A Bloom filter of 64-bit ids, of ``each`` bits an id and never more than ``most`` bits: with very many ids it lets more through, which costs
     shuffling but changes no result. Each of its slices is made by one task."""
 
     SLICE = 1 << 20  # bits
 
-    def __init__(self, ids: DataFrame, count: int, most: int = 1 << 27):
-        size = min(most, 1 << max(13, (12 * count).bit_length()))
+    def __init__(self, ids: DataFrame, count: int, most: int = 1 << 27, each: int = 12):
+        self.probes = max(1, each // 3)
+        size = min(most, 1 << max(13, (each * count).bit_length()))
         positions, width = self.positions, min(self.SLICE, size)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +215,10 @@ class Filter:
         for row in ids.mapInArrow(cut, "slice int, at binary").groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect():
             self.bits[row["slice"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
 
-    @staticmethod
-    def positions(ids: np.ndarray, size: int) -> np.ndarray:
+    def positions(self, ids: np.ndarray, size: int) -> np.ndarray:
         a = mix(ids.view(np.uint64) ^ _SEEDS[0])
         b = mix(a ^ _SEEDS[1]) | np.uint64(1)
-        return ((a[:, None] + np.arange(4, dtype=np.uint64) * b[:, None]) % np.uint64(size)).astype(np.int64)
+        return ((a[:, None] + np.arange(self.probes, dtype=np.uint64) * b[:, None]) % np.uint64(size)).astype(np.int64)
 
     def has(self, ids: np.ndarray) -> np.ndarray:
         at = self.positions(ids, 8 * len(self.bits))

@@ -371,7 +371,7 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
             yield pa.RecordBatch.from_arrays([pa.array(_of_host(*[c.to_numpy(zero_copy_only=False) for c in batch.columns]))], names=["id"])
 
     seeds = known.select(seed).distinct()
-    hosts, maybe = Filter(seeds, seeds.count()), Filter(known.select(seed, "gram").mapInArrow(number, "id long"), known.count())
+    hosts, maybe = Filter(seeds, seeds.count(), each=36), Filter(known.select(seed, "gram").mapInArrow(number, "id long"), known.count(), each=36)
     keyed = parsed.select("key", "url", "host", "id", "blocks", seed)
     names = ["key", "url", "host", "id", "blocks", "text", "at", "gram"]
 
@@ -389,8 +389,7 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:5])
     sifted = keyed.mapInArrow(look, f"{plain}, text string, at array<long>, gram array<long>")
-    sifted = materialize(sifted, f"{folder}/sifted")
-    open_ = sifted.filter("text is null")
+    open_ = materialize(sifted.filter("text is null"), f"{folder}/open")
     hits = open_.select("host", "id", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("host", "id", "x.at", "x.gram").distinct()
     hits = hits.join(known, ["host", "gram"], "left_semi").groupBy("id").agg(F.collect_list("at").alias("hits"))
 
@@ -406,9 +405,10 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     short = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:2])
     judged = open_.join(hits, "id", "left").select("key", "url", "blocks", "hits").mapInArrow(decide, f"{short}, text string")
-    text = materialize(sifted.filter("text is not null").select("key", "url", "text").unionByName(judged), f"{folder}/text")
-    for done in ("parsed", "grams", "sifted"):
+    judged = materialize(judged, f"{folder}/judged")
+    for done in ("grams", "open"):
         drop_dir(f"{folder}/{done}")
+    text = sifted.filter("text is not null").select("key", "url", "text").unionByName(judged)
     return text.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 
 
