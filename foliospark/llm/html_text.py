@@ -292,14 +292,15 @@ def _of_host(seed, grams: np.ndarray) -> np.ndarray:
 
 
 def parse_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Every row's key and url; host; id, a hash of host and page; the proposed blocks; stream, the tokens of what else it has, and sign, their hash."""
+    """Every row's key and url; host; id, a hash of host and page; the proposed blocks; sign, a hash of the tokens of
+    what else it has, if anything; and stream, those tokens, once for each host and sign of a batch."""
     source = narrow(df, key=key, url=url, html=html)
     fields = (("host", T.StringType(), pa.string()), ("id", T.BinaryType(), pa.binary()), ("blocks", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("stream", T.BinaryType(), pa.binary()), ("sign", T.LongType(), pa.int64()))
     schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("url", source.schema["url"].dataType), *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
+            rows, sent = [], set()
             for u, page in zip(array(batch.column(1)).to_pylist(), array(batch.column(2)).to_pylist()):
                 page = page or ""
                 found = blocks(page)
@@ -310,7 +311,9 @@ def parse_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 kept = own if own is not None else [t for k, t, links in found if k == "other" and links < 0.5]
                 stream = np.array([h for k, t, links in found if links < 0.5 and (k == "chrome" or own is None or k == "other") for h in hashes(t)], dtype=np.uint64).tobytes()
                 host = re.sub(r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*).*", r"\1", (u or "").lower(), flags=re.S)
-                rows.append((host, xxhash.xxh3_128_digest(f"{host}\0{page}".encode("utf-8", "surrogatepass")), kept, stream, xxhash.xxh3_64_intdigest(stream) - (1 << 63)))
+                sign = xxhash.xxh3_64_intdigest(stream) - (1 << 63)
+                rows.append((host, xxhash.xxh3_128_digest(f"{host}\0{page}".encode("utf-8", "surrogatepass")), kept, None if not stream or (host, sign) in sent else stream, sign if stream else None))
+                sent.add((host, sign))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, (_, _, t) in zip(zip(*rows), fields)]], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -323,7 +326,8 @@ def boilerplate(parsed: DataFrame, long: int, pages: int) -> DataFrame:
     A host's streams are spread over groups of about GROUP, each with a suffix array of its own; the groups' counts of each
     run are then added up, so that a large host is no single task and gives the same runs as one array would.
     """
-    streams = parsed.filter("length(stream) > 0").groupBy("host", "sign").agg(F.first("stream").alias("stream"), F.count_distinct("id").alias("times"))
+    own = parsed.filter("sign is not null").groupBy("host", "sign", "id").agg(F.max("stream").alias("stream"))
+    streams = own.groupBy("host", "sign").agg(F.max("stream").alias("stream"), F.count("*").alias("times"))
     sizes = streams.groupBy("host").agg(F.count("*").alias("n"), F.sum("times").alias("pages")).filter(F.col("pages") >= pages)
     group = F.pmod(F.xxhash64("sign"), F.ceil(F.col("n") / GROUP)).alias("salt")
     salted = streams.join(sizes, "host").select("host", group, "stream", "times")
