@@ -468,6 +468,39 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", si
     return result
 
 
+def keep_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Of rows that are linked, directly or over others, the one with the least key; of equal texts under one key one. Columns are unchanged.
+
+    A null key counts as a large number made from the row. Different texts under one key are different documents, each with a number of its own:
+    a 64-bit hash of both. So a group's least number names that group only; of those with its least key the one with the least number stays.
+    Rows that a Bloom filter of the numbers in groups, of bounded size, doesn't know stay where they are; only the others are shuffled.
+    """
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession)
+    marker = F.shiftrightunsigned(F.xxhash64(*[df[c] for c in df.columns]), 2) + F.lit(1 << 62)
+    own = F.coalesce(df[key].cast("long"), marker)
+    number = F.xxhash64(own, df[text])
+    found = similar_documents(df.select(number.alias("key"), df[text].alias("text")), "key", "text", size, percent)
+    times = found.groupBy("key").agg(F.min("component_id").alias("of"), F.count("*").alias("times"))
+    members = times.join(df.select(number.alias("key"), own.alias("own")).distinct(), "key")
+    groups = members.groupBy("of").agg(F.min(F.struct("own", "key")).alias("least"), F.sum("times").alias("rows")).filter("rows > 1")
+    grouped = materialize(members.join(groups, "of").select("key", (F.col("key") == F.col("least.key")).alias("stays")), f"{folder}/grouped")
+    known = Filter(grouped.select("key"), grouped.count(), each=24)
+    mark = "number"
+    while mark in df.columns:
+        mark += "_"
+    marked = df.select(number.alias(mark), *[df[c] for c in df.columns])
+
+    def part(some: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                yield batch.filter(pa.array(known.has(batch.column(0).to_numpy(zero_copy_only=False)) == some))
+
+        return marked.mapInArrow(run, marked.schema)
+
+    judged = part(True).join(grouped.select(F.col("key").alias(mark), "stays"), mark, "left").filter("stays is null or stays").dropDuplicates([mark])
+    return part(False).select(*df.columns).unionByName(judged.select(*df.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_shingles", "n_similar", "component_id")

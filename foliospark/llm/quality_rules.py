@@ -16,10 +16,18 @@ from .common import Words, array, bound_batches, flat, narrow, slices, sums
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 SEPARATOR = r"^(\||>|»|•|·|/|::)$"
+#: Stock phrases of English, German, French and Spanish pages, and marks of rights.
 BOILERPLATE = (
-    r"(?i)(lorem ipsum|javascript (is|must|has)|enable javascript|cookie (policy|notice|settings)|we use cookies|uses cookies|"
-    r"all rights reserved|terms (of use|of service|and conditions)|privacy policy|sign up for|subscribe to our|click here|"
-    r"share (this|on) (facebook|twitter|page)|powered by|skip to (main )?content)"
+    r"(?i)(lorem ipsum|javascript (is|must|has|ist|muss|est|doit|debe|está)|(enable|aktivier\w*|activez|active) javascript|"
+    r"(cookie (policy|notice|settings)|we use cookies|uses cookies)|cookie-?(richtlinie|hinweis|einstellung)|verwende[nt]+ cookies|"
+    r"utilis(ons|e|ent) des cookies|(politique|gestion|paramètres) des cookies|(utilizamos|usamos|utiliza|usa) cookies|(política|configuración|aviso) de cookies|"
+    r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|derechos reservados|(©|\(c\)|copyright) ?[0-9]{4}|"
+    r"terms (of use|of service|and conditions)|nutzungsbedingungen|allgemeine geschäftsbedingungen|conditions (générales|d.utilisation)|mentions légales|"
+    r"(términos|condiciones) (de uso|del servicio|y condiciones)|aviso legal|privacy policy|datenschutz(erklärung|hinweis|richtlinie)|politique de confidentialité|"
+    r"política de privacidad|sign up for|subscribe to our|newsletter abonnieren|abonnieren sie|abonnez-vous|inscrivez-vous|suscríbe(te|ase)|regístre(te|se)|"
+    r"click here|hier klicken|klicken sie hier|cliquez ici|haga clic|haz clic|(share|teilen|partager|compartir) (this|on|auf|sur|en|this page on) (facebook|twitter|page|x|linkedin)|"
+    r"(share|compartir|partager) (this|esto|cette) page|powered by|bereitgestellt von|propulsé par|desarrollado por|"
+    r"skip to (main )?content|zum (haupt)?inhalt springen|aller au contenu|(saltar|ir) al contenido)"
 )
 UPPER, LOWER, END = r"\p{Lu}", r"\p{Ll}", r"[.!?:;,)\]\"'»”’…。！？]$"
 
@@ -153,14 +161,24 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Rule
     return _apply(df, key, text, rules, False)
 
 
-def keep_documents(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``df``, all columns unchanged, whose text the rules keep; null and empty texts go."""
+def keep_documents(df: DataFrame, text: str = "text", chars: str = "n_chars", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``df`` whose text the rules keep, without the lines that fail; null and empty texts go.
+
+    ``chars``, if there is such a column, is counted again where lines went; all other columns are unchanged.
+    """
     bound_batches(df.sparkSession)
-    at = df.columns.index(text)
+    at, names = df.columns.index(text), df.columns
+    count = names.index(chars) if chars in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array(measure(batch.column(at), rules)[0]["kept"]))
+            got, clean = measure(batch.column(at), rules, True)
+            columns = list(batch.columns)
+            columns[at] = pa.array(clean, columns[at].type)
+            if count is not None:
+                shorter = pa.array(got["n_removed_lines"] > 0)
+                columns[count] = pc.if_else(shorter, pc.utf8_length(columns[at]).cast(columns[count].type), columns[count])
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(got["kept"]))
 
     return df.mapInArrow(run, df.schema)
 

@@ -75,6 +75,23 @@ def test_menu_rule_needs_separators():
     assert fails.tolist() == [True, False, True, True, False, True, False]
 
 
+@pytest.mark.parametrize(
+    "line",
+    ["All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Wir verwenden Cookies.", "Nous utilisons des cookies.", "Utilizamos cookies propias.",
+     "Datenschutzerklärung und Impressum.", "Politique de confidentialité.", "Política de privacidad.", "Zum Inhalt springen.", "Aller au contenu.", "Saltar al contenido.", "© 2024 Some Site."],
+)
+def test_boilerplate_of_four_languages(line):
+    own = ["Die Rechte der Bürger sind ihm wichtig.", "Il a le droit de rester.", "Los derechos de todos.", "The cookie was sweet."]
+    assert quality_rules.failing_lines(pa.array([line, *own]))[0].tolist() == [True, False, False, False, False]
+
+
+def test_kept_texts_are_cleaned(spark):
+    own = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) + "." for i in range(9))
+    rows = [(1, own + "\nAlle Rechte vorbehalten.\nMenu", 999), (2, own, None), (3, own, 5), (4, None, 1), (5, "", 0)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in quality_rules.keep_documents(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
+    assert got == {1: (own, len(own)), 2: (own, None), 3: (own, 5)}
+
+
 @pytest.fixture(scope="module")
 def reference():
     bpe = load_bytes(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
