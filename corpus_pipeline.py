@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliospark.llm import jaccard, packing, quality_model, quality_rules
 from foliospark.llm.common import materialize, shared_dir
@@ -16,22 +15,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and don't lose too much text to the line rules."""
+    """Documents that pass the base rules and don't lose too much text to the line rules, without the lines that fail."""
     return quality_rules.keep_documents(docs)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, directly or over others, the one with the least doc_id; of equal rows one.
-
-    A null doc_id counts as a large number made from the row. Different texts under one doc_id are different documents, each with a number of its own:
-    a 64-bit hash of both. So a group's least number names that group only; of those with its least doc_id the one with the least number stays.
-    """
-    marker = F.shiftrightunsigned(F.xxhash64(*[docs[c] for c in docs.columns]), 2) + F.lit(1 << 62)
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), marker)).withColumn("_n", F.xxhash64("_k", "text"))
-    groups = jaccard.similar_documents(keyed, key="_n").select("_n", "component_id").distinct()
-    least = keyed.select("_n", "_k").distinct().join(groups, "_n").groupBy("component_id").agg(F.min(F.struct("_k", "_n")).alias("least"))
-    kept = least.select(F.col("least._n").alias("_kept"))
-    return keyed.join(kept, F.col("_n") == F.col("_kept"), "left_semi").dropDuplicates(["_n"]).select(*docs.columns)
+    """Of documents that are linked, directly or over others, the one with the least doc_id; of equal rows one."""
+    return jaccard.keep_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ def test_stages_are_the_plain_ones(spark, tmp_path):
     third = corpus_pipeline.drop_similar(spark, second, d)
     kept = sorted(r.doc_id for r in third.collect())
     assert kept == sorted({c for _, _, _, c in similar([(r.doc_id, r.text) for r in second.collect()]) if c is not None})
+    clean = {(r.doc_id, r.clean_text) for r in quality_rules.score_documents(first).collect()}
+    assert {(r.doc_id, r.text) for r in second.collect()} <= clean and len({r.text for r in third.collect()}) == len(kept)
     for stage in (first, second, third):
         assert stage.columns == docs.columns
     pieces = corpus_pipeline.run(spark, d)
@@ -59,6 +61,14 @@ def test_near_copies_under_one_key_are_one_group(spark, tmp_path):
     assert got[0] == (3, b) and got[2][1] in (a, near(a)) and got[3] == (9, c)
 
 
+def test_clashing_columns_and_rows_of_one_key(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, b, 1, "x", 2), (5, a, 1, "x", 2), (5, b, 1, "x", 2), (5, None, 1, "x", 2), (5, None, 1, "x", 2), (None, "", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number long, key string, component_id long")
+    got = corpus_pipeline.drop_similar(spark, docs, "")
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted({r[:2] for r in rows if r[:2] != (5, b)}, key=repr)
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, corpus(spark, tmp_path, [], [])).count() == 0
 
