@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +14,8 @@ from . import providers
 from .functions import layout, links, naming, pixels, text
 from .operators import documents as docs
 from .operators import geometry, translate
-from .plans import batches
-from .sources import files
+from .plans import batches, pages
+from .sources import files, sinks
 from .storage import shared_dir
 from .streaming import writer
 
@@ -370,13 +373,13 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     return translate.page_context(
         c.select(
-            F.col("role").alias("title"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"), F.col("text").alias("texto"), F.substring("text", 2, 4).alias("traduccion")
+            F.col("role").alias("title"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"), F.col("text").alias("texto"), F.reverse("text").alias("traduccion")
         )
     )
 
 
 @query(f"""
-WITH p AS (SELECT role AS title, conv_id AS page, turn AS pos, text || ' -> ' || text[2:5] AS p FROM conversations WHERE {sql_strip('text')} <> '' AND {sql_strip('text[2:5]')} <> ''),
+WITH p AS (SELECT role AS title, conv_id AS page, turn AS pos, text || ' -> ' || reverse(text) AS p FROM conversations WHERE {sql_strip('text')} <> '' AND {sql_strip('reverse(text)')} <> ''),
 c AS (SELECT title, page, string_agg(p, '|' ORDER BY pos) AS ctx FROM p GROUP BY ALL)
 SELECT title, page, ctx, coalesce(string_agg(ctx, '#') OVER (PARTITION BY title ORDER BY page ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS previo FROM c
 """)
@@ -400,14 +403,14 @@ def request_payload(spark, d):
 @query("""
 WITH c AS (SELECT *, contains(text, '?') AS q FROM (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN text || '?' ELSE text END AS text FROM conversations)),
 p AS (SELECT conv_id, role, bool_or(q) AS bad FROM c GROUP BY ALL)
-SELECT role AS title, conv_id AS page, turn AS pos, '«' || text || '»' AS traduccion,
+SELECT role AS title, conv_id AS page, turn AS pos, """ + sql_clean("'«' || text || '»'") + """ AS traduccion,
        CASE WHEN bad THEN 'single' ELSE 'batch' END AS method FROM c JOIN p USING (conv_id, role)
 """)
 def translate_fallback(spark, d):
     c = read(spark, d, "conversations")
     texto = F.when(F.col("turn") % 4 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
     rows = c.select(F.col("role").alias("title"), F.col("conv_id").alias("page"), F.col("turn").alias("pos"), texto.alias("texto"))
-    got = translate.translate(rows, providers.provider("translate_batch", "echo"), providers.provider("translate", "echo"))
+    got = translate.translate(rows, providers.provider("translate_batch", "echo"), providers.provider("translate", "echo"), pause=None)
     return got.select("title", "page", "pos", "traduccion", "method")
 
 
@@ -524,15 +527,20 @@ SELECT t.page, threshold, sum(n) FILTER (gray > threshold)::BIGINT AS white, sum
        sum(n) FILTER (gray <= threshold) > sum(n) FILTER (gray > threshold) AS inverted FROM h JOIN t USING (page) GROUP BY ALL
 """)
 def otsu_threshold(spark, d):
-    """Histograms are counted before any window sees them: 256 rows a page at most."""
+    """Histograms are counted before they are gathered: 256 numbers a page at most."""
     gray = (F.floor(F.abs("value")) % 256).cast("int")
     h = read(spark, d, "events").select(F.col("event_type").alias("page"), gray.alias("gray")).groupBy("page", "gray").agg(F.count("*").alias("n"))
-    upto, all_ = Window.partitionBy("page").orderBy("gray"), Window.partitionBy("page")
-    mass = F.col("n") * F.col("gray")
-    s = h.select("page", "gray", "n", F.sum("n").over(upto).alias("w0"), F.sum(mass).over(upto).alias("s0"), F.sum("n").over(all_).alias("wt"), F.sum(mass).over(all_).alias("st"))
-    apart = F.pow((F.col("wt") * F.col("s0") - F.col("w0") * F.col("st")).cast("double"), 2) / (F.col("w0") * (F.col("wt") - F.col("w0"))).cast("double")
-    v = F.when(F.col("w0") == F.col("wt"), F.lit(0.0)).otherwise(F.try_divide(apart, F.lit(1.0)))
-    best = s.groupBy("page").agg(F.max_by("gray", F.struct(v.alias("v"), (-F.col("gray")).alias("g"))).alias("threshold"))
+
+    def threshold(frames):
+        for frame in frames:
+            found = []
+            for grays, n in zip(frame["grays"], frame["ns"]):
+                counts = np.zeros(256, dtype=np.int64)
+                counts[np.asarray(grays)] = np.asarray(n)
+                found.append(pixels.otsu_of(counts))
+            yield frame[["page"]].assign(threshold=found)
+
+    best = h.groupBy("page").agg(F.collect_list("gray").alias("grays"), F.collect_list("n").alias("ns")).mapInPandas(threshold, "page string, threshold int")
     counted = h.join(best, "page").groupBy("page", "threshold").agg(
         F.sum(F.when(F.col("gray") > F.col("threshold"), F.col("n"))).alias("white"), F.sum(F.when(F.col("gray") <= F.col("threshold"), F.col("n"))).alias("black")
     )
@@ -550,20 +558,119 @@ def composite(spark, d):
     return g.join(other, "vec_id").select("vec_id", F.array_join(pixels.composite(F.col("o"), F.col("g"), mask).cast("array<string>"), ",").alias("mixed"))
 
 
-@query()
+@query(f"""
+WITH p AS MATERIALIZED (SELECT vec_id, i // 8 AS y, i % 8 AS x, g[i + 1] > 60 AS hole FROM (SELECT vec_id, g, unnest(range(64)) AS i FROM ({_SQL_GRAYS}))),
+d AS MATERIALIZED (SELECT a.vec_id, a.y, a.x, coalesce(min(CASE WHEN a.hole THEN greatest(abs(a.y - b.y), abs(a.x - b.x)) ELSE 0 END), 0) AS d
+      FROM p a LEFT JOIN p b ON a.vec_id = b.vec_id AND NOT b.hole GROUP BY ALL),
+s AS (SELECT * FROM (VALUES (0, 0, 0), (0, -1, 0), (0, 0, -1), (0, -1, -1), (1, 0, 0), (1, 1, 0), (1, 0, -1), (1, 1, -1), (2, 0, 0), (2, -1, 0), (2, 0, 1), (2, -1, 1), (3, 0, 0), (3, 1, 0), (3, 0, 1), (3, 1, 1)) AS t(k, dy, dx)),
+r AS (SELECT d.vec_id, d.y, d.x, k, bool_or(n.d = d.d - 1) AS hit FROM d CROSS JOIN s JOIN d n ON n.vec_id = d.vec_id AND n.y = 7 - abs(7 - abs(d.y + dy)) AND n.x = 7 - abs(7 - abs(d.x + dx)) WHERE d.d > 0 GROUP BY ALL),
+c AS (SELECT vec_id, k, count(*) FILTER (hit) AS n FROM r GROUP BY ALL),
+v AS (SELECT vec_id, k, coalesce(n, 0) AS n FROM (SELECT vec_id FROM embeddings) CROSS JOIN (SELECT unnest(range(4)) AS k) LEFT JOIN c USING (vec_id, k))
+SELECT vec_id, string_agg(least(127, floor(d * 32))::INT::VARCHAR, ',' ORDER BY y, x) AS distance, any_value(e.reached) AS reached
+FROM d JOIN (SELECT vec_id, string_agg(n::VARCHAR, ',' ORDER BY k) AS reached FROM v GROUP BY vec_id) e USING (vec_id) GROUP BY vec_id
+""")
 def position_rings(spark, d):
     """Each embedding as a mask of 8 x 8: distances and directions into its hole."""
-    import numpy as np
 
     def run(frames):
         for frame in frames:
             rows = []
             for g in frame["g"]:
                 distance, directions = pixels.rings((np.asarray(g).reshape(8, 8) > 60).astype(np.uint8), size=8)
-                rows.append((distance.ravel().tolist(), directions.sum(axis=(0, 1)).tolist()))
+                rows.append([",".join(map(str, x.ravel().tolist())) for x in (distance, directions.sum(axis=(0, 1)))])
             yield frame[["vec_id"]].assign(distance=[r[0] for r in rows], reached=[r[1] for r in rows])
 
-    return read(spark, d, "embeddings").select("vec_id", _grays()).mapInPandas(run, "vec_id long, distance array<int>, reached array<int>")
+    return read(spark, d, "embeddings").select("vec_id", _grays()).mapInPandas(run, "vec_id long, distance string, reached string")
+
+
+def _images(spark: SparkSession, d: str, make: Callable, schema: str) -> DataFrame:
+    """What ``make(vec_id, 8 x 8 image)`` gives for each embedding, batch by batch."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [make(i, np.asarray(g, dtype=np.uint8).reshape(8, 8)) for i, g in zip(frame["vec_id"], frame["g"])]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return read(spark, d, "embeddings").select("vec_id", _grays()).mapInPandas(run, schema)
+
+
+@query(f"""
+WITH h AS (SELECT vec_id, gray, count(*) AS n FROM (SELECT vec_id, unnest(g) AS gray FROM ({_SQL_GRAYS})) GROUP BY ALL),
+s AS (SELECT vec_id, gray, sum(n) OVER w AS w0, sum(n * gray) OVER w AS s0, sum(n) OVER (PARTITION BY vec_id) AS wt, sum(n * gray) OVER (PARTITION BY vec_id) AS st FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY gray)),
+b AS (SELECT *, CASE WHEN w0 = wt THEN 0 ELSE power((wt * s0 - w0 * st)::DOUBLE, 2) / (w0 * (wt - w0))::DOUBLE END AS v FROM s),
+t AS (SELECT vec_id, CASE WHEN max(v) > 0 THEN arg_max(gray, (v, -gray)) ELSE 0 END AS threshold FROM b GROUP BY vec_id),
+c AS (SELECT vec_id, count(*) FILTER (gray > threshold) AS white FROM (SELECT vec_id, unnest(g) AS gray FROM ({_SQL_GRAYS})) JOIN t USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, (CASE WHEN 2 * white < 64 THEN 64 - white ELSE white END)::BIGINT AS white, 3 AS channels FROM c
+""")
+def reading_parts(spark, d):
+    """Embeddings as parts of pages made ready to be read: black text on white in three channels."""
+
+    def one(i, image):
+        out = pixels.binarize(image)
+        return i, int((out[..., 0] == 255).sum()), out.shape[2]
+
+    return _images(spark, d, one, "vec_id long, white long, channels int")
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, g[i + 1] AS v FROM (SELECT vec_id, g, unnest(range(64)) AS i FROM ({_SQL_GRAYS}))),
+m AS (SELECT vec_id, avg(v) FILTER (x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 4) AS a FROM p GROUP BY vec_id)
+SELECT vec_id, sum(CASE WHEN x BETWEEN 1 AND 5 AND y BETWEEN 2 AND 5 THEN CASE WHEN a > 128 THEN 255 ELSE 0 END ELSE v END)::BIGINT AS total FROM p JOIN m USING (vec_id) GROUP BY vec_id
+""")
+def filled_boxes(spark, d):
+    """A detection on each embedding painted over by the mean around it."""
+    return _images(spark, d, lambda i, image: (i, int(pixels.fill_boxes(image, [(2, 3, 3, 2)]).sum(dtype=np.int64))), "vec_id long, total long")
+
+
+@query(f"""
+SELECT vec_id, round(sum(CASE WHEN v >= 128 THEN 0 ELSE v / 127.5::DOUBLE - 1 END), 2) AS total, count(*) FILTER (v >= 128) AS hole, 4 AS added_rows, 2 AS added_columns
+FROM (SELECT vec_id, g[least(y, 15 - y) * 8 + least(x, 15 - x) + 1] AS v FROM (SELECT vec_id, g, unnest(range(12)) AS y FROM ({_SQL_GRAYS})), (SELECT unnest(range(10)) AS x)) GROUP BY vec_id
+""")
+def model_inputs(spark, d):
+    """What an inpainting model gets for each embedding, filled up to 12 x 10, with its bright pixels as the hole."""
+
+    def one(i, image):
+        scaled, hole, (rows, columns) = pixels.model_input(image[..., None], np.where(image >= 128, 255, 0).astype(np.uint8), least=12)
+        scaled, hole = scaled[0, :, :10], hole[:, :10]
+        return i, round(float(scaled.sum(dtype=np.float64)), 2), int(hole.sum()), rows, columns - 2
+
+    return _images(spark, d, one, "vec_id long, total double, hole long, added_rows int, added_columns int")
+
+
+@query(f"""
+SELECT vec_id::INT AS page, CASE WHEN vec_id % 5 = 0 THEN 3 WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS attempts,
+       CASE WHEN vec_id % 5 = 0 THEN 'RuntimeError: CUDA out of memory' WHEN vec_id % 7 = 0 AND vec_id % 3 <> 0 THEN 'ValueError: odd' END AS error,
+       CASE WHEN vec_id % 5 = 0 OR (vec_id % 7 = 0 AND vec_id % 3 <> 0) THEN NULL WHEN vec_id % 3 = 0 THEN '1,1,2,2' ELSE '1,1,2,2' END AS box,
+       CASE WHEN vec_id % 5 = 0 OR (vec_id % 7 = 0 AND vec_id % 3 <> 0) THEN NULL ELSE 64 END::INT AS size
+FROM embeddings
+""".replace("CASE WHEN vec_id % 5 = 0 THEN 3 WHEN", "CASE WHEN vec_id % 5 = 0 THEN 3 WHEN vec_id % 7 = 0 AND vec_id % 3 <> 0 THEN 1 WHEN"))
+def page_driver(spark, d):
+    """Every embedding as a page through a detector that is short of memory on some, and fails on others."""
+    number = F.col("vec_id").cast("int")
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.col("data"))
+    g = read(spark, d, "embeddings").select("vec_id", _grays())
+
+    def to_bytes(frames):
+        for frame in frames:
+            # the first two pixels say how the detector takes the page
+            kinds = [(1 if i % 5 == 0 else 2 if i % 7 == 0 and i % 3 != 0 else 3 if i % 3 == 0 else 0) for i in frame["vec_id"]]
+            data = [bytes([k * 60]) * 64 for k in kinds]
+            yield frame[["vec_id"]].assign(data=data)
+
+    def detect(page):
+        kind = int(page[0, 0, 0]) // 60
+        if kind == 1 or kind == 3 and page.shape[0] == 8:
+            raise RuntimeError("CUDA out of memory")
+        if kind == 2:
+            raise ValueError("odd")
+        return [(1, 1, 2, 2)]
+
+    rows = g.mapInPandas(to_bytes, "vec_id long, data binary").select(F.lit("t").alias("title"), number.alias("page"), image.alias("image"))
+    done = pages.process_pages(rows, detect, pixels.fill_boxes, lambda page: page.tobytes())
+    box = F.col("boxes")[0]
+    return done.select("page", "attempts", "error", F.concat_ws(",", *[box[c] for c in "xywh"]).alias("b"), F.length("content").alias("size")).select(
+        "page", "attempts", "error", F.when(F.col("size").isNotNull(), F.col("b")).alias("box"), "size"
+    )
 
 
 # --- layout ---------------------------------------------------------------------------------------------------------------------
@@ -610,6 +717,66 @@ def text_layout(spark, d):
     return rows.select("item_id", "k", F.col("p.line").alias("line"), F.col("p.x").alias("x"), F.round("p.y", 4).alias("y"))
 
 
+@query("SELECT doc_id, doc_id || '.' || CASE WHEN doc_id % 3 = 0 THEN 'PNG' ELSE 'jpg' END AS file, octet_length(encode(source))::BIGINT AS length FROM documents WHERE doc_id % 4 <> 1")
+def listed_pages(spark, d):
+    """A file for each document, some of which aren't images, written and listed again."""
+    folder = shared_dir(spark)
+    ending = F.when(F.col("doc_id") % 4 == 1, F.lit("txt")).when(F.col("doc_id") % 3 == 0, F.lit("PNG")).otherwise(F.lit("jpg"))
+    made = read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("."), ending).alias("name"), F.col("source").cast("binary").alias("content"))
+    files.write_files(made, folder).write.format("noop").mode("overwrite").save()
+    return files.list_pages(spark, folder).select(F.split("file", r"\.")[0].cast("long").alias("doc_id"), "file", "length")
+
+
+@query("SELECT p_partkey, p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size % 2 = 0)")
+def missing_resources(spark, d):
+    parts = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), "p_size")
+    return files.missing(parts.select("p_partkey", "name"), parts.filter("p_size % 2 = 0").select("name").distinct())
+
+
+@query("SELECT l_orderkey AS page, l_linenumber AS pos, least(a, b, c) AS x, least(d, e) AS y, greatest(a, b, c) - least(a, b, c) + 1 AS w, greatest(d, e) - least(d, e) + 1 AS h FROM (SELECT *, (l_partkey % 460)::INT AS a, (l_suppkey % 97)::INT AS b, l_quantity::INT AS c, (l_linenumber * 50)::INT AS d, (l_quantity * 3)::INT AS e FROM lineitem)")
+def bounding_boxes(spark, d):
+    """Polygons of three points as rectangles."""
+    a, b, c = (F.col("l_partkey") % 460).cast("int"), (F.col("l_suppkey") % 97).cast("int"), F.col("l_quantity").cast("int")
+    low, high = (F.col("l_linenumber") * 50).cast("int"), (F.col("l_quantity") * 3).cast("int")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    quad = F.array(point(a, low), point(b, high), point(c, low))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos"), geometry.bounding_box(quad).alias("b")).select("page", "pos", "b.*")
+
+
+@query("""
+SELECT event_id, contains(m, 'cuda') OR contains(m, 'out of memory') AS retry_smaller, contains(m, '429') AND contains(m, 'rate_limit_exceeded') AND contains(m, 'tokens') AS used_up
+FROM (SELECT event_id, lower(CASE event_id % 4 WHEN 0 THEN 'Error 429 rate_limit_exceeded: TOKENS ' WHEN 1 THEN 'CUDA error ' WHEN 2 THEN 'Error 429 tokens ' ELSE 'Out of Memory ' END || coalesce(props, '')) AS m FROM events)
+""")
+def error_kinds(spark, d):
+    """Messages of failed requests and pages: after which a smaller page is tried, and after which nothing is."""
+    heads = ["Error 429 rate_limit_exceeded: TOKENS ", "CUDA error ", "Error 429 tokens ", "Out of Memory "]
+    message = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("event_id") % 4 + 1).cast("int")), F.coalesce("props", F.lit("")))
+    return read(spark, d, "events").select("event_id", translate.out_of_memory(message).alias("retry_smaller"), translate.used_up(message).alias("used_up"))
+
+
+@query("SELECT title, n AS n_files, title || '_Traducido.pdf' AS name, files FROM (SELECT lang AS title, count(*) AS n, string_agg(doc_id || '.jpg', ',' ORDER BY doc_id) AS files FROM documents GROUP BY lang) WHERE n % 2 = 0 OR title < 'e'")
+def compiled_titles(spark, d):
+    """Titles of which all pages are there, their files in natural order; of others one is missing."""
+    made = read(spark, d, "documents").select(F.col("lang").alias("title"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file"))
+    counted = made.groupBy("title").agg(F.count("*").alias("n"))
+    expected = counted.select("title", F.when((F.col("n") % 2 == 0) | (F.col("title") < "e"), F.col("n")).otherwise(F.col("n") + 1).alias("n"))
+    return pages.compile_titles(made, expected).select("title", F.size("files").cast("long").alias("n_files"), "name", F.array_join("files", ",").alias("files"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id AS title, turn // 4 AS page, turn % 4 AS pos, CASE WHEN turn % 16 = 3 THEN text || '?' ELSE text END AS text FROM conversations),
+p AS (SELECT title, page, bool_or(contains(text, '?')) AS bad FROM c GROUP BY ALL)
+SELECT title, page, pos, {sql_clean("'«' || text || '»'")} AS traduccion, CASE WHEN bad THEN 'single' ELSE 'batch' END AS method FROM c JOIN p USING (title, page)
+""")
+def translate_page(spark, d):
+    """Pages of four turns through a model whose JSON answers are validated; an answer that lacks an id is no answer."""
+    texto = F.when(F.col("turn") % 16 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    turn = F.col("turn")
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("title"), F.floor(turn / 4).alias("page"), (turn % 4).alias("pos"), texto.alias("texto"))
+    batch = translate.json_batch(providers.echo_model, "Japonés", "Español", "A test.")
+    return translate.translate(rows, batch, providers.provider("translate", "echo"), pause=None).select("title", "page", "pos", "traduccion", "method")
+
+
 # --- documents ------------------------------------------------------------------------------------------------------------------
 
 
@@ -639,6 +806,21 @@ def title_documents(spark, d):
     return docs.assemble(b, b.select("title", "page", F.lit("Color").alias("format")), "Traducción")
 
 
+@query(_SQL["title_documents"])
+def document_files(spark, d):
+    """Every title's document as a file of indented JSON, read back."""
+    folder = shared_dir(spark)
+    sinks.write_document_files(title_documents(spark, d), folder).write.format("noop").mode("overwrite").save()
+
+    def compact(frames):
+        for frame in frames:
+            bodies = [json.dumps(json.loads(bytes(c)), ensure_ascii=False, separators=(",", ":")) for c in frame["content"]]
+            yield frame[["title"]].assign(document=bodies)
+
+    found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("title"), "content")
+    return found.mapInPandas(compact, "title string, document string")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <> 1 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
 UNION ALL SELECT o_orderkey, 1, -1 FROM orders WHERE o_orderstatus = 'F'
@@ -668,7 +850,48 @@ def writer_state(spark, d):
     return writer.documents_batch(_messages(read(spark, d, "events")))
 
 
-@query(_SQL_WRITER.format(n="count(*) FILTER (event_type = 'purchase')"))
+_SQL_WRITTEN = """
+WITH m AS (SELECT event_id AS seq, user_id::VARCHAR AS doc, event_type AS t, event_id % 5 AS page FROM events),
+h AS (SELECT doc, max(seq) AS v, min(seq) AS f FROM m WHERE t = 'signup' GROUP BY doc),
+s1 AS (SELECT doc, page, t, '"' || CASE t WHEN 'click' THEN 'Globos de texto' ELSE 'Notas' END || '":[' || string_agg(seq::VARCHAR, ',' ORDER BY seq) || ']' AS x, min(seq) AS f FROM m WHERE t IN ('click', 'purchase') GROUP BY doc, page, t),
+s AS (SELECT doc, page, string_agg(x, ',' ORDER BY f) AS extra, min(f) AS seq FROM s1 GROUP BY ALL),
+r AS (SELECT doc, page, seq, '{"Página":' || page || ',"n":' || seq || '}' AS v, true AS own FROM m WHERE t = 'view' UNION ALL SELECT doc, page, seq, '{"Página":' || page || '}', false FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS n FROM r),
+b AS (SELECT k.doc, k.page, k.seq, CASE WHEN n = 1 AND extra IS NOT NULL THEN left(v, -1) || ',' || extra || '}' ELSE v END AS v FROM k LEFT JOIN s ON k.doc = s.doc AND k.page = s.page WHERE own OR n = 1),
+o AS (SELECT doc, max(seq) AS z FROM m WHERE t = 'error' GROUP BY doc),
+l AS (SELECT b.doc, '"Traducción":[' || string_agg(v, ',' ORDER BY b.seq > coalesce(z, -1), CASE WHEN b.seq <= coalesce(z, -1) THEN page END, b.seq) || ']' AS x, min(b.seq) AS f FROM b LEFT JOIN o ON b.doc = o.doc GROUP BY b.doc)
+SELECT doc, '{' || string_agg(x, ',' ORDER BY f) || '}' AS document FROM (SELECT doc, '"Título":' || v AS x, f FROM h UNION ALL SELECT doc, x, f FROM l) GROUP BY doc
+"""
+
+
+def _element_messages(events: DataFrame) -> DataFrame:
+    """Events as messages that set titles, add pages and balloons, and order pages."""
+    kinds = {"signup": "header", "view": "append", "click": "sub", "purchase": "sub", "error": "sort"}
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    seq, page = F.col("event_id"), (F.col("event_id") % 5).cast("int")
+    value = F.when(kind == "append", F.to_json(F.struct(page.alias("Página"), seq.alias("n")))).otherwise(seq.cast("string"))
+    name = F.when(kind == "header", F.lit("Título")).otherwise(F.lit("Traducción"))
+    sub = F.when(F.col("event_type") == "click", F.lit("Globos de texto")).otherwise(F.lit("Notas"))
+    return events.select(seq.alias("seq"), F.col("user_id").cast("string").alias("doc"), kind.alias("kind"), name.alias("name"), page.alias("page"), sub.alias("sub"), value.alias("value"))
+
+
+@query(_SQL_WRITTEN)
+def writer_documents(spark, d):
+    """The documents themselves, with their lists, page records and order."""
+    return docs.written_documents(_element_messages(read(spark, d, "events")))
+
+
+@query(_SQL_WRITTEN)
+def writer_documents_stream(spark, d):
+    """The same from a stream."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    messages = _element_messages(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"))
+    running = writer.DocumentsWriter(messages, shared_dir(spark), merge=docs.written_documents)
+    running.query.awaitTermination()
+    return running.current()
+
+
+@query(_SQL_WRITER.format(n="count(DISTINCT props) FILTER (event_type = 'purchase')"))
 def writer_stream(spark, d):
     """The same from a stream of the table's files, run to its end."""
     path = f"{d}/events.parquet"

@@ -44,7 +44,12 @@ def gray(image: np.ndarray) -> np.ndarray:
 
 def otsu(values: np.ndarray) -> int:
     """The threshold that parts bright from dark best: pixels above it are bright. 0 for an empty or flat image."""
-    n = np.bincount(values.ravel(), minlength=256).astype(np.float64)
+    return otsu_of(np.bincount(values.ravel(), minlength=256))
+
+
+def otsu_of(counts: np.ndarray) -> int:
+    """``otsu`` from how many pixels have each of the 256 values."""
+    n = counts.astype(np.float64)
     below, mass = np.cumsum(n), np.cumsum(n * np.arange(256))
     above = below[-1] - below
     with np.errstate(divide="ignore", invalid="ignore"):

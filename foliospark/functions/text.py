@@ -1,7 +1,10 @@
-"""Text functions on Columns; nothing here leaves the JVM."""
+"""Text functions on Columns, which don't leave the JVM, and the cleaning for Python workers that have the text anyway."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +38,15 @@ def clean(t: Column) -> Column:
     return drop_symbol_only(squeeze(strip(replace_special(t))))
 
 
+def clean_string(t: str) -> str:
+    """``clean`` for a string."""
+    t = re.sub(r"([^\n])\1{3,}", r"\1\1\1", t.translate(_MARKS).strip(SPACE))
+    return t if any(unicodedata.category(c)[0] in "LN" for c in t) else ""
+
+
+_MARKS = {ord(c): PLAIN[i] if i < len(PLAIN) else None for i, c in enumerate(SPECIAL)}
+
+
 def is_blank(t: Column) -> Column:
     """Null or only white space."""
     return t.isNull() | (strip(t) == "")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, pair
+from ..functions.text import clean_string, is_blank, pair
 
 #: Languages of the reader's interface and their codes; the second provider's code where it differs.
 LANGUAGES = {"Auto": "auto", "Español": "es", "Inglés": "en", "Portugués": "pt", "Francés": "fr", "Italiano": "it", "Japonés": "ja", "Coreano": "ko", "Chino": "zh"}
@@ -128,13 +130,66 @@ def token_budget(items: Column) -> Column:
     return F.greatest(F.lit(256), F.size(items) * 96)
 
 
+def system_prompt(source: str, target: str, lore: str | None = None) -> str:
+    """What a model is told before a request: the languages, the story if there is one, and the shape of the answer."""
+    story = f" The story so far: {lore}" if lore else ""
+    return (
+        f"Translate comic dialogue from {source} to {target}.{story} Texts were read by a machine: mend letters that were misread where the scene tells, and give "
+        "'...' for what can't be understood. Keep names, forms of address and tone as in contexto_previo. Answer with JSON only, an object with a list "
+        "'traducciones' of objects with the 'id' of a text and its 'traduccion', one for each text."
+    )
+
+
+def read_answer(answer: str, count: int) -> list[str]:
+    """The translations of a model's JSON answer in the order of their ids, 0 to count - 1, each of which must be there once; else ValueError.
+
+    JSON true counts as 1, as in ``parse_responses``.
+    """
+    try:
+        rows = json.loads(answer)["traducciones"]
+        found = [(r["id"], r["traduccion"]) for r in rows]
+    except (TypeError, KeyError, json.JSONDecodeError) as e:
+        raise ValueError(f"the answer has another shape: {e}") from None
+    out: list[str | None] = [None] * count
+    for i, text in found:
+        if not isinstance(i, int) or not isinstance(text, str):
+            raise ValueError(f"an id or translation of another type: {i!r}")
+        if not 0 <= i < count or out[i] is not None:
+            raise ValueError(f"{'unknown' if not 0 <= i < count else 'repeated'} id: {i}")
+        out[i] = text
+    missing = [i for i, t in enumerate(out) if t is None]
+    if missing:
+        raise ValueError(f"ids without a translation: {missing}")
+    return out
+
+
+def json_batch(ask: Callable[[str, str, int], str], source: str, target: str, lore: str | None = None) -> Callable[[list[str], list[list[str]]], list[str]]:
+    """A ``batch`` for ``translate`` from a model: ask(prompt, request, token budget) gives its answer, which is validated."""
+    prompt = system_prompt(source, target, lore)
+
+    def batch(texts: list[str], ctx: list[list[str]]) -> list[str]:
+        request = {"contexto_previo": ctx, "textos_a_traducir": [{"id": i, "texto": t} for i, t in enumerate(texts)]}
+        return read_answer(ask(prompt, json.dumps(request, ensure_ascii=False), max(256, 96 * len(texts))), len(texts))
+
+    return batch
+
+
 def translate(
-    df: DataFrame, batch: Callable[[list[str], list[list[str]]], list[str]], single: Callable[[str], str], attempts: int = 3, source: str = "ja", target: str = "es"
+    df: DataFrame,
+    batch: Callable[[list[str], list[list[str]]], list[str]] | None,
+    single: Callable[[str], str],
+    attempts: int = 3,
+    source: str = "ja",
+    target: str = "es",
+    clean: bool = True,
+    pause: Callable[[float], None] | None = time.sleep,
 ) -> DataFrame:
     """Texts (title, page, pos, texto) with ``traduccion``, ``method``: model pages in order, with the context of the last two.
 
     A page's non-blank texts go to ``batch`` with the context; an answer of another length or an error is tried again, up to ``attempts``
-    times, and not again once its tokens are used up; then each text goes to ``single``, whose failure or empty answer leaves the text as it is.
+    times with 1, 2, 4, ... seconds between them (``pause``; None: at once), and not again once its tokens are used up; then each text goes to ``single``,
+    whose failure or empty answer leaves the text as it is. Without a ``batch`` every text goes to ``single``, an answer of one letter counts as none
+    and gives an empty text, and nothing is remembered. Translations are cleaned, as recognised texts are, and so remembered, unless ``clean`` is false.
     A title is one ordered unit, as each page's context holds the answers for the pages before it; titles run in parallel. Pages of a
     title stream through in order, so a long title needs no more memory than a batch.
     """
@@ -145,14 +200,18 @@ def translate(
             got = single(text)
         except Exception:  # noqa: BLE001 a provider may fail in any way; the text stays
             return text
+        if batch is None:
+            return got if isinstance(got, str) and len(got) > 1 else ""
         return got if isinstance(got, str) and got else text
 
     def page(texts: list[str], ctx: list[list[str]]) -> tuple[list[str], str]:
         some = [i for i, t in enumerate(texts) if t.strip()]
         if same or not some:
             return texts, "copy"
-        for _ in range(attempts):
+        for attempt in range(attempts if batch is not None else 0):
             try:
+                if attempt and pause is not None:
+                    pause(2.0 ** (attempt - 1))
                 got = batch([texts[i] for i in some], ctx[-2:])
                 if len(got) == len(some) and all(isinstance(g, str) for g in got):
                     out = list(texts)
@@ -176,8 +235,9 @@ def translate(
                 title, ctx = group["title"].iloc[0], []
             texts = [t if isinstance(t, str) else "" for t in group["texto"]]
             out, how = page(texts, ctx)
+            out = [clean_string(t) for t in out] if clean else out
             pairs = [f"{a} -> {b}" for a, b in zip(texts, out) if a.strip() and b.strip()]
-            if pairs:
+            if pairs and batch is not None:
                 ctx = [*ctx, pairs][-3:]
             return group.assign(traduccion=out, method=how)
 

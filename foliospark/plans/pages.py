@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import natural_key
-from ..operators.geometry import shrink
 
 RESULT = "title string, page int, boxes array<struct<x:int,y:int,w:int,h:int>>, content binary, attempts int, error string"
 
@@ -22,7 +21,19 @@ def is_memory_error(e: Exception) -> bool:
 
 def smaller(image: np.ndarray, factor: float = 0.75) -> np.ndarray:
     """The image at three quarters of its sides, one pixel at least, by nearest pixels."""
-    h, w = (max(1, int(n * factor)) for n in image.shape[:2])
+    return sized(image, *(max(1, int(n * factor)) for n in image.shape[:2]))
+
+
+def on_canvas(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image at the top left of a black one of the given size; what is outside is cut off."""
+    out = np.zeros((height, width, *image.shape[2:]), dtype=image.dtype)
+    part = image[:height, :width]
+    out[: part.shape[0], : part.shape[1]] = part
+    return out
+
+
+def sized(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """The image with h rows and w columns, by nearest pixels."""
     rows, cols = np.arange(h) * image.shape[0] // h, np.arange(w) * image.shape[1] // w
     return image[rows][:, cols]
 
@@ -36,15 +47,22 @@ def process_pages(
 ) -> DataFrame:
     """Pages (title, page, image as Spark's image source has it) as rows RESULT.
 
-    After a memory error a page is tried again at three quarters of its size, ``attempts`` times in all; another error, or the last, is
+    After a memory error a page is tried again at three quarters of its size, ``attempts`` times in all, and what comes of it is brought back to the
+    page's own size, boxes too; a result larger or smaller than its input is put on a canvas of that first. Another error, or the last, is
     kept in ``error`` and the page stays without content. A page that couldn't be decoded is an error too. Pages are independent and one is in memory at a time.
     """
 
     def one(image: np.ndarray) -> tuple:
+        height, width = image.shape[:2]
         for n in range(1, attempts + 1):
             try:
                 boxes = detect(image)
-                return [{"x": x, "y": y, "w": w, "h": h} for x, y, w, h in boxes], encode(inpaint(image, boxes)), n, None
+                clean = on_canvas(inpaint(image, boxes), *image.shape[:2])
+                if n > 1:
+                    up, across = height / image.shape[0], width / image.shape[1]
+                    clean = sized(clean, height, width)
+                    boxes = [(int(x * across), int(y * up), max(1, int(w * across)), max(1, int(h * up))) for x, y, w, h in boxes]
+                return [{"x": x, "y": y, "w": w, "h": h} for x, y, w, h in boxes], encode(clean), n, None
             except Exception as e:  # noqa: BLE001 whatever a provider raises belongs to its page
                 if not is_memory_error(e) or n == attempts:
                     return None, None, n, f"{type(e).__name__}: {e}"
@@ -64,10 +82,6 @@ def process_pages(
     return flat.mapInPandas(run, RESULT)
 
 
-def smaller_size(height: Column, width: Column) -> Column:
-    return F.struct(shrink(height).alias("height"), shrink(width).alias("width"))
-
-
 def compile_titles(files: DataFrame, expected: DataFrame, suffix: str = "_Traducido.pdf") -> DataFrame:
     """Complete titles only: rows (title, name, files) of the results (title, file) in natural order, where there are as many as ``expected`` (title, n) says."""
     listed = files.groupBy("title").agg(F.array_sort(F.collect_set(F.struct(natural_key(F.col("file")).alias("k"), "file"))).alias("f"))

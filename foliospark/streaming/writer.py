@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,43 +12,27 @@ from ..operators.documents import merge_messages
 
 
 class DocumentsWriter:
-    """Keeps what a stream of messages leaves in a shared folder; every trigger is a checkpoint.
+    """Keeps the messages of a stream in a shared folder, from which documents are made when they are read; every trigger is a checkpoint.
 
-    State is a row for each document in Spark's state store. A batch writes the whole result beside the one before, so that ``current`` always reads
-    a finished one, and a batch that is run again replaces its own. A file source's ``maxFilesPerTrigger`` bounds a batch.
+    A batch writes its own messages, each once, and no others, so its cost doesn't grow with what was there before; a batch that is run again replaces
+    its own. ``merge`` makes the documents of all kept messages, so the answer is that of a table with the same messages. A file source's
+    ``maxFilesPerTrigger`` bounds a batch.
     """
 
-    def __init__(self, messages: DataFrame, folder: str, checkpoint: str | None = None, once: bool = True):
-        self.spark, self.folder, self.last = messages.sparkSession, folder, None
-        rows = streamed(messages)
-        self.schema = rows.schema
-        writer = rows.writeStream.outputMode("complete").foreachBatch(self._write).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
+    def __init__(self, messages: DataFrame, folder: str, checkpoint: str | None = None, once: bool = True, merge: Callable[[DataFrame], DataFrame] = merge_messages):
+        self.spark, self.folder, self.merge, self.schema, self.batches = messages.sparkSession, folder, merge, messages.schema, 0
+        writer = messages.writeStream.outputMode("append").foreachBatch(self._write).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
         self.query: StreamingQuery = (writer.trigger(availableNow=True) if once else writer).start()
 
     def _write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{batch % 2}")
-        self.last = batch % 2
+        rows.distinct().write.mode("overwrite").parquet(f"{self.folder}/messages/batch={batch}")
+        self.batches = max(self.batches, batch + 1)
 
     def current(self) -> DataFrame:
         """The documents as of the last trigger; none before the first."""
-        if self.last is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.last}")
-
-
-def streamed(messages: DataFrame) -> DataFrame:
-    """``merge_messages`` for a stream, where distinct counts aren't available: repeated balloons are counted as often as they come."""
-    kind = F.col("kind")
-    last = lambda k: F.max_by(F.when(kind == k, F.col("payload")), F.when(kind == k, F.col("seq")))
-    return messages.groupBy("doc").agg(
-        last("header").alias("title"),
-        last("pages").alias("pages"),
-        F.count_if(kind == "append").alias("n_appended"),
-        F.count_if(kind == "balloon").alias("n_balloons"),
-        F.count_if(kind == "finish").alias("n_finish"),
-        F.count_if(~kind.isin("header", "pages", "append", "balloon", "finish") | kind.isNull()).alias("n_unknown"),
-        F.max("seq").alias("last_seq"),
-    )
+        if not self.batches:
+            return self.merge(self.spark.createDataFrame([], self.schema))
+        return self.merge(self.spark.read.schema(self.schema).parquet(f"{self.folder}/messages").select(*self.schema.names))
 
 
 def documents_batch(messages: DataFrame) -> DataFrame:

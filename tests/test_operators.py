@@ -104,11 +104,40 @@ def test_translation_falls_back_and_remembers(spark):
         return "" if t == "void" else t.upper()
 
     rows = [("t", p, i, x) for p, ts in enumerate([["a", " "], ["b"], ["c"], ["bad", "void", "ok"], [None]]) for i, x in enumerate(ts)]
-    got = translate.translate(spark.createDataFrame(rows, "title string, page int, pos int, texto string"), batch, single).orderBy("page", "pos").collect()
-    assert [r.traduccion for r in got] == ["0:a", " ", "1:b", "2:c", "bad", "void", "OK", ""]
+    got = translate.translate(spark.createDataFrame(rows, "title string, page int, pos int, texto string"), batch, single, pause=None).orderBy("page", "pos").collect()
+    assert [r.traduccion for r in got] == ["0:a", "", "1:b", "2:c", "bad", "void", "OK", ""]
     assert [r.method for r in got] == ["batch", "batch", "batch", "batch", "single", "single", "single", "copy"]
 
 
+def test_translation_without_a_model_and_with_pauses(spark):
+    one = spark.createDataFrame([("t", 0, 0, "hello"), ("t", 0, 1, "x"), ("t", 0, 2, None), ("t", 0, 3, "a。")], "title string, page int, pos int, texto string")
+    answers = {"hello": "hola！！！！！", "x": "y"}
+    got = translate.translate(one, None, lambda t: answers.get(t)).orderBy("pos").collect()
+    assert [r.traduccion for r in got] == ["hola!!!", "", "", ""]
+    waited = []
+
+    def refuse(texts, ctx):
+        raise RuntimeError("no")
+
+    run = translate.translate  # the pauses are made in the workers: here they end up in the text
+    rows = run(one.filter("pos = 0"), refuse, lambda t: "w" + str(len(waited)), pause=waited.append).collect()
+    assert rows[0].traduccion == "w2" and rows[0].method == "single"
+
+
+def test_answers_are_validated():
+    import json
+
+    answer = lambda *rows: json.dumps({"traducciones": [{"id": i, "traduccion": t} for i, t in rows]})
+    assert translate.read_answer(answer((1, "b"), (0, "a")), 2) == ["a", "b"] and translate.read_answer(answer((True, "b"), (0, "a")), 2) == ["a", "b"]
+    for bad in (answer((0, "a")), answer((0, "a"), (0, "b")), answer((0, "a"), (2, "b")), answer((0, "a"), ("1", "b")), answer((0, "a"), (1, 3)), "[]", "no", '{"x": 1}'):
+        with pytest.raises(ValueError):
+            translate.read_answer(bad, 2)
+    asked = []
+    batch = translate.json_batch(lambda *a: asked.append(a) or answer((0, "a")), "Japonés", "Español", "lore")
+    assert batch(["é"], [["x -> y"]]) == ["a"] and asked[0][1:] == ('{"contexto_previo": [["x -> y"]], "textos_a_traducir": [{"id": 0, "texto": "é"}]}', 256)
+    assert "lore" in asked[0][0] and "Japonés" in asked[0][0]
+
+
 def test_context_takes_two_pages_that_have_any(spark):
     rows = [("t", 1, ["a"]), ("t", 2, []), ("t", 3, ["b"]), ("t", 4, ["c"]), ("t", 5, ["d"])]
     got = translate.context(spark.createDataFrame(rows, "title string, page int, ctx array<string>")).orderBy("page").collect()

@@ -23,9 +23,10 @@ def test_page_driver(spark, tmp_path):
     got = {r.page: r for r in done.collect()}
     assert (got[1].attempts, got[2].attempts, got[3].attempts, got[5].attempts) == (1, 2, 1, 0)
     assert got[3].error == "ValueError: odd" and got[5].error and got[1].error is None
-    assert len(got[1].content) == 8 * 8 and len(got[2].content) == 30 * 30 and got[1].boxes[0].w == 2
+    assert len(got[1].content) == 8 * 8 and len(got[2].content) == 40 * 40 and got[2].boxes[0].x == 1 and got[1].boxes[0].w == 2
     last = pages.process_pages(found.filter("page = 2").withColumn("title", F.lit("t")), detect, pixels.fill_boxes, lambda a: b"", attempts=1).first()
     assert "memory" in last.error
+    assert pages.on_canvas(np.ones((2, 3), np.uint8), 3, 2).tolist() == [[1, 1], [1, 1], [0, 0]]
     assert pages.smaller(np.zeros((1, 3), np.uint8)).shape == (1, 2)
 
 
