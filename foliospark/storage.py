@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; only where that is unset, as in tests, under a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="foliospark-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
