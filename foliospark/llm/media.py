@@ -137,10 +137,54 @@ class Parsed:
     skipped: int = 0
     declared_frames: int | None = None
     toc: bytes = b""
+    delay: int = 0
+    padding: int = 0
+
+    @property
+    def heard(self) -> int:
+        """Samples without those that the encoder put before and after the sound, where the file says how many."""
+        return max(0, self.samples - self.delay - self.padding)
+
+
+_ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def _text(body: bytes) -> list[str]:
+    """The strings of a tag's frame, whose first byte names their encoding."""
+    if not body or body[0] > 3:
+        return [body.decode("latin-1")]
+    name, raw = _ENCODINGS[body[0]], body[1:]
+    if body[0] in (1, 2):
+        parts, at = [], 0
+        for i in range(0, len(raw) - 1, 2):
+            if raw[i : i + 2] == b"\0\0":
+                parts.append(raw[at:i])
+                at = i + 2
+        parts.append(raw[at:])
+    else:
+        parts = raw.split(b"\0")
+    return [p.decode(name, "replace").lstrip("\ufeff") for p in parts]
+
+
+def _tags(media: bytes, end: int) -> dict[str, str]:
+    """Frames of an ID3 tag of version 2.3 or 2.4, in which sizes have seven bits a byte; the last of several strings is the value, the others name it."""
+    out, at, seven = {}, 10, media[3] >= 4
+    while at + 10 <= end and media[at : at + 4].strip(b"\0"):
+        raw = media[at + 4 : at + 8]
+        length = sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0))) if seven else int.from_bytes(raw, "big")
+        name, body = media[at : at + 4].decode("latin-1"), media[at + 10 : min(end, at + 10 + length)]
+        parts = _text(body) if name[0] in "TW" else [body.decode("latin-1")]
+        while len(parts) > 1 and not parts[-1] and name != "TXXX":
+            parts.pop()
+        out[":".join([name, *[p for p in parts[:-1] if p]])] = parts[-1]
+        at += 10 + length
+    return out
 
 
 def parse(media: bytes) -> Parsed:
-    """Walk the frames. Lost sync is regained at the next header that another header, or the end, follows.
+    """Walk the frames. Lost sync is regained at the next header that a header of the same version, layer and rate, or the end, follows.
+
+    The first frame may hold a Xing or Info table, with the encoder's delay and padding after it, or a VBRI table; it is no sound then.
 
     Frames cut off by the end of the file don't count. TAG 128 bytes before the end begins a tag only if no frame that ends with the file holds it.
     Empty bytes give no frames.
@@ -148,14 +192,8 @@ def parse(media: bytes) -> Parsed:
     out, n, pos = Parsed(), len(media), 0
     if media[:3] == b"ID3" and n >= 10:
         size = (media[6] & 127) << 21 | (media[7] & 127) << 14 | (media[8] & 127) << 7 | (media[9] & 127)
-        end, at = min(n, 10 + size), 10
-        while at + 10 <= end and media[at : at + 4].strip(b"\0"):
-            length = int.from_bytes(media[at + 4 : at + 8], "big")
-            name = media[at : at + 4].decode("latin-1")
-            parts = media[at + 11 : at + 10 + length].split(b"\0")
-            out.tags[":".join([name, *[p.decode("latin-1") for p in parts[:-1] if p]])] = parts[-1].decode("latin-1")
-            at += 10 + length
-        pos = end
+        pos = min(n, 10 + size)
+        out.tags = _tags(media, pos)
     tail = n - 128 if n >= 128 and media[n - 128 : n - 125] == b"TAG" else n  # a tag, or bytes of a frame that ends with the file
     seen: dict[bytes, Header | None] = {}
     checked: dict[bytes, int] = {}
@@ -168,6 +206,9 @@ def parse(media: bytes) -> Parsed:
             seen[key] = header(int.from_bytes(key, "big"))
         return seen[key]
 
+    def same(a: Header, b: Header | None) -> bool:
+        return b is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
+
     synced = False
     while pos + 4 <= n:
         if pos == tail:
@@ -175,7 +216,7 @@ def parse(media: bytes) -> Parsed:
             break
         h = at_(pos)
         end = pos + h.length if h is not None else 0
-        if h is not None and end <= n and not pos < tail < end < n and (synced or end in (tail, n) or at_(end) is not None):
+        if h is not None and end <= n and not pos < tail < end < n and (synced or end in (tail, n) or same(h, at_(end))):
             synced = True
             if out.first is None:
                 out.first = h
@@ -186,7 +227,18 @@ def parse(media: bytes) -> Parsed:
                         out.declared_frames, p = int.from_bytes(media[p : p + 4], "big"), p + 4
                     p += 4 * (flags >> 1 & 1)
                     if flags & 4:
-                        out.toc = media[p : p + 100]
+                        out.toc, p = media[p : p + 100], p + 100
+                    p += 4 * (flags >> 3 & 1)
+                    if media[p : p + 4] in (b"LAME", b"Lavf", b"Lavc") and p + 24 <= end:
+                        gap = int.from_bytes(media[p + 21 : p + 24], "big")
+                        out.delay, out.padding = gap >> 12, gap & 0xFFF
+                    pos += h.length
+                    continue
+                p = pos + 36
+                if media[p : p + 4] == b"VBRI" and p + 26 <= end:
+                    number = lambda at, size: int.from_bytes(media[p + at : p + at + size], "big")
+                    out.delay, out.declared_frames = number(6, 2), number(14, 4)
+                    out.toc = media[p + 26 : min(end, p + 26 + number(18, 2) * number(22, 2))]
                     pos += h.length
                     continue
             if h.protected and h.layer == 3:
@@ -224,7 +276,7 @@ def features(media: bytes, p: Parsed) -> str:
     kind = f"mpeg{f.version}/{f.layer} {f.channels}ch {f.rate}Hz" if f else "none"
     kbps = f"{min(p.bitrates)}-{max(p.bitrates)}" if p.bitrates else "0"
     return (
-        f"{kind};kbps={kbps};frames={len(p.offsets)};declared={p.declared_frames};duration={p.samples}/{f.rate if f else 1}s;"
+        f"{kind};kbps={kbps};frames={len(p.offsets)};declared={p.declared_frames};duration={p.heard}/{f.rate if f else 1}s;"
         f"bad_crc={p.bad_checksums};skipped={p.skipped};tags={len(p.tags)};toc={zlib.crc32(p.toc):08x};seek={seek:08x}"
     )
 
@@ -235,6 +287,7 @@ FEATURES = T.StructType(
         T.StructField("n_frames", T.LongType()),
         T.StructField("samples", T.LongType()),
         T.StructField("rate", T.IntegerType()),
+        T.StructField("heard", T.LongType()),
         T.StructField("bad_checksums", T.LongType()),
         T.StructField("skipped_bytes", T.LongType()),
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
@@ -266,13 +319,13 @@ def media_features(df: DataFrame, key: str = "doc_id", media: str = "media") ->
     schema = T.StructType([T.StructField(key, source.schema["key"].dataType), *FEATURES.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
         for batch in slices(batches):
             rows = []
             for raw in batch.column(1).to_pylist():
                 p = parse(bytes(raw or b""))
                 kind = f"mpeg{p.first.version}/{p.first.layer}" if p.first else None
-                rows.append((kind, len(p.offsets), p.samples, p.first.rate if p.first else None, p.bad_checksums, p.skipped, list(p.tags.items()), p.offsets))
+                rows.append((kind, len(p.offsets), p.samples, p.first.rate if p.first else None, p.heard, p.bad_checksums, p.skipped, list(p.tags.items()), p.offsets))
             cols = zip(*rows) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=schema.names)
 

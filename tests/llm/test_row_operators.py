@@ -173,6 +173,43 @@ def test_media_with_tag_in_the_last_frame():
     assert len(found.offsets) == units - 1 and found.tags["TAG"] == "Title"
 
 
+def frames(n, mpeg=b"\xff\xfb\x90\xc0"):
+    """Frames of 128 kbit/s, and one that holds a table."""
+    length = media.header(int.from_bytes(mpeg, "big")).length
+    return [(mpeg + bytes(length - 4)) for _ in range(n)]
+
+
+def test_media_tables_of_encoders():
+    first, *rest = frames(6)
+    lame = bytearray(first)
+    lame[21:25], lame[25:29], lame[29:33] = b"Info", (1 | 8).to_bytes(4, "big"), (5).to_bytes(4, "big")
+    lame[37:41], lame[37 + 21 : 37 + 24] = b"LAME", (576 << 12 | 1000).to_bytes(3, "big")
+    p = media.parse(bytes(lame) + b"".join(rest))
+    assert (p.declared_frames, len(p.offsets), p.delay, p.padding, p.heard) == (5, 5, 576, 1000, 5 * 1152 - 1576)
+    vbri = bytearray(first)
+    vbri[36:62] = b"VBRI" + bytes(2) + (1105).to_bytes(2, "big") + bytes(6) + (5).to_bytes(4, "big") + (3).to_bytes(2, "big") + bytes(2) + (2).to_bytes(2, "big") + bytes(2)
+    vbri[62:68] = b"abcdef"
+    p = media.parse(bytes(vbri) + b"".join(rest))
+    assert (p.declared_frames, len(p.offsets), p.delay, p.toc) == (5, 5, 1105, b"abcdef")
+
+
+def test_media_tags_of_both_versions():
+    title, long = "Zoë 日本".encode("utf-16"), "x" * 200
+    for version, size in ((3, lambda n: n.to_bytes(4, "big")), (4, lambda n: bytes((n >> s) & 127 for s in (21, 14, 7, 0)))):
+        body = b"".join(name + size(len(v)) + b"\0\0" + v for name, v in ((b"TIT2", b"\1" + title), (b"TPE1", b"\0" + long.encode()), (b"TALB", b"\3" + "é".encode() + b"\0"), (b"TXXX", b"\0a\0b")))
+        tag = b"ID3" + bytes([version, 0, 0]) + bytes((len(body) >> s) & 127 for s in (21, 14, 7, 0)) + body
+        assert media.parse(tag + b"".join(frames(3))).tags == {"TIT2": "Zoë 日本", "TPE1": long, "TALB": "é", "TXXX:a": "b"}
+
+
+def test_media_sync_needs_a_header_of_the_same_kind():
+    good = b"".join(frames(4))
+    # a header by chance, where another one of another rate stands at its end
+    chance = bytearray(b"\xff\xfb\x90\xc0" + bytes(500))
+    chance[417:421] = b"\xff\xfb\x94\xc0"
+    p = media.parse(bytes(chance[:430]) + good)
+    assert len(p.offsets) == 4 and p.offsets[0] == 430
+
+
 def test_headers_of_other_layers():
     assert media.header(0xFFFB9044).length == 417 and media.header(0xFFFB9044).channels == 2
     assert media.header(0xFFF38044).samples == 576
