@@ -19,6 +19,9 @@ STATISTICS = (
     "line_words", "stub_lines", "log_chars", "stops", "long_words", "copied_lines",
 )
 
+#: Sums of a batch of partitions that one task, or the driver, adds up.
+FAN_IN = 16
+
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """A row of STATISTICS for each text; a null or empty text has zeros."""
@@ -117,7 +120,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _partials(df: DataFrame, make, columns: str) -> np.ndarray:
-    """The sum over all rows of what ``make`` gives for a batch: first by partition, then by a few tasks, then here."""
+    """The sum over all rows of what ``make`` gives for a batch: first by partition, then by tasks that each add up FAN_IN of those sums, as often
+    as it takes, then here."""
 
     def by_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -137,7 +141,11 @@ def _partials(df: DataFrame, make, columns: str) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    parts = df.selectExpr(*columns.split(",")).mapInArrow(by_partition, "part binary").repartition(8).mapInArrow(merge, "part binary").collect()
+    left, sums = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.selectExpr(*columns.split(",")).mapInArrow(by_partition, "part binary")
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        sums = sums.repartition(left).mapInArrow(merge, "part binary")
+    parts = sums.collect()
     return np.sum([np.frombuffer(r[0], dtype="<f8") for r in parts], axis=0) if parts else np.zeros(0)
 
 
@@ -250,5 +258,5 @@ def keep_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 def query(spark, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
     return score_documents(documents, labels, held=1).select("doc_id", held, "score", "predicted")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_system, materialize, mix, narrow, shared_dir, slices, starts
+from .common import file_system, materialize, mix, narrow, shared_dir, slices, starts, text_bytes
 from .wordbpe import load
 
-MAGIC, VERSION = b"FOLIOTOK", 1
+MAGIC, VERSION = b"FOLIOTOK", 2
+#: Bytes of text for each shard.
+SHARD_BYTES = 128 << 20
 #: magic, version, bytes an id, rows, rows with a null key, ids, distinct keys, levels, leftover keys
 HEADER = struct.Struct("<8sIIQQQQII")
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -31,49 +33,47 @@ class PerfectHash:
 
     BLOCK = 512
 
-    def __init__(self, bits: list[np.ndarray], sizes: list[int], left: np.ndarray):
-        self.bits, self.sizes, self.left = bits, sizes, left
-        self.ranks, placed = [], 0
-        for b in bits:
-            words = np.bitwise_count(b.view(np.uint64)).reshape(-1, self.BLOCK // 64)
-            per = words.sum(axis=1).astype(np.int64)
-            self.ranks.append(placed + np.concatenate([[0], np.cumsum(per)[:-1]]))
-            placed += int(per.sum())
-        self.placed = placed
+    def __init__(self, words: list, sizes: list[int], ranks: list, left: np.ndarray, placed: int):
+        """words: each level's bits, 64 in one; ranks: how many bits are set before each block of BLOCK, lower levels included; placed: all."""
+        self.words, self.sizes, self.ranks, self.left, self.placed = words, sizes, ranks, left, placed
 
     @classmethod
     def build(cls, keys: np.ndarray, levels: int = 40) -> PerfectHash:
         """From distinct keys."""
-        bits, sizes, rest = [], [], keys.astype(np.uint64)
+        bits, sizes, ranks, placed, rest = [], [], [], 0, keys.astype(np.uint64)
         while len(rest) and len(bits) < levels:
             size = 2 * len(rest) + 1
             at = (mix(rest ^ _SEEDS[len(bits)]) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size)[at] == 1
             flags = np.zeros(-(-size // cls.BLOCK) * cls.BLOCK, dtype=np.uint8)
             flags[at[alone]] = 1
-            bits.append(np.packbits(flags, bitorder="little"))
+            bits.append(np.packbits(flags, bitorder="little").view(np.uint64))
             sizes.append(size)
+            per = np.bitwise_count(bits[-1]).reshape(-1, cls.BLOCK // 64).sum(axis=1).astype(np.int64)
+            ranks.append(placed + starts(per)[:-1])
+            placed += int(per.sum())
             rest = rest[~alone]
-        return cls(bits, sizes, np.sort(rest))
+        return cls(bits, sizes, ranks, np.sort(rest), placed)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """A number below the number of keys; any number, or -1, for a key that wasn't there when it was built."""
         keys = keys.astype(np.uint64)
         out, todo = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
-        for level, (b, size, ranks) in enumerate(zip(self.bits, self.sizes, self.ranks)):
+        for level, (words, size, ranks) in enumerate(zip(self.words, self.sizes, self.ranks)):
             if not len(todo):
                 return out
             at = (mix(keys[todo] ^ _SEEDS[level]) % np.uint64(size)).astype(np.int64)
-            hit = (b[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            own = words[at >> 6]
+            hit = (own >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             p = at[hit]
-            words = b.view(np.uint64)
             block = p // self.BLOCK
             n = ranks[block]
             for k in range(self.BLOCK // 64 - 1):
                 w = block * (self.BLOCK // 64) + k
-                n = n + np.where(w < p >> 6, np.bitwise_count(words[w]).astype(np.int64), 0)
+                before = np.flatnonzero(w < p >> 6)
+                n[before] += np.bitwise_count(words[w[before]]).astype(np.int64)
             below = (np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1)
-            n = n + np.bitwise_count(words[p >> 6] & below).astype(np.int64)
+            n = n + np.bitwise_count(own[hit] & below).astype(np.int64)
             out[todo[hit]] = n
             todo = todo[~hit]
         if len(todo) and len(self.left):
@@ -117,21 +117,37 @@ class ShardWriter:
         place[slot, 0], place[slot, 1] = first + self.nulls, rows
         self.out.write(bytes(-self.out.tell() % 8))
         begin = self.out.tell()
-        for part in (at.astype("<i8"), keys.astype("<i8"), place):
+        levels = np.array([[size, len(w)] for size, w in zip(table.sizes, table.words)], dtype="<u8")
+        for part in (levels, table.left.astype("<u8"), at.astype("<i8"), keys.astype("<i8"), place, *table.words, *[r.astype("<i8") for r in table.ranks], prints):
             self.out.write(part.tobytes())
-        for b, size in zip(table.bits, table.sizes):
-            self.out.write(struct.pack("<QQ", size, len(b)))
-            self.out.write(b.tobytes())
-        self.out.write(table.left.astype("<u8").tobytes())
-        self.out.write(prints.tobytes())
-        head = HEADER.pack(MAGIC, VERSION, self.width, len(at) - 1, self.nulls, int(at[-1]), len(distinct), len(table.bits), len(table.left))
+        head = HEADER.pack(MAGIC, VERSION, self.width, len(at) - 1, self.nulls, int(at[-1]), len(distinct), len(table.words), len(table.left))
         self.out.write(head + struct.pack("<QI", begin, zlib.crc32(head)))
         self.out.close()
         return len(at) - 1, int(at[-1])
 
 
+class Stored:
+    """Numbers in a file, each read when it is asked for."""
+
+    def __init__(self, file, begin: int, dtype: str, count: int):
+        self.file, self.begin, self.dtype, self.count = file, begin, np.dtype(dtype), count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, i):
+        size = self.dtype.itemsize
+        if isinstance(i, slice):
+            a, b, _ = i.indices(self.count)
+            return np.frombuffer(self.file.read_at(size * max(0, b - a), self.begin + size * a), dtype=self.dtype)
+        places = np.atleast_1d(i)
+        out = np.array([np.frombuffer(self.file.read_at(size, self.begin + size * x), dtype=self.dtype)[0] for x in places.tolist()], dtype=self.dtype)
+        return out if np.ndim(i) else out[0]
+
+
 class Shard:
-    """A shard file, memory-mapped where the file system can; ids are read only when asked for."""
+    """A shard file, memory-mapped where the file system can. Opening reads the end and a line for each level; a key then costs a few small reads, and
+    its ids one, however large the shard is."""
 
     def __init__(self, uri: str):
         system, path = file_system(uri)
@@ -143,31 +159,33 @@ class Shard:
         magic, version, self.width, rows, self.nulls, self.n_ids, n, levels, left = HEADER.unpack(raw[: HEADER.size])
         if magic != MAGIC or version != VERSION or zlib.crc32(raw[: HEADER.size]) != check:
             raise ValueError(f"{uri} is no token file of version {VERSION}")
-        body, at = self.file.read_at(end - tail - begin, begin), 0
+        at = begin
 
-        def take(dtype: str, count: int) -> np.ndarray:
+        def take(dtype: str, count: int):
             nonlocal at
-            out = np.frombuffer(body, dtype=dtype, count=count, offset=at)
-            at += out.nbytes
-            return out
-
-        self.at, self.keys, self.place = take("<i8", rows + 1), take("<i8", rows - self.nulls), take("<i8", 2 * n).reshape(n, 2)
-        bits, sizes = [], []
-        for _ in range(levels):
-            size, length = take("<u8", 2).tolist()
-            sizes.append(size)
-            bits.append(take("u1", length))
-        self.table = PerfectHash(bits, sizes, take("<u8", left))
+            own = Stored(self.file, at, dtype, count)
+            at += count * own.dtype.itemsize
+            return own[:] if local else own
+
+        table = take("<u8", 2 * levels)[:].reshape(-1, 2).astype(np.int64)
+        rest = take("<u8", left)[:]
+        self.rows, self.at, self.keys, self.place = rows, take("<i8", rows + 1), take("<i8", rows - self.nulls), take("<i8", 2 * n)
+        words = [take("<u8", int(k)) for _, k in table]
+        ranks = [take("<i8", int(k) * 64 // PerfectHash.BLOCK) for _, k in table]
+        self.table = PerfectHash(words, table[:, 0].tolist(), ranks, rest, n - left)
         self.prints = take("<u4", n)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first row of each key and how many rows it has; no rows for a key whose fingerprint isn't there."""
+        """The first row of each key and how many rows it has; no rows for a key whose fingerprint isn't there, or whose row has another key."""
         keys = np.asarray(keys, dtype=np.int64)
         slot = self.table.slots(keys.view(np.uint64))
         known = slot >= 0
         known[known] = self.prints[slot[known]] == fingerprints(keys[known])
         first, rows = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        first[known], rows[known] = self.place[slot[known]].T
+        at, n = self.place[2 * slot[known]], self.place[2 * slot[known] + 1]
+        right = self.keys[at - self.nulls] == keys[known]
+        known = np.flatnonzero(known)[right]
+        first[known], rows[known] = at[right], n[right]
         return first, rows
 
     def ids(self, row: int) -> np.ndarray:
@@ -186,13 +204,13 @@ MANIFEST = "shard int, path string, min_key long, max_key long, n_docs long, n_i
 def write(df: DataFrame, tokenizer: str, folder: str, end: int = 1, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text and write the shards; gives the manifest: a row for each shard, in key order.
 
-    Keys are integers; null ones come first, rows with one key follow each other in the order of their ids' checksum. Limits between
+    There is a shard for each SHARD_BYTES of text, or ``shards``. Keys are integers; null ones come first, rows with one key follow each other in the order of their ids' checksum. Limits between
     shards are quantiles of the keys; where one key spans several limits its rows are spread over those shards by checksum, so that a hot key
     doesn't end in one file. A null text counts as empty. An empty table gives no shards. Texts are encoded before
     the only shuffle, which moves two or four bytes an id. A file's name is new in each attempt, and only the manifest makes it count.
     """
     spark = df.sparkSession
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = shards or max(1, -(-text_bytes(df, text) // SHARD_BYTES))
     quantiles = [i / count for i in range(1, count)]
     found = df.select(F.col(key).cast("double").alias("k")).stat.approxQuantile("k", quantiles, 0.1 / count) if quantiles else []
     limits = np.array([int(max(-(2.0**63), min(x, 2.0**63 - 1024))) for x in found], dtype=np.int64)
@@ -256,20 +274,21 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for number, path, before in zip(*[c.to_pylist() for c in batch.columns]):
                 shard = Shard(path)
-                distinct = np.unique(shard.keys)
+                stored, ends = shard.keys[:], shard.at[:]
+                distinct = np.unique(stored)
                 first, rows = shard.find(distinct)
-                if int(rows.sum()) + shard.nulls != len(shard.at) - 1 or not (shard.keys[first - shard.nulls] == distinct).all():
+                if int(rows.sum()) + shard.nulls != shard.rows:
                     raise ValueError(f"the index of {path} misses keys")
                 row = np.concatenate([np.arange(shard.nulls), np.repeat(first - starts(rows)[:-1], rows) + np.arange(int(rows.sum()))])
                 for at in range(0, len(row), 20_000):
                     r = row[at : at + 20_000]
-                    keys = [None if x < shard.nulls else int(shard.keys[x - shard.nulls]) for x in r]
+                    keys = [None if x < shard.nulls else int(stored[x - shard.nulls]) for x in r]
                     crc = [zlib.crc32(shard.ids(x).astype("<u4").tobytes()) for x in r]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(keys, pa.int64()),
-                            pa.array(before + shard.at[r]),
-                            pa.array(shard.at[r + 1] - shard.at[r]),
+                            pa.array(before + ends[r]),
+                            pa.array(ends[r + 1] - ends[r]),
                             pa.array(crc, pa.int64()),
                             pa.array(np.full(len(r), number, dtype=np.int32)),
                             pa.array(r),

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -145,6 +146,44 @@ def test_token_files(spark, tmp_path):
     assert tokenfile.read(tokenfile.write(table(spark, []), VOCAB, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_shard_is_read_in_small_parts(tmp_path):
+    """A key costs a few reads of a few bytes where the file can't be mapped; unknown keys give nothing, even with a known one's fingerprint."""
+    keys = np.unique(np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 20_000))
+    w = tokenfile.ShardWriter(f"{tmp_path}/x.tok", 4)
+    w.append(pa.array(keys), pa.array([np.full(i % 5, i, dtype="<u4").tobytes() for i in range(len(keys))], pa.binary()))
+    w.close()
+    mapped, read = tokenfile.Shard(f"{tmp_path}/x.tok"), []
+
+    class Remote:
+        def __init__(self, path):
+            self.f = open(path, "rb")
+
+        def size(self):
+            return self.f.seek(0, 2)
+
+        def read_at(self, n, at):
+            read.append(n)
+            self.f.seek(at)
+            return self.f.read(n)
+
+    class System:
+        type_name = "s3"
+        open_input_file = staticmethod(Remote)
+
+    before, tokenfile.file_system = tokenfile.file_system, lambda uri: (System, uri)
+    try:
+        shard = tokenfile.Shard(f"{tmp_path}/x.tok")
+    finally:
+        tokenfile.file_system = before
+    for i in (0, 7, 19_998):
+        read.clear()
+        assert [x.tolist() for x in shard[int(keys[i])]] == [[i] * (i % 5)] == [x.tolist() for x in mapped[int(keys[i])]]
+        assert sum(read) < 2000
+    assert shard[int(keys[0]) + 1] == [] == mapped[int(keys[0]) + 1]
+    mapped.prints = np.broadcast_to(tokenfile.fingerprints(np.array([5])), (len(keys),))
+    assert mapped[5] == []
+
+
 def test_hot_key_is_spread_over_shards(spark, tmp_path):
     rows = [(7, f"text {i}") for i in range(300)] + [(i, "x") for i in range(20)]
     manifest = tokenfile.write(table(spark, rows), VOCAB, f"file://{tmp_path}", shards=4)
