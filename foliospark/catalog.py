@@ -448,7 +448,7 @@ def boxes_clamped(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE b AS MATERIALIZED (SELECT page, pos, greatest(0, greatest(0, x - 1) - 7) AS x1, greatest(0, greatest(0, y - 1) - 1) AS y1, least(499, least(499, x + w) + 7) AS x2, least(719, least(719, y + h) + 2) AS y2 FROM ({_SQL_BOX})),
+WITH RECURSIVE b AS MATERIALIZED (SELECT page, row_number() OVER (PARTITION BY page) AS pos, greatest(0, greatest(0, x - 1) - 7) AS x1, greatest(0, greatest(0, y - 1) - 1) AS y1, least(499, least(499, x + w) + 7) AS x2, least(719, least(719, y + h) + 2) AS y2 FROM ({_SQL_BOX})),
 e AS MATERIALIZED (SELECT a.page, a.pos AS a, b.pos AS b FROM b a JOIN b ON a.page = b.page AND a.x1 <= b.x2 + 1 AND b.x1 <= a.x2 + 1 AND a.y1 <= b.y2 + 1 AND b.y1 <= a.y2 + 1),
 r(page, a, b) AS (SELECT page, a, b FROM e UNION SELECT r.page, r.a, e.b FROM r JOIN e ON r.page = e.page AND r.b = e.a),
 m AS (SELECT page, a AS pos, min(b) AS root FROM r GROUP BY ALL),
@@ -727,10 +727,11 @@ def listed_pages(spark, d):
     return files.list_pages(spark, folder).select(F.split("file", r"\.")[0].cast("long").alias("doc_id"), "file", "length")
 
 
-@query("SELECT p_partkey, p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size % 2 = 0)")
+@query("SELECT doc_id, 'page-' || doc_id AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_resources(spark, d):
-    parts = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), "p_size")
-    return files.missing(parts.select("p_partkey", "name"), parts.filter("p_size % 2 = 0").select("name").distinct())
+    """Documents as wanted files, those with a label as the ones that are there."""
+    name = F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("name")
+    return files.missing(read(spark, d, "documents").select("doc_id", name), read(spark, d, "labels").select(name).distinct()).select("doc_id", "name")
 
 
 @query("SELECT l_orderkey AS page, l_linenumber AS pos, least(a, b, c) AS x, least(d, e) AS y, greatest(a, b, c) - least(a, b, c) + 1 AS w, greatest(d, e) - least(d, e) + 1 AS h FROM (SELECT *, (l_partkey % 460)::INT AS a, (l_suppkey % 97)::INT AS b, l_quantity::INT AS c, (l_linenumber * 50)::INT AS d, (l_quantity * 3)::INT AS e FROM lineitem)")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import materialize
 from .graph import components
 
 PADDING, BAND = 15, 50
+#: Boxes of a page up to which they are compared in one batch.
+PAGE_BOXES = 500
 
 
 def bounding_box(quad: Column) -> Column:
@@ -82,17 +90,80 @@ def coordinates(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.array(F.array(x, y), F.array(x + w, y + h))
 
 
-def merge_touching(boxes: DataFrame) -> DataFrame:
-    """Regions of boxes (page long, pos int below 2^20, x1, y1, x2, y2 inclusive) that overlap or touch, diagonally too.
+def merge_touching(boxes: DataFrame, most: int = PAGE_BOXES) -> DataFrame:
+    """Regions of boxes (page long, pos int, x1, y1, x2, y2 inclusive) that overlap or touch, diagonally too.
 
-    Rows (page, x, y, w, h, members). No pairs are formed: every box is laid out as runs of pixels by row; in a row, runs that meet
+    Rows (page, x, y, w, h, members). Every row is a box, also where
+    pos repeats. Boxes with nulls or without area are left out. Pages of up to ``most`` boxes are merged where their rows are, many in
+    a batch; boxes of larger ones by ``merge_large``, which gives the same regions and needs no page in one task.
+    """
+    b = boxes.filter("x1 <= x2 and y1 <= y2 and page is not null")
+    sizes = materialize(b.groupBy("page").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    if sizes.isEmpty():
+        return _merge_small(b)
+    large = b.join(sizes, "page", "left_semi")
+    return _merge_small(b.join(sizes, "page", "left_anti")).unionByName(merge_large(large))
+
+
+def _merge_small(b: DataFrame) -> DataFrame:
+    """Pages whose boxes are compared in their batch: rows come page by page, and a page that a batch cuts waits for the next one."""
+    schema = T.StructType([T.StructField("page", b.schema["page"].dataType), *[T.StructField(n, T.IntegerType()) for n in "xywh"], T.StructField("members", T.LongType())])
+
+    def merge(t: pa.Table) -> pa.RecordBatch:
+        page = t.column("page").to_numpy()
+        x1, y1, x2, y2 = (t.column(c).to_numpy().astype(np.int64) for c in ("x1", "y1", "x2", "y2"))
+        n = len(page)
+        ends = np.repeat(np.append(np.flatnonzero(page[1:] != page[:-1]) + 1, n), np.diff(np.concatenate([[0], np.flatnonzero(page[1:] != page[:-1]) + 1, [n]])))
+        later = ends - np.arange(n) - 1
+        first = np.repeat(np.arange(n), later)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+        touch = (x1[first] <= x2[second] + 1) & (x1[second] <= x2[first] + 1) & (y1[first] <= y2[second] + 1) & (y1[second] <= y2[first] + 1)
+        first, second = first[touch], second[touch]
+        root = np.arange(n)
+        while True:
+            least = np.minimum(root[first], root[second])
+            new = root.copy()
+            np.minimum.at(new, first, least)
+            np.minimum.at(new, second, least)
+            np.minimum.at(new, root, new[:])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        order = np.argsort(root, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+        low_x, low_y = (np.minimum.reduceat(v[order], at) for v in (x1, y1))
+        high_x, high_y = (np.maximum.reduceat(v[order], at) for v in (x2, y2))
+        ints = [pa.array(v, pa.int32()) for v in (low_x, low_y, high_x - low_x + 1, high_y - low_y + 1)]
+        members = np.diff(np.append(at, n))
+        return pa.RecordBatch.from_arrays([t.column("page").combine_chunks().take(pa.array(order[at])), *ints, pa.array(members)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            page = t.column("page").to_numpy()
+            cut = int(np.flatnonzero(page != page[-1])[-1]) + 1 if page[0] != page[-1] else 0
+            held = t.slice(cut)
+            if cut:
+                yield merge(t.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield merge(held)
+
+    return b.select("page", "x1", "y1", "x2", "y2").repartition("page").sortWithinPartitions("page").mapInArrow(run, schema)
+
+
+def merge_large(boxes: DataFrame) -> DataFrame:
+    """``merge_touching`` for pages of any size.
+
+    No pairs are formed: every box is laid out as runs of pixels by row; in a row, runs that meet
     form an island, found by a running maximum; a box links with the first box of each of its islands. Boxes that touch do so in a line in which one of them
-    starts, so other lines aren't laid out. A page of very many boxes costs no more rows than its boxes have lines. Boxes with nulls or without
-    area are left out.
+    starts, so other lines aren't laid out. A page of very many boxes costs no more rows than its boxes have lines.
     """
-    b = boxes.filter("x1 <= x2 and y1 <= y2").select(
-        "page", (F.shiftleft(F.col("page").cast("long"), 20) + F.col("pos")).alias("id"), "x1", "y1", "x2", "y2"
-    )
+    # boxes are told apart by a number that is written with them, so that it stays
+    b = materialize(boxes.filter("x1 <= x2 and y1 <= y2").select("page", F.monotonically_increasing_id().alias("id"), "x1", "y1", "x2", "y2"))
     starts = b.groupBy("page").agg(F.collect_set("y1").alias("starts"))
     own = F.filter("starts", lambda y: (y >= F.col("y1")) & (y <= F.col("y2") + 1))
     rows = b.join(starts, "page").select("page", "id", "x1", "x2", F.explode(own).alias("line"))

@@ -31,7 +31,8 @@ def test_components_of_chains_stars_and_loops(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_regions_equal_raster_labels(spark):
+@pytest.mark.parametrize("most", [500, 4, 0])
+def test_regions_equal_raster_labels(spark, most):
     random.seed(1)
     rows = []
     for page in range(20):
@@ -39,7 +40,7 @@ def test_regions_equal_raster_labels(spark):
             x, y = random.randrange(40), random.randrange(40)
             rows.append((page, pos, x, y, x + random.randrange(8), y + random.randrange(8)))
     rows.append((99, 0, 5, 5, 2, 9))  # no area
-    got = sorted(tuple(r) for r in geometry.merge_touching(spark.createDataFrame(rows, "page long, pos int, x1 int, y1 int, x2 int, y2 int")).drop("members").collect())
+    got = sorted(tuple(r) for r in geometry.merge_touching(spark.createDataFrame(rows, "page long, pos int, x1 int, y1 int, x2 int, y2 int"), most).drop("members").collect())
     want = []
     for page in range(20):
         own = [r[2:] for r in rows if r[0] == page]
