@@ -18,7 +18,7 @@ from .wordbpe import load
 
 MAGIC, VERSION = b"FOLIOTOK", 2
 #: Bytes of text for each shard.
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 64 << 20
 #: magic, version, bytes an id, rows, rows with a null key, ids, distinct keys, levels, leftover keys
 HEADER = struct.Struct("<8sIIQQQQII")
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

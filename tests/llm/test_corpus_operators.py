@@ -513,6 +513,25 @@ def test_quality_model(spark):
     assert quality_model.score_documents(table(spark, []), lab).count() == 0
 
 
+def test_quality_model_is_the_plain_solution(spark):
+    """The summed normal equations against one solve over all rows, and the calibration against isotonic regression over them."""
+    rng = np.random.default_rng(5)
+    width, n = len(quality_model.STATISTICS), 600
+    x = rng.normal(2, 3, (n, width))
+    y, calibrate = (x[:, 0] + rng.normal(0, 1, n) > 2).astype(float), rng.random(n) < 0.2
+    rows = [(a.tolist(), float(b), bool(c)) for a, b, c in zip(x, y, calibrate)] + [(None, 1.0, False), (x[0].tolist(), None, True)]
+    model = quality_model.fit(spark.createDataFrame(rows, "x array<double>, y double, calibrate boolean").repartition(7), features=40)
+    z = (x - x.mean(0)) / x.std(0)
+    draw = np.random.default_rng(7)
+    directions, phases = draw.normal(0, np.sqrt(2 * 0.08), (width, 40)), draw.uniform(0, 2 * np.pi, 40)
+    lifted = np.column_stack([np.ones(n), np.sqrt(2 / 40) * np.cos(z @ directions + phases)])
+    f, t = lifted[~calibrate], y[~calibrate]
+    plain = np.linalg.solve(f.T @ f + 1e-3 * len(f) * np.diag([1e-9] + [1.0] * 40), f.T @ t)
+    assert np.allclose(lifted @ plain, model.raw(x), atol=1e-6)
+    score = model.score(x)
+    assert (np.diff(score[np.argsort(lifted @ plain, kind="stable")]) >= -1e-9).all() and ((score >= 0.5) == (y == 1)).mean() > 0.65
+
+
 def test_held_out_labels_are_never_read(spark):
     rows, labels = junk(90)
     flipped = [(k, 1 - q if zlib.crc32(str(k).encode()) % 3 == 1 else q) for k, q in labels]
