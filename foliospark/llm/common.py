@@ -185,6 +185,17 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def by_number(df: DataFrame, column: str, count: int, merge, schema: str) -> DataFrame:
+    """What ``merge`` makes of all rows with one number in ``column``, from 0 to count - 1: each number has a task of its own, so none is read with others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if own:
+            yield from merge(pa.Table.from_batches(own)).to_batches()
+
+    return df.repartitionById(count, F.col(column).cast("int")).mapInArrow(run, schema)
+
+
 _SEEDS = np.array([0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Filter, Words, drop_dir, materialize, mix, narrow, release, shared_dir, slices, starts, text_bytes, word_hashes
+from .common import BATCH_BYTES, Filter, Words, by_number, drop_dir, materialize, mix, narrow, release, shared_dir, slices, starts, text_bytes, word_hashes
 from .components import components
 
 #: Members of a block; two blocks are compared in a task. Bytes of text, and tokens of sets, for each bucket of postings.
@@ -176,7 +176,7 @@ def documents_and_shared(df: DataFrame, size: int, threshold: Threshold, buckets
             }
         )
 
-    return narrow(df, key="key", text="text").mapInArrow(cut, schema).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, result)
+    return by_number(narrow(df, key="key", text="text").mapInArrow(cut, schema), "bucket", buckets, count, result)
 
 
 def _joined(table: pa.Table, column: str, dtype: type) -> np.ndarray:
@@ -273,7 +273,7 @@ def rarest_first(packed: DataFrame, threshold: Threshold, buckets: int) -> DataF
                 )
 
     asked = packed.select("pack", "tokens").mapInArrow(send, "bucket int, pack long, tokens binary, counts binary")
-    parts = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(frequency, "pack long, tokens binary, counts binary").groupBy("pack").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
+    parts = by_number(asked, "bucket", buckets, frequency, "pack long, tokens binary, counts binary").groupBy("pack").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
     return packed.join(parts, "pack").select("classes", "ns", "tokens", "parts").mapInArrow(order, "class long, n long, tokens binary, prefix long, group long")
 
 
@@ -314,7 +314,7 @@ def group_edges(sets: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     sent = sets.select("tokens", "prefix", "group").mapInArrow(send, "bucket int, tokens binary, groups binary, edges binary")
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long")
+    return by_number(sent, "bucket", buckets, join, "a long, b long")
 
 
 def _pairs(tokens: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:

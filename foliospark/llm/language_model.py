@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, drop_dir, file_system, materialize, narrow, release, shared_dir, slices, starts, sums, text_bytes, word_hashes
+from .common import Words, by_number, drop_dir, file_system, materialize, narrow, release, shared_dir, slices, starts, sums, text_bytes, word_hashes
 
 #: Stand-ins for hashes of words: the context of a text's first word, and the token after its last.
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -383,7 +383,7 @@ def _vocabulary_files(train: DataFrame, ranges: int, hot: int, folder: str) -> D
     none = train.sparkSession.createDataFrame([(r, b"", b"") for r in range(ranges)], "range int, hashes binary, counts binary")
     rows = train.mapInArrow(count, "range int, hashes binary, counts binary").unionByName(none)
     schema = "range int, path string, n_known long, n_words long, n_tokens long, hot array<long>, hot_counts array<long>"
-    return materialize(rows.repartition(ranges, "range").groupBy("range").applyInArrow(merge, schema), f"{folder}/vocabulary")
+    return materialize(by_number(rows, "range", ranges, merge, schema), f"{folder}/vocabulary")
 
 
 def _counted(train: DataFrame, known: Vocabulary, layout: Layout, order: int, folder: str) -> DataFrame:
@@ -448,7 +448,7 @@ def _counted(train: DataFrame, known: Vocabulary, layout: Layout, order: int, fo
 
     none = train.sparkSession.createDataFrame([(r, b"") for r in range(layout.files)], "file int, data binary")
     rows = train.mapInArrow(count, "file int, data binary").unionByName(none)
-    return materialize(rows.repartition(layout.files, "file").groupBy("file").applyInArrow(merge, "file int, data binary, stats array<long>"), f"{folder}/counts")
+    return materialize(by_number(rows, "file", layout.files, merge, "file int, data binary, stats array<long>"), f"{folder}/counts")
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
