@@ -2,8 +2,8 @@
 
 Where a page marks its article, its blocks are proposed without what is in them of menus, notices and the like; of other pages, all blocks that
 aren't marked as such. The token streams of what all pages of a host have outside of marked articles are concatenated, and a suffix array finds
-the long substrings that distinct pages share: the host's boilerplate. Words of proposed blocks that those cover, in articles too, are removed;
-unique runs stay.
+the long substrings that distinct pages share: the host's boilerplate. Words of proposed blocks that those cover are removed and unique runs stay, but
+for marked articles, whose text is whole: articles hold sentences that adverts of other pages have too.
 """
 
 from __future__ import annotations
@@ -295,7 +295,7 @@ def parse_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Every row's key and url; host; id, a hash of host and page; the proposed blocks; sign, a hash of the tokens of
     what else it has, if anything; and stream, those tokens, once for each host and sign of a batch."""
     source = narrow(df, key=key, url=url, html=html)
-    fields = (("host", T.StringType(), pa.string()), ("id", T.BinaryType(), pa.binary()), ("blocks", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("stream", T.BinaryType(), pa.binary()), ("sign", T.LongType(), pa.int64()))
+    fields = (("host", T.StringType(), pa.string()), ("id", T.BinaryType(), pa.binary()), ("blocks", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("stream", T.BinaryType(), pa.binary()), ("sign", T.LongType(), pa.int64()), ("marked", T.BooleanType(), pa.bool_()))
     schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("url", source.schema["url"].dataType), *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def parse_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 stream = np.array([h for k, t, links in found if links < 0.5 and (k == "chrome" or own is None or k == "other") for h in hashes(t)], dtype=np.uint64).tobytes()
                 host = re.sub(r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*).*", r"\1", (u or "").lower(), flags=re.S)
                 sign = xxhash.xxh3_64_intdigest(stream) - (1 << 63)
-                rows.append((host, xxhash.xxh3_128_digest(f"{host}\0{page}".encode("utf-8", "surrogatepass")), kept, None if not stream or (host, sign) in sent else stream, sign if stream else None))
+                rows.append((host, xxhash.xxh3_128_digest(f"{host}\0{page}".encode("utf-8", "surrogatepass")), kept, None if not stream or (host, sign) in sent else stream, sign if stream else None, own is not None))
                 sent.add((host, sign))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, (_, _, t) in zip(zip(*rows), fields)]], names=schema.names)
 
@@ -376,15 +376,15 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     seeds = known.select(seed).distinct()
     hosts, maybe = Filter(seeds, seeds.count(), each=36), Filter(known.select(seed, "gram").mapInArrow(number, "id long"), known.count(), each=36)
-    keyed = parsed.select("key", "url", "host", "id", "blocks", seed)
+    keyed = parsed.select("key", "url", "host", "id", "blocks", seed, "marked")
     names = ["key", "url", "host", "id", "blocks", "text", "at", "gram"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.list_(pa.string()), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in slices(batches):
             rows, own = [], batch.column(5).to_numpy(zero_copy_only=False)
-            for found, go, host in zip(batch.column(4).to_pylist(), hosts.has(own).tolist(), own):
-                tokens = np.array([h for t in found for h in hashes(t)] if go else [], dtype=np.uint64)
+            for found, go, host, whole in zip(batch.column(4).to_pylist(), hosts.has(own).tolist(), own, batch.column(6).to_pylist()):
+                tokens = np.array([h for t in found for h in hashes(t)] if go and not whole else [], dtype=np.uint64)
                 at = np.arange(max(0, len(tokens) - long + 1))
                 grams = gram_hashes(tokens, at, long)
                 at = np.flatnonzero(maybe.has(_of_host(host, grams))) if len(at) else at

@@ -423,7 +423,7 @@ def plain_main_text(rows, long=8, pages=3):
         rest = [w for kind, t, links in found if links < 0.5 and (kind == "chrome" or own is None or kind == "other") for w in ["", *t.lower().split()]]
         for i in range(len(rest) - long + 1):
             seen.setdefault((host, tuple(rest[i : i + long])), set()).add(h)
-        places.append((k, host, proposed))
+        places.append((k, host if own is None else None, proposed))  # a marked article is whole
     out = []
     for k, host, proposed in places:
         words_ = [(b, w) for b, t in enumerate(proposed) for w in ["", *t.split()]]
@@ -455,7 +455,7 @@ def test_boilerplate_of_a_host(spark, monkeypatch, group):
     texts = {r.page_id: r.text for r in got}
     assert {i: texts[i].split("\n")[-2:] for i in want} == {i: w.split("\n") for i, w in want.items()}
     assert "footer" in texts[50] and not any("footer" in texts[i] for i in want)
-    assert texts[61] == "own1 words and\nBefore after 1" and texts[71].startswith(title + "\nthe same passage")
+    assert texts[61] == f"own1 words and\nBefore {notice} after 1\n{notice}" and texts[71].startswith(title + "\nthe same passage")
 
 
 @pytest.mark.parametrize("broken", ["<a", "<div ", "<a \">", "<a '\">\"", "<div>", "</section>", "<!--", "<![CDATA[", "<head>", "<script", "<script>", "<p class=\"", "&am", "<a href='x' b=\"y", "<main-", "< ", "<!"])
