@@ -4,7 +4,8 @@ The vocabulary, every distinct token and its count, and the tries are files of t
 begin with a range of words; a word with very many tokens has files of its own, its successors split over them. Every level
 of a trie has, as an Elias-Fano sequence, monotone pointers from each context, which is an entry of the level above, to its successors; the
 successors in order in as many bits as a word needs; and for each a smoothed log probability in 16 bits. A lookup takes the two pointers of
-the context and searches for the word among that context's successors only.
+the context and searches for the word among that context's successors only. A batch of texts is looked up in all files at once, as the arrays of mapped files
+are read as one: what a batch costs doesn't follow from how many files there are.
 
 Smoothing interpolates absolute discounting, with three discounts for each order that come from the counts of counts of the whole corpus, with the add-one
 unigram model. So probabilities of all words and an unknown one sum to one before rounding, and rounding only lowers them. How the
@@ -13,6 +14,9 @@ files are cut changes no probability.
 
 from __future__ import annotations
 
+import ctypes
+import mmap
+import sys
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -35,6 +39,32 @@ ORDER = 3
 STEP = 1 / 4096
 #: Tokens whose n-grams one file is about for; a word with more is split. Bytes of tries that a worker keeps where it can't map files.
 FILE_TOKENS, KEPT_BYTES = 2_500_000, 256 << 20
+#: Mapped files that are looked up together, and that a worker keeps mapped: about half of what Linux lets a process map.
+JOINED, KEPT_FILES = 8192, 32768
+#: Places that are looked up at once: arrays over them stay in a core's cache.
+AT_ONCE = 1 << 15
+
+
+def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One array from the first address to the last, and where in it each of the arrays begins. What lies between them must not be read; the caller
+    keeps the arrays."""
+    if len(arrays) == 1:
+        return arrays[0], np.zeros(1, dtype=np.int64)
+    begin, size, kind = np.array([a.ctypes.data for a in arrays], dtype=np.int64), np.array([a.nbytes for a in arrays]), arrays[0].dtype
+    some = np.flatnonzero(size)
+    if not len(some):
+        return arrays[0], np.zeros(len(arrays), dtype=np.int64)
+    low, high = int(begin[some].min()), int((begin + size)[some].max())
+    return np.frombuffer((ctypes.c_char * (high - low)).from_address(low), dtype=kind), np.where(size > 0, begin - low, 0) // kind.itemsize
+
+
+def below(values: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The last place from ``low`` on whose value is ``want`` at most, for each; values rise, the one at ``low`` is ``want`` at most, and ``high`` is past it."""
+    for _ in range(int((high - low).max(initial=1) - 1).bit_length()):
+        middle = (low + high) >> 1
+        less = values[middle] <= want
+        low, high = np.where(less, middle, low), np.where(less, high, middle)  # where one place is left, nothing moves
+    return low
 
 
 def bits_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,25 +80,27 @@ def bits_of(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def bits_at(packed: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
-    """The packed numbers at the places ``i``."""
-    if not width:
-        return np.zeros(len(i), dtype=np.uint64)
-    at = i.astype(np.uint64) * np.uint64(width)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+def bits_at(packed: np.ndarray, width: int | np.ndarray, i: np.ndarray, start: int | np.ndarray = 0) -> np.ndarray:
+    """The packed numbers at the places ``i`` from the word ``start`` on."""
+    width = np.asarray(width).astype(np.uint64)
+    at = i.astype(np.uint64) * width
+    word, shift = (at >> np.uint64(6)).astype(np.int64) + start, at & np.uint64(63)
     both = packed[word] >> shift
     # two shifts, as one by 64 bits gives nothing defined
     both |= (packed[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
-    return both & np.uint64((1 << width) - 1)
+    return both & ((np.uint64(1) << width) - np.uint64(1))
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers below a limit in about 2 + log2(limit / n) bits each."""
+    """Non-decreasing sequences of n numbers below a limit in about 2 + log2(limit / n) bits each; those of several files have a part each."""
 
     BLOCK = 8  # words of high bits between two entries of the directory
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
+    def __init__(self, *files: list[np.ndarray]):
+        heads, *arrays = zip(*files)
+        self.files, self.width = files, np.array([w for _, w in heads], dtype=np.int64)
+        (self.low, self.low_at), (self.high, self.high_at), (self.ones, self.ones_at) = (joined(a) for a in arrays)
+        self.blocks = np.array([len(a) - 1 for a in arrays[2]])
 
     @classmethod
     def build(cls, values: np.ndarray, limit: int) -> EliasFano:
@@ -80,29 +112,53 @@ class EliasFano:
         flags = np.zeros(-(-length // (64 * cls.BLOCK)) * 64 * cls.BLOCK, dtype=np.uint8)
         flags[ones] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        return cls(n, width, bits_of(values, width), high, starts(np.bitwise_count(high).reshape(-1, cls.BLOCK).sum(axis=1).astype(np.int64)))
+        directory = starts(np.bitwise_count(high).reshape(-1, cls.BLOCK).sum(axis=1).astype(np.int64))
+        return cls([np.array([n, width], dtype=np.int64), bits_of(values, width), high, directory])
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.width], dtype=np.int64), self.low, self.high, self.ones]
+        return list(self.files[0])
 
-    def select(self, k: np.ndarray) -> np.ndarray:
+    def select(self, k: np.ndarray, part: int | np.ndarray = 0) -> np.ndarray:
         """The position of the k-th one among the high bits, from 0."""
-        block = np.searchsorted(self.ones, k, side="right") - 1
-        left, word = k - self.ones[block], block * self.BLOCK
+        at = self.ones_at[part]
+        block = below(self.ones, np.zeros_like(k) + at, at + self.blocks[part], k)
+        left, start = k - self.ones[block], self.high_at[part]
+        word = (block - at) * self.BLOCK
         for _ in range(self.BLOCK - 1):
-            here = np.bitwise_count(self.high[word]).astype(np.int64)
+            here = np.bitwise_count(self.high[start + word]).astype(np.int64)
             on = left >= here
             left, word = left - here * on, word + on
-        bits, at = self.high[word], np.zeros(len(k), dtype=np.uint64)
+        bits, at = self.high[start + word], np.zeros(len(k), dtype=np.uint64)
         for half in (32, 16, 8, 4, 2, 1):
             here = np.bitwise_count((bits >> at) & np.uint64((1 << half) - 1)).astype(np.int64)
             on = left >= here
             left, at = left - here * on, at + np.uint64(half) * on.astype(np.uint64)
         return word * 64 + at.astype(np.int64)
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """The i-th number, for each i."""
-        return ((self.select(i) - i) << self.width) | bits_at(self.low, self.width, i).astype(np.int64)
+    def _number(self, position: np.ndarray, i: np.ndarray, part: int | np.ndarray) -> np.ndarray:
+        return ((position - i) << self.width[part]) | bits_at(self.low, self.width[part], i, self.low_at[part]).astype(np.int64)
+
+    def get(self, i: np.ndarray, part: int | np.ndarray = 0) -> np.ndarray:
+        """The i-th number, for each i; part: of which sequence."""
+        return self._number(self.select(i, part), i, part)
+
+    def between(self, i: np.ndarray, part: int | np.ndarray = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th number and the one after it: its one is mostly in the same word of the high bits or in the next."""
+        position, part = self.select(i, part), np.broadcast_to(part, i.shape)
+        word, bit = position >> 6, (position & 63).astype(np.uint64)
+        start = self.high_at[part] + word
+        here, there = self.high[start] >> bit >> np.uint64(1), np.full(len(i), -1, dtype=np.int64)
+        near = here != 0
+        # the ones below the lowest one of a word are as many as the zeros before it
+        there[near] = position[near] + 1 + np.bitwise_count(~here[near] & (here[near] - np.uint64(1)))
+        far = np.flatnonzero(~near)
+        following = (word[far] + 1) // self.BLOCK < self.blocks[part[far]]
+        far, bits = far[following], self.high[start[far[following]] + 1]
+        far, bits = far[bits != 0], bits[bits != 0]
+        there[far] = (word[far] + 1) * 64 + np.bitwise_count(~bits & (bits - np.uint64(1)))
+        rest = np.flatnonzero(there < 0)
+        there[rest] = self.select(i[rest] + 1, part[rest])
+        return self._number(position, i, part), self._number(there, i + 1, part)
 
 
 def save(uri: str, arrays: list[np.ndarray]) -> None:
@@ -120,7 +176,11 @@ def mapped(uri: str) -> tuple[list[np.ndarray], int]:
     """The arrays of a file, and how many bytes of memory they take: none if mapped, all where the file system can't map."""
     system, path = file_system(uri)
     local = system.type_name == "local"
-    raw = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray) if local else np.frombuffer(system.open_input_file(path).read(), dtype=np.uint8)
+    if local:
+        with open(path, "rb") as f:  # mapped files aren't kept open where that can be said
+            raw = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {})), dtype=np.uint8)
+    else:
+        raw = np.frombuffer(system.open_input_file(path).read(), dtype=np.uint8)
     count = int(raw[:8].view("<i8")[0])
     table, at, out = raw[8 : 8 + 24 * count].view("<i8").reshape(count, 3), 8 + 24 * count, []
     for kind, size, n in table.tolist():
@@ -134,60 +194,89 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+class Ranges:
+    """Hashes and counts of some ranges' files."""
+
+    def __init__(self, *files: list[np.ndarray]):
+        self.files, self.n = files, np.array([len(known) for known, _ in files])
+        (self.known, self.known_at), (self.counts, self.counts_at) = joined([f[0] for f in files]), joined([f[1] for f in files])
+
+    def find(self, hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The place of each hash in its part, -1 for unknown ones."""
+        out, some = np.full(len(hashes), -1, dtype=np.int64), np.flatnonzero(self.n[part])
+        hashes, part = hashes[some], part[some]
+        start = self.known_at[part]
+        i = below(self.known, start, start + self.n[part], hashes)
+        out[some] = np.where(self.known[i] == hashes, i - start, -1)
+        return out
+
+
 class Vocabulary:
     """Word hashes in order, over all ranges, and their counts. A word's id is its place."""
 
     def __init__(self, paths: tuple[str, ...], at: np.ndarray):
         self.paths, self.at = paths, at
 
-    def _parts(self, cuts: np.ndarray) -> Iterator[tuple[int, slice, list[np.ndarray]]]:
-        for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-            if a < b and self.at[r] < self.at[r + 1]:
-                yield r, slice(a, b), opened(self.paths[r])
-
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of hashes, -1 for unknown ones."""
         order = np.argsort(hashes)
         sorted_, found = hashes[order], np.full(len(hashes), -1, dtype=np.int64)
-        for r, own, (known, _) in self._parts(np.searchsorted(range_of(sorted_, len(self.paths)), np.arange(len(self.paths) + 1))):
-            i = np.minimum(np.searchsorted(known, sorted_[own]), len(known) - 1)
-            found[own] = np.where(known[i] == sorted_[own], i + self.at[r], -1)
+        file = range_of(sorted_, len(self.paths))
+        for ranges, own, part in looked_up(self.paths, file, Ranges):
+            i = ranges.find(sorted_[own], part)
+            found[own] = np.where(i >= 0, i + self.at[file[own]], -1)
         out = np.empty_like(found)
         out[order] = found
         return out
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         """How often each word is in the training texts; 0 for unknown ones."""
-        order = np.argsort(ids)
-        sorted_, found = ids[order], np.zeros(len(ids), dtype=np.int64)
-        for r, own, (_, counts) in self._parts(np.searchsorted(sorted_, self.at)):
-            found[own] = counts[sorted_[own] - self.at[r]]
-        out = np.empty_like(found)
-        out[order] = found
+        out, file = np.zeros(len(ids), dtype=np.int64), np.searchsorted(self.at, ids, side="right") - 1
+        for ranges, own, part in looked_up(self.paths, file, Ranges):
+            out[own] = ranges.counts[ranges.counts_at[part] + ids[own] - self.at[file[own]]]
         return out
 
 
-_OPENED: OrderedDict[str, tuple[object, int]] = OrderedDict()
+_OPENED: OrderedDict[str, tuple[object, int, int]] = OrderedDict()
 
 
-def opened(path: str, make=list):
-    """What ``make`` gives for a file's arrays, kept in the worker: mapped files always, of others the last used ones up to KEPT_BYTES."""
+def opened(path: str, make=list, more: tuple[str, ...] = ()):
+    """What ``make`` gives for a file's arrays, or for those of several, kept in the worker under the first's name: of mapped files the last used
+    KEPT_FILES, of others up to KEPT_BYTES."""
     if path not in _OPENED:
-        arrays, size = mapped(path)
-        while _OPENED and sum(n for _, n in _OPENED.values()) + size > KEPT_BYTES or len(_OPENED) > 8192:
+        found = [mapped(p) for p in (path, *more)]
+        size = sum(n for _, n in found)
+        while _OPENED and (sum(n for _, n, _ in _OPENED.values()) + size > KEPT_BYTES or sum(n for _, _, n in _OPENED.values()) + len(found) > KEPT_FILES):
             _OPENED.popitem(last=False)
-        _OPENED[path] = (make(arrays), size)
+        _OPENED[path] = (make(*[arrays for arrays, _ in found]), size, len(found))
     _OPENED.move_to_end(path)
     return _OPENED[path][0]
 
 
+def looked_up(paths: tuple[str, ...] | list[str], file: np.ndarray, make) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """For places that ask for files by number, or with a negative one for none: what ``make`` gives for files, at most AT_ONCE places that ask for these, in
+    order, and for the how manieth of them. Mapped files are taken JOINED at a time, others alone."""
+    each = JOINED if file_system(paths[0])[0].type_name == "local" else 1
+    group = file // each
+    asking = np.flatnonzero(file >= 0)
+    if len(paths) > each:
+        asking = asking[np.argsort(group[asking], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(group[asking]) != 0, [True]])) if len(asking) else np.zeros(1, np.int64)
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        first = int(group[asking[a]]) * each
+        made = opened(paths[first], make, tuple(paths[first + 1 : first + each]))
+        for at in range(a, b, AT_ONCE):
+            own = asking[at : min(b, at + AT_ONCE)]
+            yield made, own, file[own] - first
+
+
 class Level:
-    """The n-grams of one order in a trie file: pointers of the contexts, their successors, codes, and what each context leaves to the order below."""
+    """The n-grams of one order in a trie file: pointers of the contexts, their successors, codes, and what each context leaves to the order below. Or those in
+    several files, which are the parts."""
 
-    def __init__(self, arrays: list[np.ndarray]):
-        (n, width), low, high, ones, self.words, (self.width,), self.codes, self.rest = arrays
-        self.pointers = EliasFano(int(n), int(width), low, high, ones)
-        self.width = int(self.width)
+    def __init__(self, *files: list[np.ndarray]):
+        self.files, self.pointers, self.width = files, EliasFano(*[f[:4] for f in files]), int(files[0][5][0])
+        (self.words, self.words_at), (self.codes, self.codes_at), (self.rest, self.rest_at) = (joined([f[i] for f in files]) for i in (4, 6, 7))
 
     @staticmethod
     def build(contexts: np.ndarray, words: np.ndarray, size: int, width: int, p: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
@@ -195,30 +284,32 @@ class Level:
         pointers = EliasFano.build(starts(np.bincount(contexts, minlength=size)), len(words) + 1)
         return [*pointers.parts(), bits_of(words, width), np.array([width], dtype=np.int64), quantised(p), quantised(rest)]
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The entry of each word among the successors of its context, -1 if there is none; contexts are in order, unknown words -1."""
+    def find(self, contexts: np.ndarray, words: np.ndarray, part: int | np.ndarray = 0) -> np.ndarray:
+        """The entry of each word among the successors of its context, -1 if there is none; equal contexts stand together, unknown words are -1."""
         if not len(contexts):
             return np.zeros(0, dtype=np.int64)
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-        own, times = contexts[first], np.diff(np.append(first, len(contexts)))
-        begin, end = np.repeat(self.pointers.get(own), times), np.repeat(self.pointers.get(own + 1), times)
+        part = np.broadcast_to(part, contexts.shape)
+        first = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (part[1:] != part[:-1])]))
+        times = np.diff(np.append(first, len(contexts)))
+        begin, end = (np.repeat(x, times) for x in self.pointers.between(contexts[first], part[first]))
         out, going = np.full(len(words), -1, dtype=np.int64), np.flatnonzero((begin < end) & (words >= 0))
-        low, high, want = begin[going], end[going] - 1, words[going].astype(np.uint64)
+        low, high, want, start = begin[going], end[going] - 1, words[going].astype(np.uint64), self.words_at[part[going]]
         while len(going):
             middle = (low + high) >> 1
-            here = bits_at(self.words, self.width, middle)
+            here = bits_at(self.words, self.width, middle, start)
             hit, less = here == want, here < want
             out[going[hit]] = middle[hit]
             low, high = np.where(less, middle + 1, low), np.where(less, high, middle - 1)
             on = np.flatnonzero(~hit & (low <= high))
-            going, low, high, want = going[on], low[on], high[on], want[on]
+            going, low, high, want, start = going[on], low[on], high[on], want[on], start[on]
         return out
 
-    def scores(self, entries: np.ndarray, contexts: np.ndarray, lower: np.ndarray, partial: bool) -> np.ndarray:
+    def scores(self, entries: np.ndarray, contexts: np.ndarray, lower: np.ndarray, partial: bool, part: int | np.ndarray = 0) -> np.ndarray:
         """Log probabilities from found entries and those of the order below; partial: entries don't include these."""
-        out = -STEP * self.rest[contexts].astype(np.float64) + lower
+        part = np.broadcast_to(part, contexts.shape)
+        out = -STEP * self.rest[self.rest_at[part] + contexts].astype(np.float64) + lower
         hit = np.flatnonzero(entries >= 0)
-        own = -STEP * self.codes[entries[hit]].astype(np.float64)
+        own = -STEP * self.codes[self.codes_at[part[hit]] + entries[hit]].astype(np.float64)
         out[hit] = np.log10(10**own + 10 ** out[hit]) if partial else own
         return out
 
@@ -229,10 +320,10 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 
 class Trie(list):
-    """The levels of a file, from order 2 on."""
+    """The levels of a file, or of several, from order 2 on."""
 
-    def __init__(self, arrays: list[np.ndarray]):
-        super().__init__(Level(arrays[i : i + 8]) for i in range(0, len(arrays), 8))
+    def __init__(self, *files: list[np.ndarray]):
+        super().__init__(Level(*[f[i : i + 8] for f in files]) for i in range(0, len(files[0]), 8))
 
 
 class Layout:
@@ -255,13 +346,18 @@ class Layout:
         """How many first words a file is about."""
         return int(self.at[file + 1] - self.at[file]) if file < len(self.at) - 1 else 1
 
-    def runs(self, contexts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(file, from, to) of pairs in order; pairs of unknown contexts (-1) are in none."""
+    def file_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The file of each pair; pairs of unknown contexts (-1) are in none (-1)."""
         file = np.searchsorted(self.at, contexts, side="right") - 1
         if len(self.hot):
             i = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
             own = self.hot[i] == contexts
             file[own] = self.first[i[own]] + np.maximum(words[own], 0) * self.parts[i[own]] // max(1, int(self.at[-1]))
+        return file
+
+    def runs(self, contexts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(file, from, to) of pairs in order; pairs of unknown contexts are in none."""
+        file = self.file_of(contexts, words)
         cuts = np.flatnonzero(np.concatenate([[True], file[1:] != file[:-1], [True]])) if len(file) else np.zeros(1, np.int64)
         for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
             if file[a] >= 0:
@@ -502,22 +598,17 @@ class Model:
         unigram = np.log10((counts + 1) / (self.total + 1 * (self.distinct + 1)))
         token, at = _tokens(words, words.codes, len(ids) - 2)
         grams, score = Grams(ids[token], at, int(ids[-1])), unigram[token]
-        # distinct pairs are in the order of files and of entries within them, and so are those of each next order
-        runs = [(opened(self.paths[f], Trie), a, b, int(self.layout.base[f])) for f, a, b in self.layout.runs(grams.contexts, grams.words)]
-        local = grams.contexts.copy()
-        for _, a, b, base in runs:
-            local[a:b] -= base
+        file = self.layout.file_of(grams.contexts, grams.words)
+        local = grams.contexts - self.layout.base[file]
         for k in range(self.order - 1):
             entries, value = np.full(len(grams.words), -1, dtype=np.int64), score[grams.one]
-            for trie, a, b, _ in runs:
-                entries[a:b] = trie[k].find(local[a:b], grams.words[a:b])
-                value[a:b] = trie[k].scores(entries[a:b], local[a:b], value[a:b], k > 0)
+            for trie, own, part in looked_up(self.paths, file, Trie):
+                entries[own] = trie[k].find(local[own], grams.words[own], part)
+                value[own] = trie[k].scores(entries[own], local[own], value[own], k > 0, part)
             score[grams.where] = value[grams.number]
             if k + 2 < self.order:
                 grams.longer(entries >= 0)
-                local = entries[grams.contexts]
-                cuts = np.searchsorted(grams.contexts, [x for _, a, b, _ in runs for x in (a, b)]).tolist()
-                runs = [(trie, a, b, 0) for (trie, _, _, _), a, b in zip(runs, cuts[::2], cuts[1::2])]
+                local, file = entries[grams.contexts], file[grams.contexts]
         return {
             "n_tokens": np.diff(at),
             "n_known": sums((counts > 0).astype(np.int64)[token], at),

@@ -339,6 +339,34 @@ def test_elias_fano(n, limit):
         assert language_model.bits_at(language_model.bits_of(low, width), width, np.arange(n)).tolist() == low.tolist()
 
 
+def test_elias_fano_of_several_files():
+    rng, limit = np.random.default_rng(4), 1 << 18
+    near = [np.sort(rng.integers(0, 4000, n)) for n in (3000, 2, 700)]
+    values = [np.concatenate([v, v + 200_000]) for v in near]  # the gap is wider than what is looked at word by word
+    e = language_model.EliasFano(*[language_model.EliasFano.build(v, limit).parts() for v in values])
+    part = rng.integers(0, 3, 5000)
+    i = np.concatenate([rng.integers(0, 1 << 30, 4000) % np.array([len(values[p]) - 1 for p in part[:4000]]), [len(near[p]) - 1 for p in part[4000:]]])
+    one, next_ = e.between(i, part)
+    assert one.tolist() == e.get(i, part).tolist() == [values[p][x] for p, x in zip(part, i)] and next_.tolist() == [values[p][x + 1] for p, x in zip(part, i)]
+
+
+def test_lookups_of_a_batch_do_not_follow_the_number_of_files(spark, monkeypatch):
+    rows, calls, found, find = lm_rows(5), [], [], language_model.Level.find
+    monkeypatch.setattr(language_model.Level, "find", lambda *a: calls.append(1) or find(*a))
+    texts = pa.array([*(t for _, t in rows), "v1 v2 unknown v3 unknown v1 v2"])
+    for file_tokens in (6_000_000, 30):
+        model = language_model.train(table(spark, rows), file_tokens=file_tokens)
+        calls.clear()
+        got = model.measure(texts)
+        found.append((model.layout.files, len(calls), got))
+    assert found[0][0] < 3 and found[1][0] > 20 and found[0][1] == found[1][1] == language_model.ORDER - 1
+    # files one by one, as where they can't be mapped, and few places at once
+    monkeypatch.setattr(language_model, "JOINED", 1)
+    monkeypatch.setattr(language_model, "AT_ONCE", 7)
+    found.append((0, 0, model.measure(texts)))
+    assert all((f[name] == found[0][2][name]).all() for _, _, f in found for name in f)
+
+
 def test_language_model_of_nothing(spark):
     model = language_model.train(table(spark, []))
     row = language_model.score(table(spark, [(1, "a b")]), model).first()
