@@ -722,9 +722,10 @@ def listed_pages(spark, d):
     """A file for each document, some of which aren't images, written and listed again."""
     folder = shared_dir(spark)
     ending = F.when(F.col("doc_id") % 4 == 1, F.lit("txt")).when(F.col("doc_id") % 3 == 0, F.lit("PNG")).otherwise(F.lit("jpg"))
-    made = read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("."), ending).alias("name"), F.col("source").cast("binary").alias("content"))
-    files.write_files(made, folder).write.format("noop").mode("overwrite").save()
-    return files.list_pages(spark, folder).select(F.split("file", r"\.")[0].cast("long").alias("doc_id"), "file", "length")
+    name = F.concat(files.shelf(F.col("doc_id")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending)
+    made = read(spark, d, "documents").select(name.alias("name"), F.col("source").cast("binary").alias("content"))
+    made_in = files.written_folders(files.write_files(made, folder), folder)
+    return files.list_pages(spark, made_in).select(F.split("file", r"\.")[0].cast("long").alias("doc_id"), "file", "length")
 
 
 @query("SELECT doc_id, 'page-' || doc_id AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -811,14 +812,15 @@ def title_documents(spark, d):
 def document_files(spark, d):
     """Every title's document as a file of indented JSON, read back."""
     folder = shared_dir(spark)
-    sinks.write_document_files(title_documents(spark, d), folder).write.format("noop").mode("overwrite").save()
+    made = title_documents(spark, d).select(F.concat(files.shelf(F.col("title").cast("long")), F.lit("/"), "title").alias("title"), "document")
+    made_in = files.written_folders(sinks.write_document_files(made, folder), folder)
 
     def compact(frames):
         for frame in frames:
             bodies = [json.dumps(json.loads(bytes(c)), ensure_ascii=False, separators=(",", ":")) for c in frame["content"]]
             yield frame[["title"]].assign(document=bodies)
 
-    found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("title"), "content")
+    found = files.list_files(spark, made_in, content=True).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("title"), "content")
     return found.mapInPandas(compact, "title string, document string")
 
 

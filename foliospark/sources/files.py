@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import struct
 import urllib.request
 import uuid
@@ -12,17 +13,71 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.naming import basename, is_image
+from ..storage import materialize
 
 
-def list_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Image files directly in a folder: title, file, path, length."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    return files.filter(is_image(F.col("path"))).select(F.element_at(F.split("path", "/"), -2).alias("title"), basename(F.col("path")).alias("file"), "path", "length")
+#: Rows, and bytes of content, that a task hands on at once.
+LISTED, HELD = 10_000, 16 << 20
+
+
+def _opened(folder: str) -> tuple[fs.FileSystem, str, str]:
+    """A folder's file system, its path there, and what makes that path a URI."""
+    system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    if isinstance(system, fs.LocalFileSystem):
+        return system, os.path.abspath(base), "file:"
+    head, _, rest = folder.partition("://")
+    host = rest.partition("/")[0]
+    return system, base.rstrip("/"), f"{head}://" if base.startswith(host) else f"{head}://{host}"
+
+
+def _entries(system: fs.FileSystem, base: str) -> Iterator[tuple[str, int]]:
+    """Path and length of the files directly in a folder; a local one is read as it is listed."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(base) as found:
+            yield from ((f.path, f.stat().st_size) for f in found if f.is_file())
+    else:
+        yield from ((f.path, f.size) for f in system.get_file_info(fs.FileSelector(base)) if f.is_file)
+
+
+def list_files(spark: SparkSession, folders: str | DataFrame, content: bool = False) -> DataFrame:
+    """Files directly in a folder, or in each of many (folder): rows (path, length), and content if asked for.
+
+    The driver lists nothing: some folders are a task, which hands their files on in parts. So the largest folder sets the longest task.
+    """
+    if isinstance(folders, str):
+        folders = spark.createDataFrame([(folders,)], "folder string")
+    names = ["path", "length", "content"][: 2 + content]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["folder"]:
+                system, base, head = _opened(folder)
+                rows, held = [], 0
+                for path, length in _entries(system, base):
+                    rows.append((head + path, length))
+                    if content:
+                        with system.open_input_stream(path) as f:
+                            rows[-1] += (f.read(),)
+                        held += length
+                    if len(rows) == LISTED or held > HELD:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    spread = folders.select("folder").repartition(folders.count() // 8 + 1)
+    return spread.mapInPandas(run, "path string, length long" + ", content binary" * content)
+
+
+def list_pages(spark: SparkSession, folders: str | DataFrame) -> DataFrame:
+    """Image files directly in a folder, or in each of many (folder): title, file, path, length."""
+    files = list_files(spark, folders).filter(is_image(F.col("path")))
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("title"), basename(F.col("path")).alias("file"), "path", "length")
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,11 +168,14 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        made: set[str] = set()
         for frame in frames:
             done = []
             for name, content in zip(frame["name"], frame["content"]):
                 path = "/".join([base, *[p for p in name.split("/") if p not in ("", ".", "..")]])
-                system.create_dir(path.rpartition("/")[0], recursive=True)
+                if (parent := path.rpartition("/")[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 aside = f"{path}.{uuid.uuid4().hex}.tmp"
                 with system.open_output_stream(aside) as f:
                     f.write(content)
@@ -126,3 +184,14 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(done, columns=["name", "path", "length"])
 
     return df.select("name", "content").mapInPandas(run, "name string, path string, length long")
+
+
+def shelf(key: Column) -> Column:
+    """A folder for the files of 1,024 neighbouring numbers, as those of a whole table are too many for one."""
+    return F.shiftright(key, 10).cast("string")
+
+
+def written_folders(written: DataFrame, folder: str) -> DataFrame:
+    """Write the files, now, of which ``write_files`` into the folder gives the rows; the folders (folder) that they are in."""
+    inner = written.select(F.regexp_extract("name", r"(?s)^(.*)/", 1).alias("name")).distinct()
+    return materialize(inner.select(F.concat(F.lit(f"{folder}/"), F.col("name")).alias("folder")))

@@ -195,6 +195,19 @@ def test_files(spark, tmp_path):
     assert sorted(r.error is None for r in got) == [False, True]
 
 
+def test_tasks_list_folders_and_not_files(spark, tmp_path):
+    for title in ("one", "two é"):
+        (tmp_path / title / "inner.png").mkdir(parents=True)
+        for i in range(60):
+            (tmp_path / title / f"{i}.{'PNG' if i % 2 else 'txt'}").write_bytes(b"x" * i)
+    pages = files.list_pages(spark, f"file://{tmp_path}/one")
+    assert sorted(tuple(r) for r in pages.collect()) == sorted(("one", f"{i}.PNG", f"file:{tmp_path}/one/{i}.PNG", i) for i in range(1, 60, 2))
+    both = spark.createDataFrame([(f"{tmp_path}/one",), (f"{tmp_path}/two é",)], "folder string")
+    assert sorted((r.title, r.length) for r in files.list_pages(spark, both).collect()) == [(t, i) for t in ("one", "two é") for i in range(1, 60, 2)]
+    assert {r.length: bytes(r.content) for r in files.list_files(spark, both, content=True).collect()} == {i: b"x" * i for i in range(60)}
+    assert pages.rdd.getNumPartitions() == 1
+
+
 def test_providers():
     assert providers.provider("translate", "echo")("a") == "«a»"
     assert providers.first_of("translate", ["none", "echo"])("a") == "«a»"
