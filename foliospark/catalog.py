@@ -240,18 +240,18 @@ def archive_members(spark, d):
 def images_decoded(spark, d):
     """Every embedding written as an 8 x 8 image, beside files that aren't images, and all decoded."""
     folder = shared_dir(spark)
-    grays = read(spark, d, "embeddings").select("vec_id", _grays())
+    grays = read(spark, d, "embeddings").select("vec_id", files.shelf(F.col("vec_id")).alias("shelf"), _grays())
 
     def draw(frames):
         for frame in frames:
             content = [files.png([list(g[i : i + 8]) for i in range(0, 64, 8)]) for g in frame["g"]]
             broken = [files.png([[0]], broken=True) for _ in content]
-            ids = [str(v) for v in frame["vec_id"]]
+            ids = [f"{shelf}/{v}" for shelf, v in zip(frame["shelf"], frame["vec_id"])]
             yield frame[["vec_id"]].assign(name=[f"{i}.png" for i in ids], content=content)
             yield frame[["vec_id"]].assign(name=[f"{i}-broken.png" for i in ids], content=broken)
 
-    files.write_files(grays.mapInPandas(draw, "vec_id long, name string, content binary"), folder).count()
-    image = files.read_images(spark, folder)
+    written = files.write_files(grays.mapInPandas(draw, "vec_id long, name string, content binary"), folder)
+    image = files.read_images(spark, files.written_folders(written, folder))
     name = F.regexp_extract("image.origin", r"([0-9]+)\.png$", 1).cast("long")
     return image.select(name.alias("vec_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"))
 

@@ -80,9 +80,44 @@ def list_pages(spark: SparkSession, folders: str | DataFrame) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -2).alias("title"), basename(F.col("path")).alias("file"), "path", "length")
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images, as Spark's image source has them; files that can't be decoded are left out."""
-    return spark.read.format("image").option("dropInvalid", True).load(folder)
+def read_images(spark: SparkSession, folders: str | DataFrame) -> DataFrame:
+    """Decoded images, as Spark's image source has them, of a folder or of many (folder); files that can't be decoded are left out.
+
+    That source has the driver list all files and a task for every few; here files are listed and read as any others are, and only its decoder is called.
+    """
+    files = list_files(spark, folders, content=True)
+    origin = F.regexp_replace("path", "^file:/", "file:///")
+    for c in '% "#<>?[]\\^`{|}':  # an origin is a URI
+        origin = F.replace(origin, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    # the number keeps the filter from being pushed down, which would decode each image twice
+    decoded = files.select(_decoded(spark, origin, F.col("content")).alias("image"), F.monotonically_increasing_id().alias("n"))
+    return decoded.filter(F.col("image.height").isNotNull() & (F.col("n") >= 0)).select("image")
+
+
+def _decoded(spark: SparkSession, origin: Column, content: Column) -> Column:
+    """The image that the decoder of Spark's image source makes of a file's bytes, with fields that are null if it can't. The decoder is the
+    method of a Scala object, to be called as an expression; so nothing leaves the JVM."""
+    jvm = spark._jvm
+    objects, types, columns = jvm.org.apache.spark.sql.catalyst.expressions.objects, jvm.org.apache.spark.sql.types, jvm.org.apache.spark.sql.classic.ExpressionUtils
+    schema = "org.apache.spark.ml.image.ImageSchema"
+    named = lambda name: jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(name)
+    seq = lambda *x: jvm.PythonUtils.toSeq(list(x))
+
+    def call(on, method: str, kind: str, *args):
+        kind = types.DataType.fromDDL(kind) if "." not in kind else types.ObjectType(named(kind))
+        if isinstance(on, str):
+            return objects.StaticInvoke(named(on), kind, method, seq(*args), seq(), True, True, True, jvm.scala.Option.empty())
+        return objects.Invoke(on, method, kind, seq(*args), seq(), False, True, True)
+
+    text = lambda c: call(columns.expression(c._jc), "toString", "java.lang.String")
+    field = call(call("java.lang.Class", "forName", "java.lang.Class", text(F.lit(f"{schema}$"))), "getField", "java.lang.reflect.Field", text(F.lit("MODULE$")))
+    decoder = call(field, "get", f"{schema}$", jvm.org.apache.spark.sql.catalyst.expressions.Literal(None, types.ObjectType(named("java.lang.Object"))))
+    option = call(decoder, "decode", "scala.Option", text(origin), columns.expression(content._jc))
+    row = objects.UnwrapOption(types.ObjectType(named("org.apache.spark.sql.Row")), option)
+    image = call(row, "getStruct", "org.apache.spark.sql.Row", columns.expression(F.lit(0)._jc))
+    part = lambda get, kind: Column(columns.column(call(schema, get, kind, image)))
+    numbers = {"height": "getHeight", "width": "getWidth", "nChannels": "getNChannels", "mode": "getMode"}
+    return F.struct(origin.alias("origin"), *[part(get, "int").alias(name) for name, get in numbers.items()], part("getData", "binary").alias("data"))
 
 
 def archive_members(archives: DataFrame) -> DataFrame:

@@ -208,6 +208,23 @@ def test_tasks_list_folders_and_not_files(spark, tmp_path):
     assert pages.rdd.getNumPartitions() == 1
 
 
+def test_images_are_those_of_sparks_source_without_its_listing(spark, tmp_path):
+    java, folder = spark._jvm, tmp_path / "a é %[1] #"
+    folder.mkdir()
+    for name, kind in (("gray.png", 10), ("color.png", 5), ("alpha.png", 6), ("color.jpg", 5), ("gray.jpeg", 10), ("color.bmp", 5), ("indexed.gif", 13)):
+        image = java.java.awt.image.BufferedImage(5, 3, kind)
+        for i in range(15):
+            image.setRGB(i % 5, i // 5, (i * 17 << 24 | i * 0x0B1103) - (1 << 31))
+        assert java.javax.imageio.ImageIO.write(image, name.rpartition(".")[2].replace("jpeg", "jpg"), java.java.io.File(str(folder / name)))
+    for name, content in (("broken.png", files.png([[0]], broken=True)), ("cut.jpg", (folder / "color.jpg").read_bytes()[:300]), ("text.png", b"text"), ("empty.png", b"")):
+        (folder / name).write_bytes(content)
+    rows = lambda df: sorted(df.select("image.*").collect())
+    want = rows(spark.read.format("image").option("dropInvalid", True).load(str(tmp_path / "a é*")))
+    found = files.read_images(spark, str(folder))
+    assert rows(found) == want and len(want) >= 7
+    assert found.rdd.getNumPartitions() == 1 and "FileScan" not in found._jdf.queryExecution().toString()
+
+
 def test_providers():
     assert providers.provider("translate", "echo")("a") == "«a»"
     assert providers.first_of("translate", ["none", "echo"])("a") == "«a»"
